@@ -6,7 +6,7 @@ import traceback
 from collections.abc import Callable, Iterator, Sequence
 from time import perf_counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,14 @@ Factory = Callable[[str, dict], Engine]
 ANSWER_SCHEMA = (
     "prediction string, ttft_s double, total_s double, n_tokens int, error_type string, error string"
 )
+_ANSWER_TYPES = {
+    "prediction": pa.string(),
+    "ttft_s": pa.float64(),
+    "total_s": pa.float64(),
+    "n_tokens": pa.int32(),
+    "error_type": pa.string(),
+    "error": pa.string(),
+}
 
 
 def _failure(exc: Exception) -> dict:
@@ -88,44 +96,48 @@ def batch_infer(
         .repartitionByRange(tasks, *keys, "sample_idx")
         .sortWithinPartitions(*keys, "sample_idx")
     )
-    out_columns = [*keys, "sample_idx"]
+    row_key = [*keys, "sample_idx"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine, loaded, load_error = None, None, None
         try:
             for batch in batches:
-                # Rows arrive ordered by cell: cut the batch where the cell changes.
-                cells = batch[keys].ne(batch[keys].shift()).any(axis=1).cumsum()
-                for _, part in batch.groupby(cells, sort=False):
-                    cell = tuple(part[keys].iloc[0])
-                    if cell != loaded:
+                cells = list(zip(*[batch.column(name).to_pylist() for name in keys]))
+                # Rows arrive ordered by cell; a step never crosses a cell's end.
+                start = 0
+                while start < len(cells):
+                    stop = start + 1
+                    while stop < len(cells) and stop - start < batch_size and cells[stop] == cells[start]:
+                        stop += 1
+                    part = batch.slice(start, stop - start)
+                    if cells[start] != loaded:
                         if hasattr(engine, "close"):
                             engine.close()
-                        engine, loaded, load_error = None, cell, None
-                        values = part[settings].astype(object).iloc[0]
-                        config = {k: None if pd.isna(v) else v for k, v in values.items()}
+                        engine, loaded, load_error = None, cells[start], None
+                        config = {name: part.column(name)[0].as_py() for name in settings}
                         try:
                             engine = factory(config.pop("model_id"), config)
                         except Exception as exc:
                             load_error = _failure(exc)
-                    for start in range(0, len(part), batch_size):
-                        chunk = part.iloc[start : start + batch_size]
-                        if load_error is not None:
-                            answers = [dict(load_error)] * len(chunk)
-                        else:
-                            answers = _answers(
-                                engine, chunk["prompt"].tolist(), chunk["_budget"].tolist()
-                            )
-                        filled = pd.DataFrame(
-                            answers,
-                            columns=["prediction", "ttft_s", "total_s", "n_tokens", "error_type", "error"],
-                            index=chunk.index,
-                        )
-                        filled["n_tokens"] = filled["n_tokens"].astype("Int32")
-                        yield pd.concat([chunk[out_columns], filled], axis=1)
+                    asked = part.column("prompt").to_pylist()
+                    if load_error is not None:
+                        answers = [load_error] * len(asked)
+                    else:
+                        answers = _answers(engine, asked, part.column("_budget").to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[part.column(name) for name in row_key],
+                            *[
+                                pa.array([answer.get(name) for answer in answers], kind)
+                                for name, kind in _ANSWER_TYPES.items()
+                            ],
+                        ],
+                        names=[*row_key, *_ANSWER_TYPES],
+                    )
+                    start = stop
         finally:
             if hasattr(engine, "close"):
                 engine.close()
 
-    key_schema = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in out_columns)
-    return work.mapInPandas(run, f"{key_schema}, {ANSWER_SCHEMA}")
+    key_schema = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in row_key)
+    return work.mapInArrow(run, f"{key_schema}, {ANSWER_SCHEMA}")

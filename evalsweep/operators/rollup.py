@@ -15,7 +15,16 @@ from pyspark.sql import functions as F
 from evalsweep.functions.measures import failure_status, percent, throughput
 from evalsweep.operators.telemetry import fill_missing, rollup_readings
 
-GRID_COLUMNS = ("model_id", "backend", "quantization", "kv_cache", "prefix_cache", "max_new_tokens")
+GRID_COLUMNS = (
+    "experiment",
+    "run_ts",
+    "model_id",
+    "backend",
+    "quantization",
+    "kv_cache",
+    "prefix_cache",
+    "max_new_tokens",
+)
 
 
 def _accuracy() -> list[Column]:
@@ -121,7 +130,7 @@ def cell_results(
                 )
             }
         )
-    described = [name for name in GRID_COLUMNS if name in grid.columns]
+    described = [name for name in GRID_COLUMNS if name in grid.columns and name not in keys]
     return cells.withColumn("status", status).select(
         *keys,
         *described,
@@ -167,7 +176,7 @@ def sweep_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def summary_ttft(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean time to first token over the cells that measured it, and its text."""
     mean = F.avg("mean_ttft_s")
-    shown = F.coalesce(F.concat(F.format_number(mean, "0.00"), F.lit("s")), F.lit("N/A"))
+    shown = F.when(mean.isNotNull(), F.format_string("%.2fs", mean)).otherwise(F.lit("N/A"))
     return ok_cells(results).groupBy(*by).agg(mean.alias("ttft_mean"), shown.alias("ttft_text"))
 
 

@@ -40,15 +40,36 @@ SWEEP_FILE = r"sweep_[^/]*\.parquet"
 LISTED_SWEEPS = 10
 # ------------------------------------------------------------------------
 
-RESULT_SCHEMA = T.StructType.fromDDL(
-    "experiment string, run_ts string, cell_idx int, model_id string, backend string, "
-    "quantization string, kv_cache boolean, prefix_cache boolean, max_new_tokens int, "
-    "status string, error string, n_samples bigint, mean_ttft_s double, mean_tps double, "
-    "mean_total_s double, exact_match_pct double, normalized_match_pct double, "
-    "judge_avg_score double, peak_vram_mb double, avg_vram_mb double, peak_power_w double, "
-    "avg_power_w double, avg_gpu_util_pct double, avg_cpu_util_pct double, "
-    "avg_ram_used_mb double, hw_sample_count bigint, gpu_available boolean"
-)
+# The canonical result row.
+RESULT_COLUMNS = {
+    "experiment": "string",
+    "run_ts": "string",
+    "cell_idx": "int",
+    "model_id": "string",
+    "backend": "string",
+    "quantization": "string",
+    "kv_cache": "boolean",
+    "prefix_cache": "boolean",
+    "max_new_tokens": "int",
+    "status": "string",
+    "error": "string",
+    "n_samples": "bigint",
+    "mean_ttft_s": "double",
+    "mean_tps": "double",
+    "mean_total_s": "double",
+    "exact_match_pct": "double",
+    "normalized_match_pct": "double",
+    "judge_avg_score": "double",
+    "peak_vram_mb": "double",
+    "avg_vram_mb": "double",
+    "peak_power_w": "double",
+    "avg_power_w": "double",
+    "avg_gpu_util_pct": "double",
+    "avg_cpu_util_pct": "double",
+    "avg_ram_used_mb": "double",
+    "hw_sample_count": "bigint",
+    "gpu_available": "boolean",
+}
 CELL_PARTITIONS = ("experiment", "run_ts", "cell_idx")
 
 
@@ -93,8 +114,8 @@ def conform_results(df: DataFrame) -> DataFrame:
     """
     return df.select(
         *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in RESULT_SCHEMA.fields
+            (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in RESULT_COLUMNS.items()
         ]
     )
 
@@ -286,7 +307,7 @@ def nest_cells(
     keys = list(keys)
     item = F.struct("sample_idx", *NESTED)
     grouped = (
-        samples.withColumn("chunk_idx", F.floor(F.col("sample_idx") / chunk_rows).cast("bigint"))
+        samples.withColumn("chunk_idx", F.expr(f"sample_idx div {int(chunk_rows)}"))
         .groupBy(*keys, "chunk_idx")
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
     )
