@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalsweep.operators.sizing import fits_broadcast, for_every_salt, with_salt
+from evalsweep.operators.sizing import MAX_BROADCAST_ROWS, fits_broadcast, for_every_salt, with_salt
 
 # What an absent axis stands for -----------------------------
 DEFAULT_QUANTIZATION = (None, "int8", "int4")
@@ -151,6 +151,7 @@ def cell_samples(
     on: Sequence[str] = (),
     id_col: str = "sample_idx",
     salts: int = 64,
+    broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Every cell sees every sample (of its dataset, when ``on`` names the link).
 
@@ -159,7 +160,7 @@ def cell_samples(
     dataset holding most of the samples is spread over ``salts`` sub-keys.
     """
     on = list(on)
-    if not fits_broadcast(grid):
+    if not fits_broadcast(grid, broadcast_rows):
         return (
             with_salt(samples, salts, id_col)
             .join(for_every_salt(grid, salts), [*on, "_salt"])

@@ -22,6 +22,7 @@ from evalsweep.functions.text import (
     strip,
 )
 from evalsweep.operators.grid import cell_samples
+from evalsweep.operators.sizing import fits_broadcast
 
 
 def reduce_mc_prediction(prediction: Column, is_choice: Column, strict: bool = False) -> Column:
@@ -30,16 +31,16 @@ def reduce_mc_prediction(prediction: Column, is_choice: Column, strict: bool = F
     By default any letter A-E counts, wherever it stands.  ``strict`` takes a
     standalone letter only.
     """
-    whole = strip(prediction)
-    choice = extract_choice(prediction)
+    reduced = _reduced_letter(prediction, extract_choice(prediction), is_choice, strict)
+    return F.coalesce(reduced, strip(prediction))
+
+
+def _reduced_letter(prediction: Column, choice: Column, is_choice: Column, strict: bool) -> Column:
+    """The letter a multiple-choice prediction is cut to, NULL where it stays whole."""
     if strict:
-        return F.when(is_choice & lone_letter(choice), choice).otherwise(whole)
+        return F.when(is_choice & lone_letter(choice), choice)
     letter = first_option_letter(prediction)
-    return (
-        F.when(is_choice & (letter != ""), letter)
-        .when(is_choice & is_letter(choice), choice)
-        .otherwise(whole)
-    )
+    return F.when(is_choice & (letter != ""), letter).when(is_choice & is_letter(choice), choice)
 
 
 def exact_match(reference: Column, processed: Column) -> Column:
@@ -79,11 +80,7 @@ def _judge_columns(judge: Column | str | None, strict: bool) -> tuple[Column, Co
         if judge != "heuristic":
             raise ValueError(f"unknown judge {judge!r}; give 'heuristic', a verdict column or None")
         judge = heuristic_verdict(
-            F.col("_ref_norm"),
-            F.col("_ref_choice"),
-            normalize_text(F.col("prediction")),
-            extract_choice(F.col("prediction")),
-            strict,
+            F.col("_ref_norm"), F.col("_ref_choice"), F.col("_pred_norm"), F.col("_pred_choice"), strict
         )
     return judge["judge_score"], judge["judge_label"]
 
@@ -95,22 +92,37 @@ def score_rows(
 
     ``judge`` is None (off), ``"heuristic"``, or a struct column with
     ``judge_score`` and ``judge_label`` such as a parsed reply.
+
+    Each step names what the next ones use more than once, so that no text is
+    normalized twice: a prediction that is not reduced to a letter has the same
+    comparison forms before and after stripping.
     """
     helpers = {"_ref_strip", "_ref_norm", "_ref_choice"}
     kept = [name for name in rows.columns if name not in helpers]
-    score, label = _judge_columns(judge, strict)
-    processed = rows.withColumn(
-        "processed", reduce_mc_prediction(F.col("prediction"), F.col("is_mc"), strict)
+    prediction, whole = F.col("prediction"), F.col("_pred_strip")
+    read = rows.select(
+        "*",
+        strip(prediction).alias("_pred_strip"),
+        normalize_text(prediction).alias("_pred_norm"),
+        extract_choice(prediction).alias("_pred_choice"),
+    )
+    reduced = read.withColumn(
+        "_letter", _reduced_letter(prediction, F.col("_pred_choice"), F.col("is_mc"), strict)
     )
-    compared = processed.select(
+    letter = F.col("_letter")
+    compared = reduced.select(
         "*",
-        normalize_text(F.col("processed")).alias("_norm"),
-        extract_choice(F.col("processed")).alias("_choice"),
+        F.coalesce(letter, whole).alias("processed"),
+        F.coalesce(normalize_text(letter), F.col("_pred_norm")).alias("_norm"),
+        F.coalesce(
+            extract_choice(letter), F.when(whole == "", F.lit("")).otherwise(F.col("_pred_choice"))
+        ).alias("_choice"),
     )
     exact = F.col("_ref_strip") == F.col("processed")
     loose = normalized_match(
         F.col("_ref_norm"), F.col("_ref_choice"), F.col("_norm"), F.col("_choice"), strict
     )
+    score, label = _judge_columns(judge, strict)
     return compared.select(
         *kept,
         "processed",
@@ -142,27 +154,44 @@ def align_outputs(
 ) -> DataFrame:
     """Pair every cell's predictions with the samples; any mismatch fails the job.
 
-    A prediction without its sample, a sample without its prediction, and a
-    prediction given twice are all errors.  They are raised from inside the
-    joined rows, so the data is read once.
+    A prediction without its sample or its cell, a sample that lacks a cell's
+    prediction, and a prediction given twice are all errors.  They are raised
+    from inside the joined rows, so the data is read once.  Predictions and
+    samples each move once, by sample number: texts are not repeated per cell
+    before they move, and a sample number has at most one row per cell.
     """
     keys = list(keys)
-    row_key = [*keys, "sample_idx"]
-    expected = cell_samples(samples, grid.select(*keys)).withColumn("_asked", F.lit(True))
-    copies = Window.partitionBy(*row_key)
-    given = predictions.select("*", F.count(F.lit(1)).over(copies).alias("_copies"))
-    joined = expected.join(given, row_key, "full_outer")
-    where = F.concat_ws("/", *[F.col(name).cast("string") for name in row_key])
+    cells = grid.select(*keys).withColumn("_known", F.lit(True))
+    if fits_broadcast(cells):
+        cells = F.broadcast(cells)
+    n_cells = grid.agg(F.count(F.lit(1))).scalar()
+    # One window serves both columns: a repeated cell follows its own copy.
+    in_order = Window.partitionBy("sample_idx").orderBy(*keys)
+    everything = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    given = predictions.join(cells, keys, "left").select(
+        "*",
+        F.count(F.lit(1)).over(everything).alias("_given"),
+        (F.lag(F.struct(*keys)).over(in_order) == F.struct(*keys)).alias("_repeated"),
+    )
+    joined = samples.withColumn("_asked", F.lit(True)).join(given, "sample_idx", "full_outer")
+    where = F.concat_ws("/", *[F.col(name).cast("string") for name in (*keys, "sample_idx")])
     mismatch = (
         F.when(F.col("_asked").isNull(), F.concat(F.lit("prediction without a sample: "), where))
-        .when(F.col("_copies").isNull(), F.concat(F.lit("sample without a prediction: "), where))
-        .when(F.col("_copies") > 1, F.concat(F.lit("more than one prediction: "), where))
+        .when(F.col("_repeated"), F.concat(F.lit("more than one prediction: "), where))
+        .when(
+            F.col("_given").isNotNull() & F.col("_known").isNull(),
+            F.concat(F.lit("prediction of an unknown cell: "), where),
+        )
+        .when(
+            F.coalesce(F.col("_given"), F.lit(0)) < n_cells,
+            F.concat(F.lit("sample without a prediction in some cell: "), F.col("sample_idx").cast("string")),
+        )
     )
     # A filter, unlike a column, is never pruned from the caller's plan.
     sound = F.when(mismatch.isNotNull(), F.raise_error(mismatch).cast("boolean")).otherwise(F.lit(True))
     text = [c for c in samples.columns if c != "sample_idx"]
-    answer = [c for c in predictions.columns if c not in row_key]
-    return joined.filter(sound).select(*row_key, *text, *answer)
+    answer = [c for c in predictions.columns if c not in (*keys, "sample_idx")]
+    return joined.filter(sound).select(*keys, "sample_idx", *text, *answer)
 
 
 def alignment_report(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalsweep.functions.measures import mebibytes, watts
-from evalsweep.operators.sizing import fits_broadcast, for_every_salt, with_salt
+from evalsweep.operators.sizing import MAX_BROADCAST_ROWS, fits_broadcast, for_every_salt, with_salt
 
 TELEMETRY_COLUMNS = (
     "peak_vram_mb",
@@ -96,6 +96,7 @@ def attribute_telemetry(
     start: str = "start_ts",
     end: str = "end_ts",
     salts: int = 32,
+    broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Give each reading the windows open at its time: ``start <= ts < end``.
 
@@ -127,7 +128,7 @@ def attribute_telemetry(
         "_bucket", _shift(_micros(F.col(ts)), F.col("_width"))
     )
     join_key = ["_width", "_bucket"]
-    if fits_broadcast(placed):
+    if fits_broadcast(placed, broadcast_rows):
         placed = F.broadcast(placed)
     else:
         probes, placed = with_salt(probes, salts, ts), for_every_salt(placed, salts)

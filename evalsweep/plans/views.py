@@ -47,7 +47,7 @@ def pick(index: Column, *values: Column) -> Column:
 
 def grid(spark: SparkSession) -> DataFrame:
     """Sixteen cells: 2 models x 2 quantizations x 2 cache presets x 2 limits."""
-    spec = spark.range(1).select(
+    spec = spark.range(0, 1, 1, 1).select(
         F.lit(EXPERIMENT).alias("experiment"),
         F.expr(
             "array(named_struct('id', 'model-a', 'backend', 'vllm'),"

@@ -198,19 +198,22 @@ def write_results(df: DataFrame, path: str, codec: str = "snappy") -> None:
         raise
 
 
-def write_cells(df: DataFrame, path: str, partitions: Sequence[str] = CELL_PARTITIONS) -> None:
+def write_cells(
+    df: DataFrame, path: str, partitions: Sequence[str] = CELL_PARTITIONS, gather: bool = True
+) -> None:
     """Store cells; a cell that is already there is replaced, others stay.
 
     Only the partitions present in ``df`` are written, so re-running a failed or
-    lost cell costs one cell.  Rows are cut by range over the cell key and the
-    sample number: a cell's files are few, and a large cell is written by many
-    tasks.
+    lost cell costs one cell.  ``gather`` brings a cell's rows together for
+    larger files: a rebalance, which splits a cell that is too large for one
+    task and needs no second pass over ``df``.  Rows that already lie cell by
+    cell, such as the output of ``batch_infer``, are written where they are with
+    ``gather=False``.
     """
-    order = [*partitions, *(["sample_idx"] if "sample_idx" in df.columns else [])]
+    if gather:
+        df = df.hint("rebalance", *[F.col(name) for name in partitions])
     (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
         .parquet(path)
@@ -320,16 +323,27 @@ def nest_cells(
 
 
 def unnest_cells(nested: DataFrame, keys: Sequence[str] = ("cell_idx",)) -> DataFrame:
-    """One row per sample again; lists of different lengths fail the job."""
-    lists = ["sample_ids", *NESTED.values()]
+    """One row per sample again; lists of different lengths fail the job.
+
+    Rows of other writers have no ``sample_ids``: their samples are numbered by
+    position from 0.
+    """
+    numbered = "sample_ids" in nested.columns
+    lists = [*NESTED.values(), *(["sample_ids"] if numbered else [])]
     uneven = F.lit(False)
     for name in lists[1:]:
-        uneven = uneven | (F.size(name) != F.size("sample_ids"))
+        uneven = uneven | (F.size(name) != F.size(lists[0]))
     zipped = F.when(
         uneven, F.raise_error(F.lit("parallel lists of a cell differ in length"))
     ).otherwise(F.arrays_zip(*lists))
-    return nested.select(*keys, F.explode(zipped).alias("_s")).select(
+    sample_idx = F.col("_s.sample_ids") if numbered else F.col("_pos").cast("bigint")
+    return nested.select(*keys, F.posexplode(zipped).alias("_pos", "_s")).select(
         *keys,
-        F.col("_s.sample_ids").alias("sample_idx"),
+        sample_idx.alias("sample_idx"),
         *[F.col(f"_s.{plural}").alias(name) for name, plural in NESTED.items()],
     )
+
+
+def read_result_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of the good cells of a result file that keeps them as lists."""
+    return unnest_cells(ok_cells(spark.read.parquet(path)))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evalsweep.operators.telemetry import rollup_columns, telemetry_units
+from evalsweep.sources.store import read_cells, write_cells
 
 
 def telemetry_rollup_stream(
@@ -20,27 +20,24 @@ def telemetry_rollup_stream(
 ) -> StreamingQuery:
     """Keep each cell's roll-up current while its readings arrive.
 
-    The state is one row of numbers per cell.  A micro-batch stores the cells it
-    changed in its own ``batch_id`` folder; a batch repeated after a failure
-    replaces that folder, so results are exact.  Read them with ``read_rollup``.
+    The state is one row of numbers per cell.  Each micro-batch replaces the
+    stored rows of the cells it changed, and only those, so a batch repeated
+    after a failure changes nothing.  Read them with ``read_rollup``.
     """
     rolled = telemetry_units(readings).groupBy(*keys).agg(*rollup_columns())
 
-    def store(changed: DataFrame, batch_id: int) -> None:
-        # The batch number is in the path rather than a column: one batch, one folder.
-        changed.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    def upsert(changed: DataFrame, batch_id: int) -> None:
+        write_cells(changed, out, keys)
 
     return (
         rolled.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(store)
+        .foreachBatch(upsert)
         .start()
     )
 
 
-def read_rollup(spark: SparkSession, out: str, keys: Sequence[str] = ("cell_idx",)) -> DataFrame:
+def read_rollup(spark: SparkSession, out: str) -> DataFrame:
     """Newest roll-up of every cell."""
-    stored = spark.read.parquet(out)
-    newest = stored.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
-    return stored.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")
+    return read_cells(spark, out)
