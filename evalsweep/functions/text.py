@@ -62,9 +62,9 @@ def normalize_text(text: Column) -> Column:
     character to a blank, which lets the split use Java's literal fast path.
     """
     plain = F.translate(F.lower(text), WHITESPACE + PUNCTUATION, " " * len(WHITESPACE))
-    tokens = F.split(plain, " ")
-    for unwanted in ("", *ARTICLES):
-        tokens = F.array_remove(tokens, unwanted)
+    # A lambda rather than nested array_remove calls: those unroll into loops
+    # that push the generated method past the size the JVM will compile.
+    tokens = F.filter(F.split(plain, " "), lambda word: ~word.isin("", *ARTICLES))
     return F.array_join(tokens, " ")
 
 
@@ -73,13 +73,10 @@ def extract_choice(text: Column) -> Column:
 
     Blank text is returned as it is.
     """
-    letter = F.regexp_extract(text, _LONE_CHOICE, 1)
     visible = strip(text)
-    return (
-        F.when(letter != "", F.upper(letter))
-        .when(visible != "", F.upper(F.substring(visible, 1, 1)))
-        .otherwise(text)
-    )
+    letter = F.regexp_extract(text, _LONE_CHOICE, 1)
+    first = F.substring(F.concat(letter, F.substring(visible, 1, 1)), 1, 1)
+    return F.when(visible == "", text).otherwise(F.upper(first))
 
 
 def first_option_letter(text: Column) -> Column:

@@ -110,13 +110,13 @@ def score_rows(
         "_letter", _reduced_letter(prediction, F.col("_pred_choice"), F.col("is_mc"), strict)
     )
     letter = F.col("_letter")
+    # The comparison forms of a single upper-case letter need no text rules.
+    letter_norm = F.when(letter == "A", F.lit("")).otherwise(F.lower(letter))
     compared = reduced.select(
         "*",
         F.coalesce(letter, whole).alias("processed"),
-        F.coalesce(normalize_text(letter), F.col("_pred_norm")).alias("_norm"),
-        F.coalesce(
-            extract_choice(letter), F.when(whole == "", F.lit("")).otherwise(F.col("_pred_choice"))
-        ).alias("_choice"),
+        F.coalesce(letter_norm, F.col("_pred_norm")).alias("_norm"),
+        F.coalesce(letter, F.when(whole == "", F.lit("")).otherwise(F.col("_pred_choice"))).alias("_choice"),
     )
     exact = F.col("_ref_strip") == F.col("processed")
     loose = normalized_match(

@@ -30,3 +30,13 @@ def with_salt(df: DataFrame, salts: int, *columns: str) -> DataFrame:
 def for_every_salt(df: DataFrame, salts: int) -> DataFrame:
     """Repeat the small side once per sub-key."""
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that is stored in too few splits.
+
+    For work that is heavy per row, such as normalizing long texts.  A table
+    with at least as many splits as the cluster has cores is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

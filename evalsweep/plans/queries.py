@@ -17,6 +17,7 @@ from evalsweep.operators import (
     grid,
     infer,
     inspect,
+    judge,
     prompts,
     rollup,
     rules,
@@ -555,10 +556,8 @@ def judge_prompt(spark, sf_dir):
 
 @query
 def parse_judge_reply(spark, sf_dir):
-    verdict = judging.parse_judge_reply(F.col("reply"))
-    return rounded(
-        views.judge_replies(spark, sf_dir).select("sample_idx", verdict.alias("v")).select("sample_idx", "v.*")
-    )
+    parsed = judge.parse_judge_replies(views.judge_replies(spark, sf_dir))
+    return rounded(parsed.select("sample_idx", "verdict.*"))
 
 
 def _scores_open(spark, sf_dir) -> DataFrame:
@@ -638,9 +637,8 @@ def cell_accuracy(spark, sf_dir):
 @query
 def cell_judge(spark, sf_dir):
     """Parsed judge replies rolled up per cell."""
-    verdict = judging.parse_judge_reply(F.col("reply"))
-    judged = views.judge_replies(spark, sf_dir).select("cell_idx", verdict["judge_score"].alias("judge_score"))
-    return rounded(rollup.cell_judge(views.grid(spark), judged))
+    parsed = judge.parse_judge_replies(views.judge_replies(spark, sf_dir))
+    return rounded(rollup.cell_judge(views.grid(spark), parsed.select("cell_idx", "verdict.judge_score")))
 
 
 @query

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evalsweep.operators.grid import cell_samples, grid_cells
 from evalsweep.operators.prompts import build_samples
 from evalsweep.operators.score import score_samples
+from evalsweep.operators.sizing import spread
 
 EXPERIMENT = "Tier One"
 RUN_TS = "20240131T120000Z"
@@ -113,7 +114,7 @@ def scores_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as reference answers to open questions."""
     doc = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         doc.alias("sample_idx"),
         F.concat(F.lit("Summarise document "), doc.cast("string")).alias("prompt"),
         F.col("text").alias("reference"),
@@ -146,7 +147,7 @@ def answers_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, conversations and the benchmark, whole."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents")).select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text"
     )
     turns = table(spark, sf_dir, "conversations").select(
@@ -220,7 +221,7 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = F.floor(event % 100 / 10).cast("int").cast("string")
     head, tail = REPLY_FORMS[0].split("%d")
     forms = [F.concat(F.lit(head), digit, F.lit(tail)), *[F.lit(text) for text in REPLY_FORMS[1:]]]
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         event.alias("sample_idx"),
         (1 + event % 16).cast("int").alias("cell_idx"),
         pick((event % 10).cast("int"), *forms).alias("reply"),

@@ -5,7 +5,7 @@ import rules_in_python as plain
 from pyspark.sql import functions as F
 
 from evalsweep.functions import judging
-from evalsweep.operators import rollup, score
+from evalsweep.operators import judge, rollup, score
 
 CHOICE_PROMPT = "Question: ...\n\nOptions:\n  A. foo\n  B. bar\n\nAnswer:"
 
@@ -113,9 +113,19 @@ REPLIES = [
 
 def test_judge_replies_equal_plain_statement(spark):
     df = spark.createDataFrame(list(enumerate(REPLIES)), "i int, reply string")
-    rows = df.select("i", judging.parse_judge_reply(F.col("reply")).alias("v")).orderBy("i").collect()
+    rows = judge.parse_judge_replies(df).orderBy("i").collect()
     for row, text in zip(rows, REPLIES):
-        assert tuple(row.v) == plain.reply(text), text
+        assert tuple(row.verdict) == plain.reply(text), text
+
+
+def test_parsed_replies_can_judge_the_scores(spark):
+    df = spark.createDataFrame(
+        [(0, "q", "A", "B", '{"score": 0.25, "label": "partial"}'), (1, "q", "A", "B", None)],
+        "sample_idx long, prompt string, reference string, prediction string, reply string",
+    )
+    rows = judge.parse_judge_replies(score.reference_forms(df))
+    found = sorted(score.score_rows(rows, judge=F.col("verdict")).collect())
+    assert [(r.judge_score, r.judge_label) for r in found] == [(0.25, "partial"), (0.0, "incorrect")]
 
 
 def test_judge_prompt_holds_the_three_texts(spark):
