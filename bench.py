@@ -66,6 +66,8 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("evalsweep-bench")
         .config("spark.sql.shuffle.partitions", cpus)
+        # The tables are small: keep all cores busy after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 from time import perf_counter
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import evalsweep
 from evalsweep.functions.measures import is_multiple_choice, token_budget
 from evalsweep.operators.grid import AXES
 
@@ -77,25 +79,29 @@ def batch_infer(
     options: Sequence[str] = AXES,
     tasks: int | None = None,
     batch_size: int = 64,
+    gather: bool = True,
 ) -> DataFrame:
     """Run the model over ``(keys, sample_idx, prompt, model_id, options...)`` rows.
 
     Rows are range-partitioned by (keys, sample_idx): a task sees one cell, or a
     few neighbours, and loads a model once for each, while a cell of any size is
-    cut into as many tasks as it needs.  A failing prompt fills ``error_type``
-    and ``error`` and the rest goes on.
+    cut into as many tasks as it needs.  ``gather=False`` leaves the rows where
+    they are and lets each task load every model it meets: for hosted models,
+    whose clients cost nothing to load, that spares the shuffle.  A failing
+    prompt fills ``error_type`` and ``error`` and the rest goes on.
     """
     spark = rows.sparkSession
+    # Executors need not have this package installed.
+    cloudpickle.register_pickle_by_value(evalsweep)
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys, options = list(keys), [name for name in options if name in rows.columns]
     settings = list(dict.fromkeys([*options, "model_id"]))
     limit = F.col("max_new_tokens") if "max_new_tokens" in rows.columns else F.lit(None).cast("int")
     wanted = list(dict.fromkeys([*keys, "sample_idx", "prompt", *settings]))
-    work = (
-        rows.select(*wanted, token_budget(is_multiple_choice(F.col("prompt")), limit).alias("_budget"))
-        .repartitionByRange(tasks, *keys, "sample_idx")
-        .sortWithinPartitions(*keys, "sample_idx")
-    )
+    work = rows.select(*wanted, token_budget(is_multiple_choice(F.col("prompt")), limit).alias("_budget"))
+    if gather:
+        work = work.repartitionByRange(tasks, *keys, "sample_idx")
+    work = work.sortWithinPartitions(*keys, "sample_idx")
     row_key = [*keys, "sample_idx"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,10 +43,6 @@ def _reduced_letter(prediction: Column, choice: Column, is_choice: Column, stric
     return F.when(is_choice & (letter != ""), letter).when(is_choice & is_letter(choice), choice)
 
 
-def exact_match(reference: Column, processed: Column) -> Column:
-    return strip(reference) == processed
-
-
 def normalized_match(
     ref_norm: Column, ref_choice: Column, norm: Column, choice: Column, strict: bool = False
 ) -> Column:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
-from shutil import make_archive
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import evalsweep
 from evalsweep.functions import judging, measures, text
 from evalsweep.operators import (
     attempts,
@@ -603,21 +599,8 @@ def _length_model(model_id: str, options: dict):
     return lambda asked, budgets: [answer(p, b) for p, b in zip(asked, budgets)]
 
 
-_shipped: set[str] = set()
-
-
-def _ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package; a wheel or --py-files does the same."""
-    if spark.sparkContext.applicationId not in _shipped:
-        root = Path(evalsweep.__file__).parent.parent
-        target = Path(tempfile.mkdtemp(prefix="evalsweep-zip-")) / "evalsweep"
-        spark.sparkContext.addPyFile(make_archive(str(target), "zip", root, "evalsweep"))
-        _shipped.add(spark.sparkContext.applicationId)
-
-
 @query
 def batch_infer(spark, sf_dir):
-    _ship_package(spark)
     choice = views.samples_mc(spark, sf_dir).select("sample_idx", "prompt")
     essays = views.table(spark, sf_dir, "documents").select(
         (-F.col("doc_id") - 1).alias("sample_idx"), prompts.build_prompt(F.col("text")).alias("prompt")

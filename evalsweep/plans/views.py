@@ -87,7 +87,7 @@ def samples_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of all cells to all parts; cells 3, 6, 11 and 14 have failures."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_idx"))
+    parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("sample_idx"))
     rows = cell_samples(parts, grid(spark).select("cell_idx"))
     sample, cell = F.col("sample_idx"), F.col("cell_idx")
     form = ((sample * 7 + cell * 3) % 11).cast("int")

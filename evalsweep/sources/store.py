@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from evalsweep.operators.inspect import cell_position
 from evalsweep.operators.rollup import ok_cells
+from evalsweep.operators.rules import CODECS
 
 # Fixed values -----------------------------------------------------------
-CODECS = ("snappy", "gzip", "brotli", "zstd", "none")
 EXPORT_COLUMNS = (
     "model_id",
     "backend",
@@ -97,10 +97,17 @@ def scan_dataset(
     return table if split is None else table.filter(F.col(split_col) == split)
 
 
-def head_sample(df: DataFrame, max_samples: int, order_by: str | Sequence[str]) -> DataFrame:
-    """The first ``max_samples`` rows in source order, bad rows included."""
+def head_sample(
+    df: DataFrame, max_samples: int, order_by: str | Sequence[str] | None = None
+) -> DataFrame:
+    """The first ``max_samples`` rows in source order, bad rows included.
+
+    Without ``order_by`` the order is that of the Parquet files and their rows.
+    """
+    if order_by is None:
+        order_by = ["_metadata.file_path", "_metadata.row_index"]
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.orderBy(*order).limit(max_samples)
+    return df.orderBy(*order).limit(max_samples).select(*df.columns)
 
 
 # Result files written by other tools --------------------------------------

@@ -24,8 +24,9 @@ def echo_factory(model_id, options):
     return engine
 
 
-def test_answers_carry_model_options_and_budget(spark):
-    answers = infer.batch_infer(rows_of(spark), echo_factory, tasks=3, batch_size=7).collect()
+@pytest.mark.parametrize("gather", [True, False])
+def test_answers_carry_model_options_and_budget(spark, gather):
+    answers = infer.batch_infer(rows_of(spark), echo_factory, tasks=3, batch_size=7, gather=gather).collect()
     assert len(answers) == 80
     for row in answers:
         s, choice = row.sample_idx, row.sample_idx % 2

@@ -108,6 +108,12 @@ def test_head_sample_is_in_source_order(spark):
     assert store.head_sample(df, 1000, "id").count() == 100
 
 
+def test_head_sample_in_file_order(spark, tmp_path):
+    spark.range(100, 0, -1, 1).write.parquet(str(tmp_path / "d"))
+    first = store.head_sample(store.scan_dataset(spark, str(tmp_path / "d")), 3)
+    assert [tuple(r) for r in first.collect()] == [(100,), (99,), (98,)]
+
+
 def cells(spark, cell_numbers, value):
     return spark.createDataFrame(
         [("E", "t1", c, s, value) for c in cell_numbers for s in range(4)],
