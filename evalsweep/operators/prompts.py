@@ -99,6 +99,17 @@ def _option_lines(pairs: Column) -> Column:
     )
 
 
+def _zipped_lines(texts: Column, labels: Column) -> Column:
+    """Option lines up to the end of the shorter list."""
+    shorter = F.least(F.size(texts), F.size(labels))
+    return _option_lines(
+        F.arrays_zip(
+            F.slice(labels, F.lit(1), shorter).alias("label"),
+            F.slice(texts, F.lit(1), shorter).alias("text"),
+        )
+    )
+
+
 def _texts(items: Column, inner: T.DataType) -> Column:
     return F.transform(items, lambda item: plain_text(item, inner))
 
@@ -106,19 +117,32 @@ def _texts(items: Column, inner: T.DataType) -> Column:
 def format_options(choices: Column, dtype: T.DataType) -> Column:
     """Options as ``  X. text`` lines.
 
-    A map or an all-text struct is listed by key; a (text, label) struct is
-    zipped up to its shorter list, lettered when it has no labels; a plain list
-    is lettered.  A map or struct of texts that holds a NULL prints no options.
+    A map or a struct of texts is listed by key, and prints no options when it
+    holds a NULL.  Lists under ``text`` and ``label`` are zipped up to the
+    shorter one, and lettered when there are no labels.  A plain list is
+    lettered.  Any other layout prints no options.
     """
     if isinstance(dtype, T.ArrayType):
         return F.array_join(_lettered(_texts(choices, dtype.elementType)), "\n")
     if isinstance(dtype, T.MapType):
-        pairs = F.transform(
-            F.array_sort(F.map_entries(choices)),
-            lambda e: F.struct(e["key"].alias("label"), e["value"].alias("text")),
+        if isinstance(dtype.valueType, T.StringType):
+            pairs = F.transform(
+                F.array_sort(F.map_entries(choices)),
+                lambda e: F.struct(e["key"].alias("label"), e["value"].alias("text")),
+            )
+            complete = ~F.exists(F.map_values(choices), lambda v: v.isNull())
+            return F.when(complete, _option_lines(pairs)).otherwise(F.lit(""))
+        if not isinstance(dtype.valueType, T.ArrayType):
+            return F.lit("")
+        inner = dtype.valueType.elementType
+        texts, labels = [
+            _texts(F.try_element_at(choices, F.lit(key)), inner) for key in ("text", "label")
+        ]
+        lettered = F.array_join(_lettered(texts), "\n")
+        return F.coalesce(
+            F.when(F.map_contains_key(choices, "label"), _zipped_lines(texts, labels)).otherwise(lettered),
+            F.lit(""),
         )
-        complete = ~F.exists(F.map_values(choices), lambda v: v.isNull())
-        return F.when(complete, _option_lines(pairs)).otherwise(F.lit(""))
     fields = {field.name: field.dataType for field in dtype.fields}
     if all(isinstance(kind, T.StringType) for kind in fields.values()):
         pairs = F.array(
@@ -126,17 +150,12 @@ def format_options(choices: Column, dtype: T.DataType) -> Column:
         )
         complete = ~F.exists(pairs, lambda p: p["text"].isNull())
         return F.when(complete, _option_lines(pairs)).otherwise(F.lit(""))
-    if "text" not in fields:
+    if not isinstance(fields.get("text"), T.ArrayType):
         return F.lit("")
     texts = _texts(choices["text"], fields["text"].elementType)
-    if "label" not in fields:
+    if not isinstance(fields.get("label"), T.ArrayType):
         return F.array_join(_lettered(texts), "\n")
-    labels = _texts(choices["label"], fields["label"].elementType)
-    shorter = F.least(F.size(texts), F.size(labels))
-    zipped = F.arrays_zip(
-        F.slice(labels, F.lit(1), shorter).alias("label"), F.slice(texts, F.lit(1), shorter).alias("text")
-    )
-    return _option_lines(zipped)
+    return _zipped_lines(texts, _texts(choices["label"], fields["label"].elementType))
 
 
 def _filled(choices: Column, dtype: T.DataType) -> Column:

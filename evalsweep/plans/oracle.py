@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evalsweep.operators.prompts import CHOICE_SYSTEM, ESSAY_SYSTEM
 from evalsweep.functions.judging import JUDGE_SYSTEM
+from evalsweep.operators.prompts import ESSAY_SYSTEM
 from evalsweep.plans.sql_views import choice, norm, processed, quoted, strip, verdict, with_views, words
+from evalsweep.plans.views import RUN_TS
 
 _RESULT_COLUMNS = """experiment, cell_idx, model_id, backend, quantization, kv_cache, prefix_cache,
     max_new_tokens, status, error, n_samples, mean_ttft_s, mean_tps, mean_total_s, exact_match_pct,
@@ -77,6 +78,23 @@ _INFER_ROWS = f"""(SELECT g.cell_idx, g.model_id, s.sample_idx, s.prompt,
           UNION ALL SELECT -doc_id - 1, {_essay('text')} FROM documents) s CROSS JOIN grid g)"""
 
 
+_SWEEP_ROWS = f"""(SELECT *, {norm('reference')} AS rn, {choice('reference')} AS rc, {norm('prediction')} AS pn,
+        {choice('prediction')} AS pc, {processed('prediction', 'true')} AS processed
+    FROM (SELECT g.cell_idx, s.sample_idx, s.reference, g.model_id,
+            model_id = 'model-b' AND quantization IS NOT NULL AND length(prompt) % 17 = 3 AS failed,
+            concat('out of memory at ', CAST(length(prompt) AS VARCHAR)) AS message,
+            concat(CASE WHEN model_id = 'model-a' THEN '' ELSE 'Option (' END,
+                   substr('ABCDE', CAST(length(prompt) % 5 AS INT) + 1, 1),
+                   CASE WHEN model_id = 'model-a' THEN '.' ELSE ')' END) AS prediction
+          FROM samples_mc s CROSS JOIN grid g))"""
+_SWEEP_CELLS = f"""(SELECT cell_idx, count(*) AS n, bool_or(failed) AS bad,
+        arg_min(message, sample_idx) FILTER (WHERE failed) AS error,
+        count(*) FILTER (WHERE {strip('reference')} = processed) / count(*) * 100 AS exact,
+        count(*) FILTER (WHERE rn = {norm('processed')} OR rc = {choice('processed')}) / count(*) * 100 AS loose,
+        avg({_OPEN_SCORE}) AS judged
+    FROM {_SWEEP_ROWS} GROUP BY cell_idx)"""
+
+
 def _text_of(option: str, mark: str) -> str:
     return f"'  {mark}. ', {option}"
 
@@ -270,6 +288,18 @@ _SQL: dict[str, str] = {
             CASE WHEN n % 97 = 13 THEN 'RuntimeError' END AS error_type,
             CASE WHEN n % 97 = 13 THEN concat('out of memory at ', CAST(n AS VARCHAR)) END AS error
         FROM (SELECT *, length(prompt) AS n FROM {_INFER_ROWS})""",
+    "run_sweep": f"""SELECT g.experiment, '{RUN_TS}' AS run_ts, g.cell_idx, g.model_id, g.backend, g.quantization,
+            g.kv_cache, g.prefix_cache, g.max_new_tokens, CASE WHEN c.bad THEN 'oom' ELSE 'ok' END AS status, c.error,
+            CASE WHEN NOT c.bad THEN c.n END AS n_samples,
+            CASE WHEN NOT c.bad AND g.model_id = 'model-a' THEN 0.125::DOUBLE END AS mean_ttft_s,
+            CASE WHEN NOT c.bad THEN CASE WHEN g.model_id = 'model-a' THEN 4.0::DOUBLE ELSE 12.0::DOUBLE END END
+                AS mean_tps,
+            CASE WHEN NOT c.bad THEN CASE WHEN g.model_id = 'model-a' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END END
+                AS mean_total_s,
+            CASE WHEN NOT c.bad THEN round(c.exact, 6) END AS exact_match_pct,
+            CASE WHEN NOT c.bad THEN round(c.loose, 6) END AS normalized_match_pct,
+            CASE WHEN NOT c.bad THEN round(c.judged, 6) END AS judge_avg_score
+        FROM grid g JOIN {_SWEEP_CELLS} c ON c.cell_idx = g.cell_idx""",
     "cell_accuracy": """SELECT g.cell_idx, n.n_samples, n.n_exact, n.n_normalized,
             round(n.n_exact / n.n_samples * 100, 6) AS exact_match_pct,
             round(n.n_normalized / n.n_samples * 100, 6) AS normalized_match_pct

@@ -20,7 +20,7 @@ from evalsweep.operators import (
     score,
     telemetry,
 )
-from evalsweep.plans import views
+from evalsweep.plans import sweep, views
 from evalsweep.sources import store
 from evalsweep.sources.workspace import work_folder
 from evalsweep.streaming import telemetry_stream
@@ -609,6 +609,35 @@ def batch_infer(spark, sf_dir):
     return infer.batch_infer(rows, _length_model)
 
 
+def _sweep_model(model_id: str, options: dict):
+    """Stand-in model: model-a gives letters; model-b explains, and fails when quantized."""
+
+    def answer(prompt: str) -> dict:
+        letter = "ABCDE"[len(prompt) % 5]
+        if model_id == "model-a":
+            return {"text": f"{letter}.", "ttft_s": 0.125, "total_s": 0.5, "n_tokens": 2}
+        if options["quantization"] is not None and len(prompt) % 17 == 3:
+            raise RuntimeError(f"out of memory at {len(prompt)}")
+        return {"text": f"Option ({letter})", "total_s": 0.25, "n_tokens": 3}
+
+    return lambda asked, budgets: [answer(prompt) for prompt in asked]
+
+
+@query
+def run_sweep(spark, sf_dir):
+    """All sixteen cells from prompts to stored results, in two waves."""
+    results = sweep.run_sweep(
+        views.samples_mc(spark, sf_dir),
+        views.grid(spark),
+        _sweep_model,
+        work_folder(spark, "run-sweep"),
+        views.RUN_TS,
+        judge="heuristic",
+        cells_per_wave=8,
+    )
+    return rounded(results)
+
+
 # Roll-ups ------------------------------------------------------------------------
 
 

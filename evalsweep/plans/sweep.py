@@ -70,7 +70,8 @@ def run_sweep(
         asked = cell_samples(samples.select("sample_idx", "prompt"), wave)
         answers = batch_infer(asked, factory, keys=KEYS, tasks=tasks)
         write_cells(answers, f"{path}/predictions", gather=False)
-        scores = score_samples(samples, stored(answers, "predictions"), judge)
+        # Prompts and references stay in the samples table instead of once per cell.
+        scores = score_samples(samples, stored(answers, "predictions"), judge).drop("prompt", "reference")
         write_cells(scores, f"{path}/scores")
         results = cell_results(wave, stored(scores, "scores"), readings, keys=KEYS)
         write_cells(results, f"{path}/results")

@@ -38,6 +38,6 @@ def telemetry_rollup_stream(
     )
 
 
-def read_rollup(spark: SparkSession, out: str) -> DataFrame:
-    """Newest roll-up of every cell."""
-    return read_cells(spark, out)
+def read_rollup(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:
+    """Newest roll-up of every cell; a schema keeps text keys that look like numbers."""
+    return read_cells(spark, out, schema)

@@ -67,6 +67,11 @@ def options(spark, ddl, value):
         ("struct<B:string,A:string>", ("y", "x"), "  A. x\n  B. y"),
         ("struct<B:string,A:string>", ("y", None), ""),
         ("array<string>", [], ""),
+        ("map<string,int>", {"A": 1}, ""),
+        ("map<string,array<string>>", {"text": ["x", "y"], "label": ["P"]}, "  P. x"),
+        ("map<string,array<string>>", {"text": ["x", "y"]}, "  A. x\n  B. y"),
+        ("map<string,array<string>>", {"other": ["x"]}, ""),
+        ("struct<text:string,n:int>", ("x", 1), ""),
     ],
 )
 def test_options(spark, ddl, value, lines):

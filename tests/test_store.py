@@ -132,6 +132,21 @@ def test_rerun_of_one_cell_leaves_the_others(spark, tmp_path, gather):
     assert kept == {f: os.path.getmtime(f) for f in glob.glob(f"{path}/*/*/cell_idx=[13]/*.parquet")}
 
 
+def test_a_large_cell_is_written_by_many_tasks(spark, tmp_path):
+    path, size = str(tmp_path / "cells"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.range(0, 60_000, 1, 8).selectExpr(
+        "'E' experiment", "'t' run_ts", "if(id % 3 < 2, 1, cast(id % 50 as int) + 2) cell_idx",
+        "id sample_idx", "sha2(cast(id as string), 512) value",
+    )
+    spark.conf.set(size, "256k")
+    try:
+        store.write_cells(rows, path)
+    finally:
+        spark.conf.unset(size)
+    assert len(glob.glob(f"{path}/*/*/cell_idx=1/*.parquet")) > 4
+    assert store.read_cells(spark, path).count() == 60_000
+
+
 def test_nest_and_unnest(spark):
     rows = [(c, s, f"p{s}", f"r{s}", f"a{c}{s}") for c in (1, 2) for s in range(25)]
     df = spark.createDataFrame(rows, "cell_idx int, sample_idx long, prompt string, reference string, prediction string")
