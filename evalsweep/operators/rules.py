@@ -18,6 +18,8 @@ CODECS = ("snappy", "gzip", "brotli", "zstd", "none")
 JUDGE_PROVIDERS = ("mock", "api")
 DEFAULTS = {
     "backend": "hf",
+    "description": "",
+    "source": "hf",
     "split": "test",
     "max_samples": 100,
     "max_new_tokens": 256,

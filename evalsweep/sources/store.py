@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalsweep.functions.text import plain_text
 from evalsweep.operators.inspect import cell_position
 from evalsweep.operators.rollup import ok_cells
 from evalsweep.operators.rules import CODECS
@@ -255,10 +256,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.options(**_CSV, multiLine="true").schema(schema).csv(path)
 
 
+def _as_text(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Booleans and doubles the way Python writes them; NULL stays an empty field."""
+    shown = (T.BooleanType, T.DoubleType)
+    return [
+        F.when(F.col(name).isNotNull(), plain_text(F.col(name), df.schema[name].dataType)).alias(name)
+        if isinstance(df.schema[name].dataType, shown)
+        else F.col(name)
+        for name in columns
+    ]
+
+
 def export_metrics(results: DataFrame, path: str) -> list[str]:
     """The metric columns that are present, in their fixed order; returns them."""
     columns = [name for name in EXPORT_COLUMNS if name in results.columns]
-    write_csv(results.select(*columns), path)
+    write_csv(results.select(*_as_text(results, columns)), path)
     return columns
 
 
@@ -284,16 +296,14 @@ def export_predictions(
         f"{path}/predictions",
         [*others, "cell_pos"],
     )
+    metrics = ("exact_match_pct", "normalized_match_pct", "mean_tps", "mean_total_s")
     write_csv(
         good.select(
             *others,
             cell_position().alias("cell_pos"),
             F.col("model_id").alias("model"),
             "backend",
-            "exact_match_pct",
-            "normalized_match_pct",
-            "mean_tps",
-            "mean_total_s",
+            *_as_text(good, metrics),
         ),
         f"{path}/summary",
         [*others, "cell_pos"],

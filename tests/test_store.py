@@ -171,6 +171,24 @@ def test_metrics_export_keeps_present_columns_in_order(spark, tmp_path):
     assert text.strip() == "model_id,mean_tps,experiment\nm,1.5,e"
 
 
+def test_exported_values_read_as_python_text(spark, tmp_path):
+    df = spark.createDataFrame([("m", True, 1e-05, None)], "model_id string, kv_cache boolean, mean_tps double, error string")
+    store.export_metrics(df, str(tmp_path / "m"))
+    text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "m" / "*.csv")))
+    assert "m,True,,1e-05" in text
+    back = store.read_csv(spark, str(tmp_path / "m"), "model_id string, kv_cache boolean, error string, mean_tps double")
+    assert [tuple(r) for r in back.collect()] == [("m", True, None, 1e-05)]
+
+
+def test_brotli_says_what_is_missing(spark, tmp_path):
+    try:
+        store.write_results(spark.range(3), str(tmp_path / "b"), "brotli")
+    except RuntimeError as exc:
+        assert "brotli codec" in str(exc)
+    else:
+        assert spark.read.parquet(str(tmp_path / "b")).count() == 3
+
+
 def test_prediction_export(spark, tmp_path):
     results = spark.createDataFrame(
         [(1, "ok", "m", "hf", 1.0, 2.0, 3.0, 4.0), (2, "oom", "m", "hf", None, None, None, None)],
