@@ -31,30 +31,28 @@ def reduce_mc_prediction(prediction: Column, is_choice: Column, strict: bool = F
     By default any letter A-E counts, wherever it stands.  ``strict`` takes a
     standalone letter only.
     """
-    reduced = _reduced_letter(prediction, extract_choice(prediction), is_choice, strict)
-    return F.coalesce(reduced, strip(prediction))
+    choice = extract_choice(prediction)
+    if strict:
+        return F.coalesce(_choice_letter(choice, is_choice, strict), strip(prediction))
+    return F.coalesce(
+        _option_letter(prediction, is_choice), _choice_letter(choice, is_choice, strict), strip(prediction)
+    )
 
 
-def _reduced_letter(prediction: Column, choice: Column, is_choice: Column, strict: bool) -> Column:
-    """The letter a multiple-choice prediction is cut to, NULL where it stays whole."""
-    if strict:
-        return F.when(is_choice & lone_letter(choice), choice)
+def _option_letter(prediction: Column, is_choice: Column) -> Column:
+    """First letter A-E of a multiple-choice prediction, NULL if there is none."""
     letter = first_option_letter(prediction)
-    return F.when(is_choice & (letter != ""), letter).when(is_choice & is_letter(choice), choice)
+    return F.when(is_choice & (letter != ""), letter)
 
 
-def normalized_match(
-    ref_norm: Column, ref_choice: Column, norm: Column, choice: Column, strict: bool = False
-) -> Column:
-    """Equal comparison forms, or equal choices.
+def _choice_letter(choice: Column, is_choice: Column, strict: bool) -> Column:
+    """The choice of a multiple-choice prediction where it is a letter, else NULL."""
+    return F.when(is_choice & (lone_letter(choice) if strict else is_letter(choice)), choice)
 
-    By default the choice of a text without a standalone letter is its first
-    character; ``strict`` compares choices of lone letters only.
-    """
-    same_choice = ref_choice == choice
-    if strict:
-        same_choice = same_choice & lone_letter(ref_choice)
-    return (ref_norm == norm) | same_choice
+
+def _same(ref_choice: Column, choice: Column, strict: bool) -> Column:
+    """Equal choices; ``strict`` compares those of lone letters only."""
+    return (ref_choice == choice) & lone_letter(ref_choice) if strict else ref_choice == choice
 
 
 def reference_forms(samples: DataFrame) -> DataFrame:
@@ -69,61 +67,63 @@ def reference_forms(samples: DataFrame) -> DataFrame:
     )
 
 
-def _judge_columns(judge: Column | str | None, strict: bool) -> tuple[Column, Column]:
-    if judge is None:
-        return F.lit(None).cast("double"), F.lit(None).cast("string")
-    if isinstance(judge, str):
-        if judge != "heuristic":
-            raise ValueError(f"unknown judge {judge!r}; give 'heuristic', a verdict column or None")
-        judge = heuristic_verdict(
-            F.col("_ref_norm"), F.col("_ref_choice"), F.col("_pred_norm"), F.col("_pred_choice"), strict
-        )
-    return judge["judge_score"], judge["judge_label"]
-
-
 def score_rows(
     rows: DataFrame, judge: Column | str | None = None, strict: bool = False
 ) -> DataFrame:
     """Score rows that hold ``prediction`` and the columns of ``reference_forms``.
 
-    ``judge`` is None (off), ``"heuristic"``, or a struct column with
-    ``judge_score`` and ``judge_label`` such as a parsed reply.
+    Predictions match exactly when the stripped reference equals the reduced
+    prediction, and match normalized when their comparison forms or their
+    choices are equal.  ``judge`` is None (off), ``"heuristic"``, or a struct
+    column with ``judge_score`` and ``judge_label`` such as a parsed reply.
 
-    Each step names what the next ones use more than once, so that no text is
-    normalized twice: a prediction that is not reduced to a letter has the same
-    comparison forms before and after stripping.
+    Each step names what later ones use more than once, and the costly forms of
+    a text are made only where a cheaper rule has not settled the row: a
+    prediction cut to a letter needs none, and equal choices need no normalized
+    text.  Stripping does not change the comparison forms of a text.
     """
+    heuristic = isinstance(judge, str)
+    if heuristic and judge != "heuristic":
+        raise ValueError(f"unknown judge {judge!r}; give 'heuristic', a verdict column or None")
     helpers = {"_ref_strip", "_ref_norm", "_ref_choice"}
     kept = [name for name in rows.columns if name not in helpers]
     prediction, whole = F.col("prediction"), F.col("_pred_strip")
-    read = rows.select(
-        "*",
-        strip(prediction).alias("_pred_strip"),
-        normalize_text(prediction).alias("_pred_norm"),
-        extract_choice(prediction).alias("_pred_choice"),
-    )
-    reduced = read.withColumn(
-        "_letter", _reduced_letter(prediction, F.col("_pred_choice"), F.col("is_mc"), strict)
+    ref_norm, ref_choice = F.col("_ref_norm"), F.col("_ref_choice")
+
+    option = F.lit(None).cast("string") if strict else _option_letter(prediction, F.col("is_mc"))
+    read = rows.select("*", strip(prediction).alias("_pred_strip"), option.alias("_option"))
+    choice = extract_choice(prediction)
+    chosen = read.withColumn(
+        "_pred_choice", choice if heuristic else F.when(F.col("_option").isNull(), choice)
     )
+    pred_choice = F.col("_pred_choice")
+    letter = F.coalesce("_option", _choice_letter(pred_choice, F.col("is_mc"), strict))
+    reduced = chosen.withColumn("_letter", letter)
     letter = F.col("_letter")
-    # The comparison forms of a single upper-case letter need no text rules.
-    letter_norm = F.when(letter == "A", F.lit("")).otherwise(F.lower(letter))
+    own_choice = F.coalesce(letter, F.when(whole == "", F.lit("")).otherwise(pred_choice))
     compared = reduced.select(
         "*",
         F.coalesce(letter, whole).alias("processed"),
-        F.coalesce(letter_norm, F.col("_pred_norm")).alias("_norm"),
-        F.coalesce(letter, F.when(whole == "", F.lit("")).otherwise(F.col("_pred_choice"))).alias("_choice"),
-    )
-    exact = F.col("_ref_strip") == F.col("processed")
-    loose = normalized_match(
-        F.col("_ref_norm"), F.col("_ref_choice"), F.col("_norm"), F.col("_choice"), strict
+        _same(ref_choice, own_choice, strict).alias("_same_choice"),
+        ((ref_choice != "") & _same(ref_choice, pred_choice, strict)).alias("_judged_same"),
     )
-    score, label = _judge_columns(judge, strict)
-    return compared.select(
+    open_rows = letter.isNull() & ~F.col("_same_choice")
+    if heuristic:
+        open_rows = open_rows | ~F.col("_judged_same")
+    settled = compared.withColumn("_pred_norm", F.when(open_rows, normalize_text(prediction)))
+    # The comparison form of a single upper-case letter needs no text rules.
+    letter_norm = F.when(letter == "A", F.lit("")).otherwise(F.lower(letter))
+    own_norm = F.coalesce(letter_norm, F.col("_pred_norm"))
+    if heuristic:
+        judge = heuristic_verdict(ref_norm, F.col("_pred_norm"), F.col("_judged_same"))
+    none = F.lit(None)
+    score = none.cast("double") if judge is None else judge["judge_score"]
+    label = none.cast("string") if judge is None else judge["judge_label"]
+    return settled.select(
         *kept,
         "processed",
-        F.coalesce(exact, F.lit(False)).alias("exact_match"),
-        F.coalesce(loose, F.lit(False)).alias("normalized_match"),
+        F.coalesce(F.col("_ref_strip") == F.col("processed"), F.lit(False)).alias("exact_match"),
+        F.coalesce(F.col("_same_choice") | (ref_norm == own_norm), F.lit(False)).alias("normalized_match"),
         score.alias("judge_score"),
         label.alias("judge_label"),
     )
