@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
-
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+from evalsweep.plans.oracle import ORACLE_SQL as SQL
+from evalsweep.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
