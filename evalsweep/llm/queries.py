@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from evalsweep.llm import pii, url_filter
+from evalsweep.llm import bpe, packing, pii, url_filter
 from evalsweep.llm.common import table
 
 QUERIES = {}
@@ -20,6 +21,18 @@ def op2_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op6_packing(spark, sf_dir):
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, public_tokenizers.PATTERN)
+
+
 URL_RULES = (
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
