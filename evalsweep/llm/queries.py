@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evalsweep.llm import bpe, packing, pii, url_filter
+from evalsweep.llm import bpe, inner_products, packing, pii, url_filter
 from evalsweep.llm.common import table
 
 QUERIES = {}
@@ -33,6 +33,12 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, public_tokenizers.PATTERN)
 
 
+@query
+def op7_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return inner_products.top_k(vectors, "vec_id", "embedding", lambda vec_id: vec_id % 50 == 0)
+
+
 URL_RULES = (
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
