@@ -142,3 +142,46 @@ class PolyHash:
 
 def row_key(*columns: Column | str) -> Column:
     return F.xxhash64(*columns)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 32768) -> Iterator[pa.Table]:
+    """Tables of at least so many rows that never cut a run of equal keys; input sorted by key."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        whole = pa.Table.from_batches(held)
+        keys = whole.column(key).to_numpy()
+        if keys[0] == keys[-1]:
+            continue
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+        yield whole.slice(0, cut)
+        held, size = whole.slice(cut).combine_chunks().to_batches(), size - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def run_starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end of the last."""
+    if not len(keys):
+        return np.zeros(1, np.int64)
+    return np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n places, the smallest place that each reaches over the links a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

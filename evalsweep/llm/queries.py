@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evalsweep.llm import bpe, inner_products, packing, pii, url_filter
+from evalsweep.llm import bpe, inner_products, near_vectors, packing, pii, url_filter
 from evalsweep.llm.common import table
 
 QUERIES = {}
@@ -56,3 +56,9 @@ def op9_url_filter(spark, sf_dir):
     hosts = pages.select(url_filter.host_of(F.col("url")).alias("key")).distinct()
     blocked = hosts.filter(F.col("key").rlike(r"(^|[.-])(%s)([.-]|$)" % "|".join(BLOCKED_WORDS)))
     return url_filter.judge_urls(pages, URL_RULES, blocked)
+
+
+@query
+def op10_near_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return near_vectors.near_duplicates(vectors, "vec_id", "embedding", "label")
