@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evalsweep.llm import bpe, inner_products, near_vectors, packing, pii, url_filter
+from evalsweep.llm import bpe, inner_products, near_vectors, packing, pii, quality, toxicity, url_filter
 from evalsweep.llm.common import table
 
 QUERIES = {}
@@ -16,6 +16,16 @@ def query(function):
     return function
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
