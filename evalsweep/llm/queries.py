@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evalsweep.llm import bpe, inner_products, near_vectors, packing, pii, quality, toxicity, url_filter
+from evalsweep.llm import (
+    bpe,
+    inner_products,
+    near_texts,
+    near_vectors,
+    packing,
+    pii,
+    quality,
+    toxicity,
+    url_filter,
+)
 from evalsweep.llm.common import table
 
 QUERIES = {}
@@ -37,6 +47,11 @@ def op3_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query
+def op5_near_texts(spark, sf_dir):
+    return near_texts.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_packing(spark, sf_dir):
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
