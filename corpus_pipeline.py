@@ -1,22 +1,51 @@
 """A training corpus from raw documents, stage by stage.
 
 Every stage reads what the one before it wrote.  All but the last return the
-columns of ``documents``.
+columns of ``documents``; the last returns pieces of packed sequences.
 """
 
 from __future__ import annotations
 
-from evalsweep.llm import pii
+import public_tokenizers
+
+from evalsweep.llm import near_texts, packing, pii, repeats, toxicity
 from evalsweep.llm.common import staged, table
 
 
-def redact_private(spark, docs, sf_dir):
+def toxic(spark, docs, sf_dir):
+    """Drop documents whose restored words score as toxic."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Keep the document of smallest id of each group of near copies."""
+    return near_texts.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Cut passages of 200 bytes and more that stand anywhere else too."""
+    return repeats.remove_repeats(docs)
+
+
+def private(spark, docs, sf_dir):
+    """Replace personal data by placeholders."""
     return pii.redact(docs)
 
 
-STAGES = [("pii", redact_private)]
+def packed(spark, docs, sf_dir):
+    """Pack documents into sequences of at most 1024 ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("pii", private),
+    ("packing", packed),
+]
 
-# No SQL for learned scores, minimum hashes, spans or byte pair ids: see tests/llm.
+# No SQL for learned scores, minimum hashes or byte pair ids: see tests/llm.
 ORACLE_SQL = None
 
 

@@ -291,3 +291,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """The documents whose id is the smallest of their component; same columns.
+
+    Of rows that share an id and are kept, all stay if their texts differ; equal
+    rows stay as often as they occur.  Rows without an id or without words stay.
+    """
+    gone = near_duplicates(docs, plan).filter("not kept").select("doc_id").distinct()
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -13,6 +13,7 @@ from evalsweep.llm import (
     packing,
     pii,
     quality,
+    repeats,
     toxicity,
     url_filter,
 )
@@ -64,6 +65,11 @@ def op7_top_k(spark, sf_dir):
     return inner_products.top_k(vectors, "vec_id", "embedding", lambda vec_id: vec_id % 50 == 0)
 
 
+@query
+def op8_repeats(spark, sf_dir):
+    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = (
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
