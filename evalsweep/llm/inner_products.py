@@ -155,6 +155,8 @@ def search_block(
         # Rotated sums choose whom to score; of each query only what can reach its k best.
         other = c_ids[at_c] != q_ids[at_q]
         at_q, at_c = at_q[other], at_c[other]
+        if not len(at_q):
+            continue
         for a in range(0, len(at_q), 1 << 18):
             one_q, one_c = at_q[a : a + (1 << 18)], at_c[a : a + (1 << 18)]
             held.append((one_q, c_ids[one_c], exact_products(q[one_q], c[one_c])))

@@ -320,20 +320,23 @@ def _counted_edges(edges: DataFrame, length: int, gram: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"w1": [], "w2": [], "_row": [], "start": []}
         polys = PolyHash(5), PolyHash(6)
-        columns = (batch.column(c).to_pylist() for c in ("left", "right", "at", "_row", "n"))
-        for left, right, at, row, n in zip(*columns):
+        columns = (batch.column(c).to_pylist() for c in ("left", "right", "at", "_row"))
+        for left, right, at, row in zip(*columns):
             data = np.frombuffer(left[::-1] + right, np.uint8)
             begin = np.arange(max(0, len(data) - length + 1))
             begin = begin[begin <= len(left)]
             for name, poly in zip(("w1", "w2"), polys):
                 hashes = poly.load(data).of(begin, begin + length).view(np.int64)
-                out[name] += [hashes] * min(n, 2)
-            out["_row"] += [np.full(len(begin), row)] * min(n, 2)
-            out["start"] += [begin + at - len(left)] * min(n, 2)
+                out[name].append(hashes)
+            out["_row"].append(np.full(len(begin), row))
+            out["start"].append(begin + at - len(left))
         return {name: np.concatenate([np.zeros(0, np.int64), *parts]) for name, parts in out.items()}
 
     windows = map_batches(edges, work, "w1 long, w2 long, _row long, start long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Surroundings of neighbouring places overlap: a window counts once for each place in a text.
+    place = F.xxhash64("_row", "start")
+    twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    twice = twice.filter("low <> high").select("w1", "w2")
     found = windows.join(twice, ["w1", "w2"], "left_semi")
     return found.select("_row", "start", (F.col("start") + length).alias("end"))
 

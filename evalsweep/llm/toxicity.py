@@ -41,7 +41,7 @@ _SYMBOL[ord("A") : ord("Z") + 1] = _SYMBOL[ord("a") : ord("z") + 1] = np.arange(
 _SYMBOL[0xC0:] = OTHER  # the first byte of a letter beyond ASCII
 
 _SUSPECT = re.compile(
-    r"(?<=[A-Za-z])[0134578@$|!+(<€£](?=[A-Za-z0-9@$!|])"  # a sign within a word
+    r"(?<=[A-Za-z])[0134578@$|!+(<€£](?=[A-Za-z0-9@$])"  # a sign within a word
     r"|(?<!\S)[0134578@$!|](?=[A-Za-z])"  # a sign that begins one
     r"|([A-Za-z])\1\1"  # a letter three times
     r"|(?<=[A-Za-z])[.*_~^-](?=[A-Za-z0-9@$!])"  # a mark between letters
