@@ -13,6 +13,9 @@ OOM_PHRASE = "out of memory"
 OOM_TYPES = ("OutOfMemoryError", "torch.OutOfMemoryError", "torch.cuda.OutOfMemoryError")
 RUNTIME_ERROR = "RuntimeError"
 CELL_TIMEOUT_SECONDS = 3600
+TIMEOUT_TEXT = f"Worker process timeout: did not complete within {CELL_TIMEOUT_SECONDS}s"
+EXIT_TEXT = "Worker exited with code "
+NO_OUTPUT_TEXT = "Worker produced no output: "
 # ------------------------------------------------------------------------
 
 
@@ -35,12 +38,17 @@ def throughput(n_tokens: Column, elapsed: Column) -> Column:
     return F.when(elapsed > 0, n_tokens / elapsed).otherwise(F.lit(0.0))
 
 
-def failure_status(error_type: Column, message: Column) -> Column:
-    """``oom`` or ``error`` for a failed attempt, NULL when nothing failed."""
+def failure_status(error_type: Column, message: Column, is_runtime: Column | None = None) -> Column:
+    """``oom`` or ``error`` for a failed attempt, NULL when nothing failed.
+
+    ``is_runtime`` says whether the error is a runtime error or a kind of one;
+    without it, or where it is NULL, the name of the type decides.
+    """
     names_oom = F.contains(F.lower(message), F.lit(OOM_PHRASE))
-    out_of_memory = error_type.isin(*OOM_TYPES) | (
-        (error_type == RUNTIME_ERROR) & F.coalesce(names_oom, F.lit(False))
-    )
+    runtime = error_type == RUNTIME_ERROR
+    if is_runtime is not None:
+        runtime = runtime | F.coalesce(is_runtime, F.lit(False))
+    out_of_memory = error_type.isin(*OOM_TYPES) | (runtime & F.coalesce(names_oom, F.lit(False)))
     return F.when(error_type.isNotNull(), F.when(out_of_memory, F.lit("oom")).otherwise(F.lit("error")))
 
 
@@ -59,11 +67,11 @@ def attempt_error(exit_code: Column, payload: Column, reason: Column | None = No
     return (
         F.when(
             exit_code.isNull(),
-            F.lit(f"Worker process timeout: did not complete within {CELL_TIMEOUT_SECONDS}s"),
+            F.lit(TIMEOUT_TEXT),
         )
         .when(payload.isNotNull(), F.lit(None).cast("string"))
-        .when(exit_code != 0, F.concat(F.lit("Worker exited with code "), exit_code.cast("string")))
-        .otherwise(F.concat(F.lit("Worker produced no output: "), reason))
+        .when(exit_code != 0, F.concat(F.lit(EXIT_TEXT), exit_code.cast("string")))
+        .otherwise(F.concat(F.lit(NO_OUTPUT_TEXT), reason))
     )
 
 

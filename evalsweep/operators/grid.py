@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ DEFAULT_BACKEND = "hf"
 # ------------------------------------------------------------------------
 
 AXES = ("quantization", "kv_cache", "prefix_cache", "max_new_tokens")
+# Settings of a spec that hold for all of its cells.
+GENERATION = ("temperature", "top_p", "repetition_penalty")
 
 
 def _filled(items: Column) -> Column:
@@ -105,8 +108,13 @@ def permutations(specs: DataFrame, keys: Sequence[str] = ("experiment",)) -> Dat
 def grid_cells(specs: DataFrame, keys: Sequence[str] = ("experiment",)) -> DataFrame:
     """Models times permutations, model-major; ``cell_idx`` counts from 1 per spec.
 
-    ``models`` is a list of structs with ``id`` and ``backend``.
+    ``models`` is a list of structs with ``id`` and ``backend``; what else a
+    struct holds are options of that model.  Those and the generation settings of
+    the spec become columns of its cells, for the model factory.
     """
+    described = {"id", "backend", *AXES}
+    more = [f.name for f in specs.schema["models"].dataType.elementType.fields if f.name not in described]
+    settings = [name for name in GENERATION if name in specs.columns and name not in more]
     product = _permutation_list(quantization_axis(specs), cache_axis(specs), token_axis(specs))
     cells = F.flatten(
         F.transform(
@@ -117,19 +125,21 @@ def grid_cells(specs: DataFrame, keys: Sequence[str] = ("experiment",)) -> DataF
                     model["id"].alias("model_id"),
                     F.coalesce(model["backend"], F.lit(DEFAULT_BACKEND)).alias("backend"),
                     *[p[axis].alias(axis) for axis in AXES],
+                    *[model[name].alias(name) for name in more],
                 ),
             ),
         )
     )
     return (
         specs.withColumn("_product", product)
-        .select(*keys, F.posexplode(cells).alias("_pos", "_c"))
+        .select(*keys, *settings, F.posexplode(cells).alias("_pos", "_c"))
         .select(
             *keys,
             (F.col("_pos") + 1).cast("int").alias("cell_idx"),
             "_c.model_id",
             "_c.backend",
-            *[F.col(f"_c.{axis}").alias(axis) for axis in AXES],
+            *[F.col(f"_c.{axis}").alias(axis) for axis in (*AXES, *more)],
+            *settings,
         )
     )
 
@@ -150,23 +160,39 @@ def cell_samples(
     grid: DataFrame,
     on: Sequence[str] = (),
     id_col: str = "sample_idx",
-    salts: int = 64,
+    salts: int | None = None,
     broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Every cell sees every sample (of its dataset, when ``on`` names the link).
 
     A grid of checked small size is carried to the samples, which then stay
-    where they are.  A larger grid meets them in a salted equi-join, so that a
-    dataset holding most of the samples is spread over ``salts`` sub-keys.
+    where they are.  A larger grid is cut into slices that each fit, and every
+    slice is carried to the samples; where ``on`` links them, the two meet in a
+    salted equi-join instead, so that a dataset holding most of the samples is
+    spread over ``salts`` sub-keys, by default as many as a shuffle has
+    partitions.
     """
     on = list(on)
-    if not fits_broadcast(grid, broadcast_rows):
-        return (
-            with_salt(samples, salts, id_col)
-            .join(for_every_salt(grid, salts), [*on, "_salt"])
-            .drop("_salt")
-        )
+    if fits_broadcast(grid, broadcast_rows):
+        return samples.join(F.broadcast(grid), on) if on else _carried(samples, grid)
     if on:
-        return samples.join(F.broadcast(grid), on)
+        salts = salts or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = with_salt(samples, salts, id_col)
+        return salted.join(for_every_salt(grid, salts), [*on, "_salt"]).drop("_salt")
+    # Halved until every slice fits in rows and bytes.
+    slices = 2
+    while True:
+        parts = [
+            grid.filter(F.pmod(F.xxhash64(*grid.columns), F.lit(slices)) == part) for part in range(slices)
+        ]
+        if all(fits_broadcast(part, broadcast_rows) for part in parts):
+            break
+        if slices > 2**16:
+            raise ValueError("too many equal cells for one slice of the grid")
+        slices *= 2
+    return reduce(DataFrame.unionAll, [_carried(samples, part) for part in parts])
+
+
+def _carried(samples: DataFrame, grid: DataFrame) -> DataFrame:
     cells = grid.agg(F.collect_list(F.struct(*grid.columns))).scalar()
     return samples.withColumn("_cell", F.explode(cells)).select(*samples.columns, "_cell.*")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import traceback
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from time import perf_counter
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import evalsweep
 from evalsweep.functions.measures import is_multiple_choice, token_budget
-from evalsweep.operators.grid import AXES
 
 # engine(prompts, budgets) -> one answer per prompt: a text, or a dict with
 # "text" and any of "ttft_s", "total_s", "n_tokens".
@@ -22,7 +22,8 @@ Engine = Callable[[list[str], list[int]], Sequence]
 Factory = Callable[[str, dict], Engine]
 
 ANSWER_SCHEMA = (
-    "prediction string, ttft_s double, total_s double, n_tokens int, error_type string, error string"
+    "prediction string, ttft_s double, total_s double, n_tokens int, error_type string, error string, "
+    "error_is_runtime boolean"
 )
 _ANSWER_TYPES = {
     "prediction": pa.string(),
@@ -31,13 +32,37 @@ _ANSWER_TYPES = {
     "n_tokens": pa.int32(),
     "error_type": pa.string(),
     "error": pa.string(),
+    "error_is_runtime": pa.bool_(),
 }
 
 
 def _failure(exc: Exception) -> dict:
     """Runtime errors keep their message, everything else its traceback."""
-    text = str(exc) if isinstance(exc, RuntimeError) else traceback.format_exc()
-    return {"error_type": type(exc).__name__, "error": text}
+    runtime = isinstance(exc, RuntimeError)
+    text = str(exc) if runtime else traceback.format_exc()
+    return {"error_type": type(exc).__name__, "error": text, "error_is_runtime": runtime}
+
+
+def _closed(engine) -> dict | None:
+    """Close an engine; what went wrong, or None."""
+    try:
+        if hasattr(engine, "close"):
+            engine.close()
+    except Exception as exc:
+        return _failure(exc)
+    return None
+
+
+def _failed_late(batch: pa.RecordBatch, failure: dict | None) -> pa.RecordBatch:
+    """The last answers of a cell, with the failure to close its engine on those without one."""
+    if failure is None:
+        return batch
+    good = [kind is None for kind in batch.column("error_type").to_pylist()]
+    columns = dict(zip(batch.schema.names, batch.columns))
+    for name, value in failure.items():
+        given = columns[name].to_pylist()
+        columns[name] = pa.array([value if g else v for g, v in zip(good, given)], columns[name].type)
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _one_call(engine: Engine, prompts: list[str], budgets: list[int]) -> list[dict]:
@@ -63,7 +88,7 @@ def _one_call(engine: Engine, prompts: list[str], budgets: list[int]) -> list[di
 
 
 def _answers(engine: Engine, prompts: list[str], budgets: list[int]) -> list[dict]:
-    """Answers for a batch; when the batch fails, each prompt is tried alone."""
+    """Answers for a batch; when it fails, all of its prompts are asked again, one by one."""
     try:
         return _one_call(engine, prompts, budgets)
     except Exception as exc:
@@ -72,57 +97,109 @@ def _answers(engine: Engine, prompts: list[str], budgets: list[int]) -> list[dic
     return [row for p, b in zip(prompts, budgets) for row in _answers(engine, [p], [b])]
 
 
+def infer_cells(
+    samples: DataFrame,
+    cells: DataFrame,
+    factory: Factory,
+    keys: Sequence[str] = ("cell_idx",),
+    options: Sequence[str] | None = None,
+    batch_size: int = 64,
+) -> DataFrame:
+    """Run every cell over every ``(sample_idx, prompt)`` without moving a prompt.
+
+    The samples are scanned once for each cell and the scans are united: a task
+    has one split and one cell, and loads one model.  Meant for a wave of cells;
+    all of them are named in one plan.
+    """
+    rows = cells.collect()
+    if not rows:
+        cells_of_none = [F.lit(None).cast(f.dataType).alias(f.name) for f in cells.schema]
+        return batch_infer(samples.limit(0).select("sample_idx", "prompt", *cells_of_none), factory, keys, options)
+    scans = [
+        samples.select(
+            "sample_idx", "prompt", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in cells.schema]
+        )
+        for row in rows
+    ]
+    return _infer(reduce(DataFrame.unionAll, scans), factory, keys, options, batch_size, keys, None)
+
+
 def batch_infer(
     rows: DataFrame,
     factory: Factory,
     keys: Sequence[str] = ("cell_idx",),
-    options: Sequence[str] = AXES,
+    options: Sequence[str] | None = None,
     tasks: int | None = None,
     batch_size: int = 64,
-    gather: bool = True,
+    gather: bool = False,
+    load_on: Sequence[str] | None = None,
+    budget: Column | None = None,
 ) -> DataFrame:
     """Run the model over ``(keys, sample_idx, prompt, model_id, options...)`` rows.
 
-    Rows are range-partitioned by (keys, sample_idx): a task sees one cell, or a
-    few neighbours, and loads a model once for each, while a cell of any size is
-    cut into as many tasks as it needs.  ``gather=False`` leaves the rows where
-    they are and lets each task load every model it meets: for hosted models,
-    whose clients cost nothing to load, that spares the shuffle.  A failing
-    prompt fills ``error_type`` and ``error`` and the rest goes on.
+    Rows stay where they are and are put in cell order within their task, which
+    loads each model that it meets.  ``gather=True`` range-partitions them by
+    (keys, sample_idx) first: few model loads per task and a large cell cut over
+    many, at the price of moving the prompt of every row; ``infer_cells`` needs
+    neither.  ``options`` names the columns that the factory gets, by default all
+    others: axes, backend, generation settings.  A new model is loaded when the
+    ``load_on`` columns change, by default the keys.
+
+    A failing prompt fills ``error_type`` and ``error`` and the rest goes on.  An
+    engine that fails to close fails the last batch of its cell.
     """
-    spark = rows.sparkSession
+    keys = list(keys)
+    load_on = keys if load_on is None else list(load_on)
+    if gather:
+        tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartitionByRange(tasks, *keys, "sample_idx")
+    rows = rows.sortWithinPartitions(*keys, "sample_idx")
+    return _infer(rows, factory, keys, options, batch_size, load_on, budget)
+
+
+def _infer(
+    rows: DataFrame,
+    factory: Factory,
+    keys: Sequence[str],
+    options: Sequence[str] | None,
+    batch_size: int,
+    load_on: Sequence[str],
+    budget: Column | None,
+) -> DataFrame:
     # Executors need not have this package installed.
     cloudpickle.register_pickle_by_value(evalsweep)
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys, options = list(keys), [name for name in options if name in rows.columns]
-    settings = list(dict.fromkeys([*options, "model_id"]))
-    limit = F.col("max_new_tokens") if "max_new_tokens" in rows.columns else F.lit(None).cast("int")
-    wanted = list(dict.fromkeys([*keys, "sample_idx", "prompt", *settings]))
-    work = rows.select(*wanted, token_budget(is_multiple_choice(F.col("prompt")), limit).alias("_budget"))
-    if gather:
-        work = work.repartitionByRange(tasks, *keys, "sample_idx")
-    work = work.sortWithinPartitions(*keys, "sample_idx")
     row_key = [*keys, "sample_idx"]
+    if options is None:
+        options = [name for name in rows.columns if name not in (*row_key, "prompt")]
+    settings = [name for name in dict.fromkeys([*options, "model_id"]) if name in rows.columns]
+    limit = F.col("max_new_tokens") if "max_new_tokens" in rows.columns else F.lit(None).cast("int")
+    if budget is None:
+        budget = token_budget(is_multiple_choice(F.col("prompt")), limit)
+    wanted = list(dict.fromkeys([*row_key, "prompt", *settings]))
+    work = rows.select(*wanted, budget.cast("int").alias("_budget"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine, loaded, load_error = None, None, None
+        engine, loaded, load_error, held = None, None, None, None
         try:
             for batch in batches:
-                cells = list(zip(*[batch.column(name).to_pylist() for name in keys]))
-                # Rows arrive ordered by cell; a step never crosses a cell's end.
+                # Rows that share a model are side by side; a step never crosses to another.
+                models = list(zip(*[batch.column(name).to_pylist() for name in load_on])) or [()] * batch.num_rows
                 start = 0
-                while start < len(cells):
+                while start < len(models):
                     stop = start + 1
-                    while stop < len(cells) and stop - start < batch_size and cells[stop] == cells[start]:
+                    while stop < len(models) and stop - start < batch_size and models[stop] == models[start]:
                         stop += 1
                     part = batch.slice(start, stop - start)
-                    if cells[start] != loaded:
-                        if hasattr(engine, "close"):
-                            engine.close()
-                        engine, loaded, load_error = None, cells[start], None
+                    if models[start] != loaded:
+                        # The last answers of a cell wait until its engine is closed.
+                        closing, engine = engine, None
+                        failure = _closed(closing)
+                        if held is not None:
+                            yield _failed_late(held, failure)
+                        held, loaded, load_error = None, models[start], None
                         config = {name: part.column(name)[0].as_py() for name in settings}
                         try:
-                            engine = factory(config.pop("model_id"), config)
+                            engine = factory(config.pop("model_id", None), config)
                         except Exception as exc:
                             load_error = _failure(exc)
                     asked = part.column("prompt").to_pylist()
@@ -130,7 +207,9 @@ def batch_infer(
                         answers = [load_error] * len(asked)
                     else:
                         answers = _answers(engine, asked, part.column("_budget").to_pylist())
-                    yield pa.RecordBatch.from_arrays(
+                    if held is not None:
+                        yield held
+                    held = pa.RecordBatch.from_arrays(
                         [
                             *[part.column(name) for name in row_key],
                             *[
@@ -141,9 +220,12 @@ def batch_infer(
                         names=[*row_key, *_ANSWER_TYPES],
                     )
                     start = stop
+            closing, engine = engine, None
+            failure = _closed(closing)
+            if held is not None:
+                yield _failed_late(held, failure)
         finally:
-            if hasattr(engine, "close"):
-                engine.close()
+            _closed(engine)
 
     key_schema = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in row_key)
     return work.mapInArrow(run, f"{key_schema}, {ANSWER_SCHEMA}")

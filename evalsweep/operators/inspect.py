@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from evalsweep.functions.text import strip
 
+# Fixed values -----------------------------------------------------------
 SHOWN_CHARACTERS = 70
+NOT_FOUND_TEXT = "Cell {pos} not found (only {cells} cells available)"
+FAILED_TEXT = "Cell {pos} failed: {error}"
+# ------------------------------------------------------------------------
 DETAIL_METRICS = (
     "n_samples",
     "exact_match_pct",
@@ -68,10 +72,10 @@ def show_predictions(results: DataFrame, samples: DataFrame, cell_pos: int = 0,
     schema = "pos int, mark string, prediction string, reference string, message string"
     cell = results.filter(F.col("cell_idx") == cell_pos + 1).select("status", "error").first()
     if cell is None:
-        message = f"Cell {cell_pos} not found (only {results.count()} cells available)"
+        message = NOT_FOUND_TEXT.format(pos=cell_pos, cells=results.count())
         return spark.createDataFrame([(None, None, None, None, message)], schema)
     if cell["status"] != "ok":
-        message = f"Cell {cell_pos} failed: {cell['error']}"
+        message = FAILED_TEXT.format(pos=cell_pos, error=cell["error"])
         return spark.createDataFrame([(None, None, None, None, message)], schema)
 
     text = F.col("prediction")

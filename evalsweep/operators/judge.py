@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evalsweep.functions.judging import INCORRECT, verdict
 
+# What Python's float takes, bar blanks around it.
+_DIGITS = r"\d(?:_?\d)*"
+_NUMBER = rf"(?i)\A[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)\z"
 _JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
@@ -15,7 +18,9 @@ def parse_judge_replies(df: DataFrame, reply: str = "reply", name: str = "verdic
 
     The widest ``{...}`` in the reply (else all of it) must be exactly one JSON
     object.  A missing score is 0.0 and a missing label ``incorrect``; anything
-    unreadable scores (0.0, incorrect).  ``from_json`` alone accepts trailing
+    unreadable scores (0.0, incorrect).  A score in a text is read as Python reads
+    a number, and a label that is true or false is spelt as Python spells it.
+    ``from_json`` alone accepts trailing
     text, so the body is parsed twice, as the only member of an array and as a
     value inside an object: text that follows the object breaks one of the two.
 
@@ -51,10 +56,15 @@ def parse_judge_replies(df: DataFrame, reply: str = "reply", name: str = "verdic
         F.when(F.col("_score").isNull(), F.lit(0.0))
         .when(raw == "true", F.lit(1.0))
         .when(raw == "false", F.lit(0.0))
-        .otherwise(raw.try_cast("double"))
+        .when(F.regexp_like(F.trim(raw), F.lit(_NUMBER)), F.replace(raw, F.lit("_"), F.lit("")).try_cast("double"))
     )
-    label = F.when(F.col("_label").isNull(), F.lit(INCORRECT)).otherwise(
-        F.coalesce("_label.value", F.lit("None"))
+    # The map holds texts only; the typed value tells true from "true".
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.label", "variant"))
+    shown = F.coalesce("_label.value", F.lit("None"))
+    label = (
+        F.when(F.col("_label").isNull(), F.lit(INCORRECT))
+        .when(kind == "BOOLEAN", F.initcap(shown))
+        .otherwise(shown)
     )
     numbers = entries.select("*", number.alias("_number"))
     value = F.col("_number")

@@ -88,8 +88,15 @@ def count_keyless(df: DataFrame, record: str, keys: Sequence[str] = QUESTION_KEY
     return df.agg(F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_dropped"))
 
 
+def _label(position: Column) -> Column:
+    """A, B, C and on by code point; ``char`` alone starts again after 256."""
+    point = position + 65
+    wide = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return F.when(point < 256, F.char(point)).otherwise(wide)
+
+
 def _lettered(items: Column) -> Column:
-    return F.transform(items, lambda item, i: F.concat(F.lit("  "), F.char(i + 65), F.lit(". "), item))
+    return F.transform(items, lambda item, i: F.concat(F.lit("  "), _label(i), F.lit(". "), item))
 
 
 def _option_lines(pairs: Column) -> Column:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalsweep.functions.measures import failure_status, percent, throughput
-from evalsweep.operators.telemetry import fill_missing, rollup_readings
+from evalsweep.operators.sizing import fits_broadcast
+from evalsweep.operators.telemetry import fill_missing, or_zero, rollup_readings
 
 GRID_COLUMNS = (
     "experiment",
@@ -48,7 +49,7 @@ def cell_accuracy(grid: DataFrame, scores: DataFrame, keys: Sequence[str] = ("ce
     """Counts and percentages per cell; a cell without samples shows zeros."""
     keys = list(keys)
     counted = scores.groupBy(*keys).agg(*_accuracy())
-    joined = grid.select(*keys).join(counted, keys, "left").na.fill(0, ["n_samples", "n_exact", "n_normalized"])
+    joined = or_zero(grid.select(*keys).join(counted, keys, "left"), "n_samples", "n_exact", "n_normalized")
     return joined.select(
         *keys,
         "n_samples",
@@ -63,7 +64,7 @@ def cell_judge(grid: DataFrame, scores: DataFrame, keys: Sequence[str] = ("cell_
     """Mean judge score per cell; 0.0 without one, also when the judge is off."""
     keys = list(keys)
     judged = scores.groupBy(*keys).agg(F.avg("judge_score").alias("judge_avg_score"))
-    return grid.select(*keys).join(judged, keys, "left").na.fill(0.0, ["judge_avg_score"])
+    return or_zero(grid.select(*keys).join(judged, keys, "left"), "judge_avg_score")
 
 
 def cell_perf(grid: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("cell_idx",)) -> DataFrame:
@@ -71,7 +72,7 @@ def cell_perf(grid: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("c
     keys = list(keys)
     timed = predictions.groupBy(*keys).agg(F.count("sample_idx").alias("n_samples"), *_performance())
     joined = grid.select(*keys).join(timed, keys, "left")
-    return joined.na.fill({"n_samples": 0, "mean_tps": 0.0, "mean_total_s": 0.0})
+    return or_zero(joined, "n_samples", "mean_tps", "mean_total_s")
 
 
 def cell_results(
@@ -83,26 +84,23 @@ def cell_results(
     """The result row of each cell.
 
     One failed sample fails its cell: the status and error are those of the
-    first failing sample by number, and there are no metrics.  ``scores`` is
-    read twice, once for numbers only and once for the few failing rows, so that
-    no aggregation state has to carry texts; give it as a stored table.
+    first failing sample by number, and there are no metrics.  A failing row that
+    is stored twice counts once for that.  Aggregation states carry no texts: the
+    errors are read in a second, pruned pass over ``scores`` (give it as a stored
+    table), which keeps one row per cell before any text moves.
     """
     keys = list(keys)
-    failing = F.col("error_type").isNotNull()
     numbers = scores.groupBy(*keys).agg(
         *_accuracy(),
         *_performance(),
         F.avg("judge_score").alias("judge_avg_score"),
-        F.min(F.when(failing, F.col("sample_idx"))).alias("_first_failure"),
     )
-    first_errors = scores.filter(failing).select(
-        *keys, F.col("sample_idx").alias("_first_failure"), "error_type", "error"
-    )
-    cells = grid.join(numbers, keys, "left").join(first_errors, [*keys, "_first_failure"], "left")
+    cells = grid.join(numbers, keys, "left").join(_first_errors(grid, scores, keys), keys, "left")
     if readings is not None:
         cells = fill_missing(cells.join(rollup_readings(readings, keys), keys, "left"))
 
-    status = F.coalesce(failure_status(F.col("error_type"), F.col("error")), F.lit("ok"))
+    is_runtime = F.col("error_is_runtime")
+    status = F.coalesce(failure_status(F.col("error_type"), F.col("error"), is_runtime), F.lit("ok"))
     n_samples = F.coalesce(F.col("n_samples"), F.lit(0))
     metrics = {
         "n_samples": n_samples,
@@ -140,6 +138,28 @@ def cell_results(
     )
 
 
+def _first_errors(grid: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Type and text of each failed cell's first error, one row per cell.
+
+    A model that does not load leaves its traceback on every row of its cell.
+    The first failing numbers are found without texts and, having at most a row
+    per cell, are carried to the failing rows if the grid is small.
+    """
+    is_runtime = F.col("error_is_runtime") if "error_is_runtime" in scores.columns else F.lit(None)
+    failing = scores.filter(F.col("error_type").isNotNull()).select(
+        *keys, "sample_idx", "error_type", "error", is_runtime.cast("boolean").alias("error_is_runtime")
+    )
+    first = failing.groupBy(*keys).agg(F.min("sample_idx").alias("sample_idx"))
+    first = first.join(grid.select(*keys), keys, "left_semi")
+    if fits_broadcast(grid.select(*keys)):
+        first = F.broadcast(first)
+    found = failing.join(first, [*keys, "sample_idx"], "left_semi")
+    # Only copies of one row are left in a cell; one of them stands for it.
+    copies = Window.partitionBy(*keys).orderBy("error_type", "error")
+    one = found.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1")
+    return one.drop("_copy", "sample_idx")
+
+
 def ok_cells(results: DataFrame) -> DataFrame:
     return results.filter(F.col("status") == "ok")
 

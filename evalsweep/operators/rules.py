@@ -31,17 +31,9 @@ DEFAULTS = {
     "tdp_limit_watts": 300,
     "results_dir": "results",
     "compress": "snappy",
-    "mock_enabled": False,
-    "oom_probability": 0.0,
-    "base_latency_ms": 120,
-    "tokens_per_second": 80,
     "seed": 42,
     "judge_enabled": False,
     "judge_provider": "mock",
-    "api_provider": "openai",
-    "timeout_s": 60.0,
-    "max_retries": 2,
-    "trust_remote_code": False,
 }
 # ------------------------------------------------------------------------
 
@@ -144,12 +136,33 @@ def check_unknown_columns(spark: SparkSession, df: DataFrame, allowed: Mapping)
     return spark.createDataFrame(rows, "column string, rule string")
 
 
-def fill_defaults(df: DataFrame, defaults: Mapping[str, object] = DEFAULTS) -> DataFrame:
-    """Absent values get their defaults; an explicit value is never changed."""
-    return df.na.fill({name: value for name, value in defaults.items() if name in df.columns})
+def count_unknown_fields(df: DataFrame, allowed: Mapping) -> DataFrame:
+    """One row per unknown column or nested field, and in how many rows it is set; one pass."""
+    paths = unknown_fields(df.schema, allowed)
+
+    def is_set(path: str) -> Column:
+        value, kind, in_list = F.col(".".join(f"`{part}`" for part in path.split("."))), df.schema, False
+        for part in path.split("."):
+            while isinstance(kind, T.ArrayType):
+                kind, in_list = kind.elementType, True
+            kind = kind[part].dataType
+        return F.exists(value, lambda x: x.isNotNull()) if in_list else value.isNotNull()
+
+    if not paths:
+        return df.sparkSession.createDataFrame([], "column string, rule string, n_rows bigint")
+    counts = df.agg(*[F.count_if(is_set(path)).alias(f"n{i}") for i, path in enumerate(paths)])
+    rows = F.array(
+        *[
+            F.struct(F.lit(path).alias("column"), F.lit(f"unknown:{path}").alias("rule"), F.col(f"n{i}").alias("n_rows"))
+            for i, path in enumerate(paths)
+        ]
+    )
+    return counts.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
-def force_mock(df: DataFrame, enabled: str = "mock_enabled", backend: str = "backend") -> DataFrame:
-    """Specs in mock mode use the mock backend, whatever they name."""
-    mock = F.coalesce(F.col(enabled), F.lit(False))
-    return df.withColumn(backend, F.when(mock, F.lit("mock")).otherwise(F.col(backend)))
+def fill_defaults(df: DataFrame, defaults: Mapping[str, object] = DEFAULTS) -> DataFrame:
+    """Absent values get their defaults; an explicit value is never changed."""
+    present = {name: value for name, value in defaults.items() if name in df.columns}
+    return df.withColumns(
+        {name: F.coalesce(F.col(name), F.lit(value).cast(df.schema[name].dataType)) for name, value in present.items()}
+    )

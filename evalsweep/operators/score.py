@@ -21,7 +21,6 @@ from evalsweep.functions.text import (
     normalize_text,
     strip,
 )
-from evalsweep.operators.grid import cell_samples
 from evalsweep.operators.sizing import fits_broadcast
 
 
@@ -138,11 +137,29 @@ def score_samples(
 ) -> DataFrame:
     """Score predictions of all cells against the samples they answer.
 
+    A prediction without its sample, and a sample number given twice, fail the
+    job: accuracy is never taken over fewer or more rows than were predicted.
+    Missing predictions show only against a grid: see ``align_outputs``.
+
     The only exchange is the join on the sample key.  Each sample occurs once per
     cell, so that key has no hot values, and prompt and reference texts travel
     with the predictions only if the caller selects them.
     """
-    return score_rows(predictions.join(reference_forms(samples), list(on)), judge, strict)
+    on = list(on)
+    forms = reference_forms(samples).select(
+        "*", F.count(F.lit(1)).over(Window.partitionBy(*on)).alias("_given")
+    )
+    where = F.concat_ws("/", *[F.col(name).cast("string") for name in on])
+    mismatch = F.when(F.col("_given").isNull(), F.concat(F.lit("prediction without a sample: "), where)).when(
+        F.col("_given") > 1, F.concat(F.lit("sample given more than once: "), where)
+    )
+    paired = predictions.join(forms, on, "left").filter(_sound(mismatch)).drop("_given")
+    return score_rows(paired, judge, strict)
+
+
+def _sound(mismatch: Column) -> Column:
+    """True, or an error with the mismatch.  A filter, unlike a column, is never pruned."""
+    return F.when(mismatch.isNotNull(), F.raise_error(mismatch).cast("boolean")).otherwise(F.lit(True))
 
 
 def align_outputs(
@@ -151,7 +168,7 @@ def align_outputs(
     """Pair every cell's predictions with the samples; any mismatch fails the job.
 
     A prediction without its sample or its cell, a sample that lacks a cell's
-    prediction, and a prediction given twice are all errors.  They are raised
+    prediction, and a prediction or sample given twice are all errors.  They are raised
     from inside the joined rows, so the data is read once.  Predictions and
     samples each move once, by sample number: texts are not repeated per cell
     before they move, and a sample number has at most one row per cell.
@@ -169,10 +186,12 @@ def align_outputs(
         F.count(F.lit(1)).over(everything).alias("_given"),
         (F.lag(F.struct(*keys)).over(in_order) == F.struct(*keys)).alias("_repeated"),
     )
-    joined = samples.withColumn("_asked", F.lit(True)).join(given, "sample_idx", "full_outer")
+    asked = samples.withColumn("_asked", F.count(F.lit(1)).over(Window.partitionBy("sample_idx")))
+    joined = asked.join(given, "sample_idx", "full_outer")
     where = F.concat_ws("/", *[F.col(name).cast("string") for name in (*keys, "sample_idx")])
     mismatch = (
         F.when(F.col("_asked").isNull(), F.concat(F.lit("prediction without a sample: "), where))
+        .when(F.col("_asked") > 1, F.concat(F.lit("sample given more than once: "), where))
         .when(F.col("_repeated"), F.concat(F.lit("more than one prediction: "), where))
         .when(
             F.col("_given").isNotNull() & F.col("_known").isNull(),
@@ -183,26 +202,44 @@ def align_outputs(
             F.concat(F.lit("sample without a prediction in some cell: "), F.col("sample_idx").cast("string")),
         )
     )
-    # A filter, unlike a column, is never pruned from the caller's plan.
-    sound = F.when(mismatch.isNotNull(), F.raise_error(mismatch).cast("boolean")).otherwise(F.lit(True))
     text = [c for c in samples.columns if c != "sample_idx"]
     answer = [c for c in predictions.columns if c not in (*keys, "sample_idx")]
-    return joined.filter(sound).select(*keys, "sample_idx", *text, *answer)
+    return joined.filter(_sound(mismatch)).select(*keys, "sample_idx", *text, *answer)
 
 
 def alignment_report(
     samples: DataFrame, predictions: DataFrame, grid: DataFrame, keys: Sequence[str] = ("cell_idx",)
 ) -> DataFrame:
-    """Per cell: samples asked, predictions given, and how many of them do not pair."""
+    """Per cell: samples asked, predictions given, and how many of them do not pair.
+
+    Only what was given is counted and joined to the sample numbers; the pairs
+    that were asked for are a product, never a table.  Cells that the grid does
+    not know are listed with nothing asked.
+    """
     keys = list(keys)
-    row_key = [*keys, "sample_idx"]
-    asked = cell_samples(samples.select("sample_idx"), grid.select(*keys))
-    given = predictions.groupBy(*row_key).agg(F.count(F.lit(1)).alias("_given"))
-    joined = asked.withColumn("_asked", F.lit(1)).join(given, row_key, "full_outer")
-    return joined.groupBy(*keys).agg(
-        F.count("_asked").alias("n_asked"),
-        F.coalesce(F.sum("_given"), F.lit(0)).alias("n_given"),
-        F.count_if(F.col("_given").isNull()).alias("n_missing"),
-        F.count_if(F.col("_asked").isNull()).alias("n_unasked"),
-        F.count_if(F.col("_given") > 1).alias("n_repeated"),
+    n_asked = samples.agg(F.count_distinct("sample_idx")).scalar()
+    asked = samples.select("sample_idx").distinct().withColumn("_asked", F.lit(1))
+    given = predictions.groupBy(*keys, "sample_idx").agg(F.count(F.lit(1)).alias("_given"))
+    counted = (
+        given.join(asked, "sample_idx", "left")
+        .groupBy(*keys)
+        .agg(
+            F.sum("_given").alias("n_given"),
+            F.count("_asked").alias("_paired"),
+            F.count_if(F.col("_asked").isNull()).alias("n_unasked"),
+            F.count_if(F.col("_given") > 1).alias("n_repeated"),
+        )
+    )
+    cells = grid.select(*keys).withColumn("n_asked", n_asked)
+
+    def number(name: str) -> Column:
+        return F.coalesce(name, F.lit(0)).cast("bigint")
+
+    return cells.join(counted, keys, "full_outer").select(
+        *keys,
+        number("n_asked").alias("n_asked"),
+        number("n_given").alias("n_given"),
+        F.greatest(number("n_asked") - number("_paired"), F.lit(0)).alias("n_missing"),
+        number("n_unasked").alias("n_unasked"),
+        number("n_repeated").alias("n_repeated"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalsweep.functions.measures import mebibytes, watts
 from evalsweep.operators.sizing import MAX_BROADCAST_ROWS, fits_broadcast, for_every_salt, with_salt
+from evalsweep.sources.workspace import work_folder
 
 TELEMETRY_COLUMNS = (
     "peak_vram_mb",
@@ -24,7 +25,8 @@ TELEMETRY_COLUMNS = (
 def telemetry_units(readings: DataFrame) -> DataFrame:
     """Raw readings to MiB, watts and percent; a failed reading counts as 0.0.
 
-    Devices that were not read at all may lack their columns.
+    Devices that were not read at all may lack their columns; hosts that do not
+    say whether a GPU was read have none.
     """
     conversions = {
         "vram_used_mb": ("vram_used_bytes", mebibytes),
@@ -40,6 +42,8 @@ def telemetry_units(readings: DataFrame) -> DataFrame:
         (convert(F.col(source)) if source in readings.columns else F.lit(0.0)).alias(name)
         for name, (source, convert) in conversions.items()
     ]
+    if "gpu_ok" not in kept:
+        converted.append(F.lit(False).alias("gpu_ok"))
     return readings.select(*kept, *converted)
 
 
@@ -69,8 +73,14 @@ def rollup_readings(readings: DataFrame, keys: Sequence[str] = ("cell_idx",)) ->
 
 def fill_missing(rolled: DataFrame) -> DataFrame:
     """Cells without readings show zeros and no GPU."""
-    zeros = {name: 0.0 for name in TELEMETRY_COLUMNS}
-    return rolled.na.fill({**zeros, "hw_sample_count": 0, "gpu_available": False})
+    filled = or_zero(rolled, *TELEMETRY_COLUMNS, "hw_sample_count")
+    return filled.withColumn("gpu_available", F.coalesce("gpu_available", F.lit(False)))
+
+
+def or_zero(df: DataFrame, *names: str) -> DataFrame:
+    """Numbers that are missing become 0; NaN, which ``na.fill`` replaces too, stays."""
+    zeros = {name: F.coalesce(F.col(name), F.lit(0).cast(df.schema[name].dataType)) for name in names}
+    return df.withColumns(zeros)
 
 
 def cell_telemetry(
@@ -95,19 +105,25 @@ def attribute_telemetry(
     ts: str = "ts",
     start: str = "start_ts",
     end: str = "end_ts",
-    salts: int = 32,
+    on: Sequence[str] = (),
+    salts: int | None = None,
     broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Give each reading the windows open at its time: ``start <= ts < end``.
 
+    ``on`` names what reading and window must share, such as host and device:
+    cells that run side by side each get their own readings only.
+
     Time is cut into buckets as wide as a window is long, rounded up to a power
     of two: a window lies in at most two buckets of its own width, and a bucket
     holds few windows that do not overlap.  Readings look into one bucket per
     width in use (at most 63).  That makes it an equi-join whose candidates grow
     with the true matches, and no reading meets all windows.  Windows of checked small
-    size are broadcast; otherwise a bucket with most of the readings is spread
-    over ``salts`` sub-keys.
+    size are broadcast; otherwise a bucket with most of the readings, even if they
+    carry one time, is spread over ``salts`` sub-keys, by default as many as a
+    shuffle has partitions, at most 256.  The placed windows are stored once.
     """
+    on = list(on)
     opened, closed = _micros(F.col(start)), _micros(F.col(end))
     # Bits of (length - 1): the power of two that covers the window.
     width = F.length(F.bin(closed - opened - 1)).cast("int")
@@ -123,15 +139,20 @@ def attribute_telemetry(
             ),
         )
     )
+    spark = readings.sparkSession
+    path = work_folder(spark, "placed-windows")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
     widths = placed.agg(F.collect_set("_width")).scalar()
     probes = readings.withColumn("_width", F.explode(widths)).withColumn(
         "_bucket", _shift(_micros(F.col(ts)), F.col("_width"))
     )
-    join_key = ["_width", "_bucket"]
+    helpers = ["_width", "_bucket"]
     if fits_broadcast(placed, broadcast_rows):
         placed = F.broadcast(placed)
     else:
-        probes, placed = with_salt(probes, salts, ts), for_every_salt(placed, salts)
-        join_key.append("_salt")
+        salts = salts or min(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        probes, placed = with_salt(probes, salts, *readings.columns), for_every_salt(placed, salts)
+        helpers.append("_salt")
     inside = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
-    return probes.join(placed, join_key).filter(inside).drop(*join_key)
+    return probes.join(placed, [*on, *helpers]).filter(inside).drop(*helpers)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from evalsweep.functions.judging import JUDGE_SYSTEM
-from evalsweep.operators.prompts import ESSAY_SYSTEM
 from evalsweep.plans.sql_views import choice, norm, processed, quoted, strip, verdict, with_views, words
-from evalsweep.plans.views import RUN_TS
+
+# Stated again, so that a wrong value in the package shows.
+RUN_TS = "20240131T120000Z"
+ESSAY_SYSTEM = "Answer the question in full sentences and give your reasons."
+JUDGE_SYSTEM = (
+    "Grade a model's answer against the reference answer. Give a score between 0.0 (wrong) and "
+    '1.0 (right) and answer with a single JSON object: {"score": <number>, '
+    '"label": "correct" or "partial" or "incorrect"}.'
+)
 
 _RESULT_COLUMNS = """experiment, cell_idx, model_id, backend, quantization, kv_cache, prefix_cache,
     max_new_tokens, status, error, n_samples, mean_ttft_s, mean_tps, mean_total_s, exact_match_pct,
@@ -72,15 +78,17 @@ _OPEN = f"""(SELECT *, {norm('reference')} AS rn, {choice('reference')} AS rc, {
     {choice('prediction')} AS pc, {processed('prediction', "contains(prompt, 'Options:')")} AS processed
     FROM answers_open)"""
 
-_INFER_ROWS = f"""(SELECT g.cell_idx, g.model_id, s.sample_idx, s.prompt,
+_INFER_ROWS = f"""(SELECT g.cell_idx, g.backend, s.sample_idx, s.prompt,
         CASE WHEN contains(s.prompt, 'Options:') THEN 10 ELSE g.max_new_tokens END AS budget
     FROM (SELECT sample_idx, prompt FROM samples_mc
           UNION ALL SELECT -doc_id - 1, {_essay('text')} FROM documents) s CROSS JOIN grid g)"""
 
 
 _SWEEP_ROWS = f"""(SELECT *, {norm('reference')} AS rn, {choice('reference')} AS rc, {norm('prediction')} AS pn,
-        {choice('prediction')} AS pc, {processed('prediction', 'true')} AS processed
-    FROM (SELECT g.cell_idx, s.sample_idx, s.reference, g.model_id,
+        {choice('prediction')} AS pc, {processed('prediction', 'true')} AS processed,
+        {len(JUDGE_SYSTEM) + len("..# Task...# Expected answer...# Answer to grade...Reply with the JSON object only.")}
+            + length(prompt) + length(reference) + length(prediction) AS asked
+    FROM (SELECT g.cell_idx, s.sample_idx, s.reference, s.prompt, g.model_id,
             model_id = 'model-b' AND quantization IS NOT NULL AND length(prompt) % 17 = 3 AS failed,
             concat('out of memory at ', CAST(length(prompt) AS VARCHAR)) AS message,
             concat(CASE WHEN model_id = 'model-a' THEN '' ELSE 'Option (' END,
@@ -91,10 +99,27 @@ _SWEEP_CELLS = f"""(SELECT cell_idx, count(*) AS n, bool_or(failed) AS bad,
         arg_min(message, sample_idx) FILTER (WHERE failed) AS error,
         count(*) FILTER (WHERE {strip('reference')} = processed) / count(*) * 100 AS exact,
         count(*) FILTER (WHERE rn = {norm('processed')} OR rc = {choice('processed')}) / count(*) * 100 AS loose,
-        avg({_OPEN_SCORE}) AS judged
+        avg({_OPEN_SCORE}) AS judged,
+        avg(CASE WHEN asked % 11 = 0 THEN 0.0::DOUBLE ELSE asked % 5 * 0.25::DOUBLE END) AS graded
     FROM {_SWEEP_ROWS} GROUP BY cell_idx)"""
 
 
+def _sweep_results(experiment: str, run_ts: str, judged: str) -> str:
+    return f"""SELECT '{experiment}' AS experiment, '{run_ts}' AS run_ts, g.cell_idx, g.model_id, g.backend,
+            g.quantization, g.kv_cache, g.prefix_cache, g.max_new_tokens,
+            CASE WHEN c.bad THEN 'oom' ELSE 'ok' END AS status, c.error,
+            CASE WHEN NOT c.bad THEN c.n END AS n_samples,
+            CASE WHEN NOT c.bad AND g.model_id = 'model-a' THEN 0.125::DOUBLE END AS mean_ttft_s,
+            CASE WHEN NOT c.bad THEN CASE WHEN g.model_id = 'model-a' THEN 4.0::DOUBLE ELSE 12.0::DOUBLE END END
+                AS mean_tps,
+            CASE WHEN NOT c.bad THEN CASE WHEN g.model_id = 'model-a' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END END
+                AS mean_total_s,
+            CASE WHEN NOT c.bad THEN round(c.exact, 6) END AS exact_match_pct,
+            CASE WHEN NOT c.bad THEN round(c.loose, 6) END AS normalized_match_pct,
+            CASE WHEN NOT c.bad THEN round({judged}, 6) END AS judge_avg_score
+        FROM grid g JOIN {_SWEEP_CELLS} c ON c.cell_idx = g.cell_idx"""
+
+
 def _text_of(option: str, mark: str) -> str:
     return f"'  {mark}. ', {option}"
 
@@ -116,6 +141,9 @@ _SQL: dict[str, str] = {
     "list_sweeps": """SELECT CAST(row_number() OVER (ORDER BY name) AS INT) AS position, name
         FROM (SELECT DISTINCT concat('sweep_', lower(replace(experiment, ' ', '_')), '_', run_ts, '.parquet')
                      AS name FROM runs ORDER BY name DESC LIMIT 10)""",
+    "list_sweep_files": """SELECT CAST(row_number() OVER (ORDER BY name) AS INT) AS position, name
+        FROM (SELECT concat('sweep_', lower(replace(experiment, ' ', '_')), '_', max(run_ts), '.parquet') AS name
+              FROM runs GROUP BY experiment)""",
     "write_results": "SELECT * FROM predictions_mc",
     "checkpoint_cells": """SELECT 'Tier One' AS experiment, '20240131T120000Z' AS run_ts, cell_idx, sample_idx,
             CASE WHEN cell_idx IN (3, 6, 11, 14) THEN concat(prediction, ' (again)') ELSE prediction END
@@ -131,7 +159,7 @@ _SQL: dict[str, str] = {
     "export_summary": """SELECT model_id AS model, backend, exact_match_pct, normalized_match_pct, mean_tps,
             mean_total_s, CAST(cell_idx - 1 AS INT) AS cell_pos
         FROM cell_results WHERE status = 'ok'""",
-    "nest_cells": """SELECT cell_idx, sample_idx // 1024 AS chunk_idx, count(*) AS n_samples,
+    "nest_cells": """SELECT cell_idx, sample_idx // 1024 AS chunk_idx, CAST(0 AS BIGINT) AS part_idx, count(*) AS n_samples,
             string_agg(CAST(sample_idx AS VARCHAR), ',' ORDER BY sample_idx) AS sample_ids,
             md5(string_agg(prompt, chr(10) ORDER BY sample_idx)) AS prompts_md5,
             string_agg(reference, ',' ORDER BY sample_idx) AS references,
@@ -149,7 +177,9 @@ _SQL: dict[str, str] = {
             concat({_text_of('opt_a', 'W')}, chr(10), {_text_of('opt_b', 'X')}, chr(10),
                 {_text_of('opt_c', 'Y')}, chr(10), {_text_of('opt_d', 'Z')}) AS as_lists,
             {_LIST_LINES} AS as_texts,
-            concat({_text_of('opt_a', 'A')}, chr(10), {_text_of('opt_b', 'B')}) AS as_struct
+            concat({_text_of('opt_a', 'A')}, chr(10), {_text_of('opt_b', 'B')}) AS as_struct,
+            array_to_string(list_transform(range(300), lambda i: concat('  ', chr(CAST(65 + i AS INT)), '. ',
+                CAST(sample_idx + i AS VARCHAR))), chr(10)) AS as_many
         FROM qa_mc""",
     "first_choices": f"""SELECT sample_idx,
             CASE WHEN sample_idx % 3 = 2 THEN array_to_string([opt_a, opt_b, opt_c, opt_d, opt_e], '|')
@@ -186,7 +216,8 @@ _SQL: dict[str, str] = {
         FROM predictions_mc""",
     "classify_failure": """SELECT cell_idx, sample_idx,
             CASE WHEN error_type IS NULL THEN 'ok'
-                 WHEN error_type = 'RuntimeError' AND contains(lower(error), 'out of memory') THEN 'oom'
+                 WHEN error_type IN ('RuntimeError', 'AcceleratorError') AND contains(lower(error), 'out of memory')
+                     THEN 'oom'
                  ELSE 'error' END AS status, error
         FROM predictions_mc""",
     "attempt_outcome": """SELECT attempt_id, exit_code,
@@ -214,12 +245,24 @@ _SQL: dict[str, str] = {
             count(*) FILTER (WHERE error_type IS NOT NULL) AS n_missing,
             CAST(0 AS BIGINT) AS n_unasked, CAST(0 AS BIGINT) AS n_repeated
         FROM predictions_mc GROUP BY cell_idx""",
+    "alignment_faults": """SELECT coalesce(g.cell_idx, c.cell_idx) AS cell_idx,
+            CASE WHEN g.cell_idx IS NULL THEN 0 ELSE n.n END AS n_asked, coalesce(c.n_given, 0) AS n_given,
+            CASE WHEN g.cell_idx IS NULL THEN 0 ELSE n.n - coalesce(c.paired, 0) END AS n_missing,
+            coalesce(c.n_unasked, 0) AS n_unasked, coalesce(c.n_repeated, 0) AS n_repeated
+        FROM grid g FULL JOIN counts_faulty c ON c.cell_idx = g.cell_idx
+        CROSS JOIN (SELECT count(*) AS n FROM samples_mc) n""",
+    "attribute_telemetry_hosts": """SELECT e.event_id, w.window_idx FROM events e
+        JOIN host_windows w ON e.user_id % 4 = w.host AND e.ts >= w.start_ts AND e.ts < w.end_ts""",
     "attribute_telemetry": """SELECT e.event_id, w.window_idx FROM events e
         JOIN cell_windows w ON e.ts >= w.start_ts AND e.ts < w.end_ts""",
     "check_unknown_columns": """SELECT c_custkey AS spec_id, 'unknown:settings' AS rule,
             concat('unknown keys: ', CASE WHEN c_custkey % 10 = 0 AND c_custkey % 6 = 0 THEN 'do_sample, execution'
                 WHEN c_custkey % 10 = 0 THEN 'do_sample' ELSE 'execution' END) AS message
         FROM customer WHERE c_custkey % 6 = 0 OR c_custkey % 10 = 0""",
+    "check_unknown_fields": """SELECT v.path AS "column", concat('unknown:', v.path) AS rule, v.n AS n_rows
+        FROM (SELECT unnest([{'path': 'spec.models.bakend', 'n': rich},
+                {'path': 'spec.generation.sampling.tempreature', 'n': rich}, {'path': 'contact', 'n': contacts}]) AS v
+              FROM (SELECT count(*) FILTER (WHERE c_acctbal > 0) AS rich, count(c_mktsegment) AS contacts FROM customer))""",
     "check_allowed": _MESSAGES.format(
         table="spec_rows",
         checks=", ".join(
@@ -254,8 +297,8 @@ _SQL: dict[str, str] = {
     "fill_defaults": """SELECT spec_id, coalesce(backend, 'hf') AS backend, api_config,
             coalesce(judge_provider, 'mock') AS judge_provider, judge_api_config,
             coalesce(compress, 'snappy') AS compress, coalesce(max_samples, 100) AS max_samples,
-            monitor_interval_ms, round(coalesce(oom_probability, 0.0), 6) AS oom_probability, base_latency_ms,
-            tokens_per_second, coalesce(mock_enabled, false) AS mock_enabled
+            monitor_interval_ms, round(oom_probability, 6) AS oom_probability, base_latency_ms,
+            tokens_per_second, mock_enabled
         FROM spec_rows""",
     "strip": f"""SELECT origin, id, {strip("concat(chr(8195), chr(9), ' ', chr(31), text, chr(160), chr(10), "
         "chr(12288), ' ')")} AS stripped FROM all_texts""",
@@ -267,9 +310,9 @@ _SQL: dict[str, str] = {
     "normalized_match": "SELECT cell_idx, sample_idx, normalized_match FROM scores_mc",
     "heuristic_judge": f"""SELECT sample_idx, {_OPEN_SCORE} AS judge_score, {_OPEN_LABEL} AS judge_label
         FROM {_OPEN}""",
-    "judge_prompt": f"""SELECT sample_idx, concat({quoted(JUDGE_SYSTEM)}, chr(10), chr(10), 'Question:', chr(10),
-            prompt, chr(10), chr(10), 'Reference answer:', chr(10), reference, chr(10), chr(10),
-            'Model prediction:', chr(10), prediction, chr(10), chr(10), 'Score the prediction now.')
+    "judge_prompt": f"""SELECT sample_idx, concat({quoted(JUDGE_SYSTEM)}, chr(10), chr(10), '# Task', chr(10),
+            prompt, chr(10), chr(10), '# Expected answer', chr(10), reference, chr(10), chr(10),
+            '# Answer to grade', chr(10), prediction, chr(10), chr(10), 'Reply with the JSON object only.')
             AS judge_prompt
         FROM answers_open""",
     "parse_judge_reply": "SELECT sample_idx, round(judge_score, 6) AS judge_score, judge_label FROM verdicts",
@@ -281,25 +324,17 @@ _SQL: dict[str, str] = {
         FROM {_OPEN}""",
     "batch_infer": f"""SELECT cell_idx, sample_idx,
             CASE WHEN n % 97 <> 13 THEN concat(substr('ABCDE', CAST(
-                (n + CASE WHEN model_id = 'model-b' THEN 1 ELSE 0 END) % 5 AS INT) + 1, 1), '.') END AS prediction,
+                (n + CASE WHEN backend = 'api' THEN 1 ELSE 0 END + CASE WHEN cell_idx % 2 = 0 THEN 2 ELSE 0 END)
+                % 5 AS INT) + 1, 1), '.') END AS prediction,
             CASE WHEN n % 97 <> 13 THEN 0.25::DOUBLE END AS ttft_s,
             CASE WHEN n % 97 <> 13 THEN 0.5::DOUBLE END AS total_s,
             CASE WHEN n % 97 <> 13 THEN CAST(budget AS INT) END AS n_tokens,
             CASE WHEN n % 97 = 13 THEN 'RuntimeError' END AS error_type,
-            CASE WHEN n % 97 = 13 THEN concat('out of memory at ', CAST(n AS VARCHAR)) END AS error
+            CASE WHEN n % 97 = 13 THEN concat('out of memory at ', CAST(n AS VARCHAR)) END AS error,
+            CASE WHEN n % 97 = 13 THEN true END AS error_is_runtime
         FROM (SELECT *, length(prompt) AS n FROM {_INFER_ROWS})""",
-    "run_sweep": f"""SELECT g.experiment, '{RUN_TS}' AS run_ts, g.cell_idx, g.model_id, g.backend, g.quantization,
-            g.kv_cache, g.prefix_cache, g.max_new_tokens, CASE WHEN c.bad THEN 'oom' ELSE 'ok' END AS status, c.error,
-            CASE WHEN NOT c.bad THEN c.n END AS n_samples,
-            CASE WHEN NOT c.bad AND g.model_id = 'model-a' THEN 0.125::DOUBLE END AS mean_ttft_s,
-            CASE WHEN NOT c.bad THEN CASE WHEN g.model_id = 'model-a' THEN 4.0::DOUBLE ELSE 12.0::DOUBLE END END
-                AS mean_tps,
-            CASE WHEN NOT c.bad THEN CASE WHEN g.model_id = 'model-a' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END END
-                AS mean_total_s,
-            CASE WHEN NOT c.bad THEN round(c.exact, 6) END AS exact_match_pct,
-            CASE WHEN NOT c.bad THEN round(c.loose, 6) END AS normalized_match_pct,
-            CASE WHEN NOT c.bad THEN round(c.judged, 6) END AS judge_avg_score
-        FROM grid g JOIN {_SWEEP_CELLS} c ON c.cell_idx = g.cell_idx""",
+    "run_sweep": _sweep_results("007", "20240131", "c.judged"),
+    "run_sweep_judged": _sweep_results("Tier One", RUN_TS, "c.graded"),
     "cell_accuracy": """SELECT g.cell_idx, n.n_samples, n.n_exact, n.n_normalized,
             round(n.n_exact / n.n_samples * 100, 6) AS exact_match_pct,
             round(n.n_normalized / n.n_samples * 100, 6) AS normalized_match_pct
@@ -318,6 +353,14 @@ _SQL: dict[str, str] = {
             round(coalesce(avg_ram_used_mb, 0), 6) AS avg_ram_used_mb,
             coalesce(hw_sample_count, 0) AS hw_sample_count, coalesce(gpu_available, false) AS gpu_available
         FROM grid g LEFT JOIN rolled r ON r.cell_idx = g.cell_idx""",
+    "cell_telemetry_cpu": """SELECT g.cell_idx, 0.0::DOUBLE AS peak_vram_mb, 0.0::DOUBLE AS avg_vram_mb,
+            0.0::DOUBLE AS peak_power_w, 0.0::DOUBLE AS avg_power_w, 0.0::DOUBLE AS avg_gpu_util_pct,
+            round(coalesce(avg_cpu_util_pct, 0), 6) AS avg_cpu_util_pct,
+            round(coalesce(avg_ram_used_mb, 0), 6) AS avg_ram_used_mb,
+            coalesce(hw_sample_count, 0) AS hw_sample_count, false AS gpu_available
+        FROM grid g LEFT JOIN rolled r ON r.cell_idx = g.cell_idx""",
+    "cell_results_faulty": """SELECT cell_idx, CASE WHEN cell_idx = 14 THEN 'error' ELSE status END AS status,
+            CASE WHEN cell_idx = 14 THEN 'no such model' ELSE error END AS error, n_samples FROM cell_results""",
     "cell_results": "SELECT * FROM cell_results",
     "sweep_summary": """SELECT model_id, round(avg(exact_match_pct), 6) AS exact_mean,
             round(stddev_samp(exact_match_pct), 6) AS exact_std,

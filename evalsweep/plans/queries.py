@@ -95,6 +95,9 @@ def latest_sweep(spark, sf_dir):
         ("sweep_alpha_20240301T000000Z", "model-a"),
         ("sweep_beta_20240101T000000Z", "model-a"),
         ("sweep_beta_20240201T000000Z", "model-b"),
+        # Neither a deeper folder nor another name is a sweep of this folder.
+        ("tier1/sweep_zeta_20240501T000000Z", "model-a"),
+        ("old_sweep_zeta_20240501T000000Z", "model-a"),
     ):
         store.write_results(
             _foreign(results.filter(F.col("model_id") == model)), f"{folder}/{name}.parquet"
@@ -113,6 +116,19 @@ def list_sweeps(spark, sf_dir):
     return store.list_sweeps(views.runs(spark, sf_dir))
 
 
+@query
+def list_sweep_files(spark, sf_dir):
+    """Files of the newest run of each experiment, among files that are no sweeps of the folder."""
+    folder = work_folder(spark, "sweep-files")
+    newest = store.latest_runs(views.runs(spark, sf_dir))
+    named = newest.withColumn("name", store.sweep_name(F.col("experiment"), F.col("run_ts")))
+    for row in named.select("name").distinct().collect():  # one per experiment
+        own = named.filter(F.col("name") == row["name"])
+        for place in (row["name"], f"tier1/sweep_zz_{row['name']}", f"old_{row['name']}"):
+            store.write_results(own, f"{folder}/{place}")
+    return store.list_sweep_files(spark, folder)
+
+
 @query
 def write_results(spark, sf_dir):
     path = work_folder(spark, "write-results")
@@ -193,6 +209,7 @@ def nest_cells(spark, sf_dir):
     return nested.select(
         "cell_idx",
         "chunk_idx",
+        "part_idx",
         F.size("sample_ids").cast("bigint").alias("n_samples"),
         F.array_join(F.col("sample_ids").cast("array<string>"), ",").alias("sample_ids"),
         F.md5(F.array_join("prompts", "\n")).alias("prompts_md5"),
@@ -250,6 +267,9 @@ def _choice_layouts(spark, sf_dir) -> DataFrame:
         ).alias("as_lists"),
         F.struct(F.col("choices").alias("text")).alias("as_texts"),
         F.struct(option[1].alias("B"), option[0].alias("A")).alias("as_struct"),
+        F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: (F.col("sample_idx") + i).cast("string")).alias(
+            "as_many"
+        ),
     )
 
 
@@ -370,7 +390,8 @@ def throughput(spark, sf_dir):
 
 @query
 def classify_failure(spark, sf_dir):
-    status = F.coalesce(measures.failure_status(F.col("error_type"), F.col("error")), F.lit("ok"))
+    failed = measures.failure_status(F.col("error_type"), F.col("error"), F.col("error_is_runtime"))
+    status = F.coalesce(failed, F.lit("ok"))
     return views.predictions_mc(spark, sf_dir).select(
         "cell_idx", "sample_idx", status.alias("status"), "error"
     )
@@ -426,6 +447,22 @@ def alignment_report(spark, sf_dir):
     return score.alignment_report(views.samples_mc(spark, sf_dir), given, views.grid(spark))
 
 
+@query
+def alignment_faults(spark, sf_dir):
+    """The report over strangers, gaps, repeats and an unknown cell."""
+    return score.alignment_report(
+        views.samples_mc(spark, sf_dir), views.predictions_faulty(spark, sf_dir), views.grid(spark)
+    )
+
+
+@query
+def attribute_telemetry_hosts(spark, sf_dir):
+    """Windows that overlap on every host: readings get those of their own host only."""
+    readings = views.table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 4).alias("host"))
+    windows = views.host_windows(spark, sf_dir)
+    return telemetry.attribute_telemetry(readings, windows, on=("host",)).select("event_id", "window_idx")
+
+
 @query
 def attribute_telemetry(spark, sf_dir):
     return telemetry.attribute_telemetry(
@@ -445,6 +482,28 @@ def check_unknown_columns(spark, sf_dir):
     )
 
 
+@query
+def check_unknown_fields(spark, sf_dir):
+    """Misspelt settings three levels down, in lists and structs, and in how many rows."""
+    name, balance = F.col("c_name"), F.col("c_acctbal")
+    rich = F.when(balance > 0, balance)
+    specs = views.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("spec_id"),
+        F.struct(
+            name.alias("id"),
+            F.array(F.struct(name.alias("backend"), rich.alias("bakend"))).alias("models"),
+            F.struct(F.struct(rich.alias("tempreature"), balance.alias("top_p")).alias("sampling")).alias("generation"),
+        ).alias("spec"),
+        F.col("c_mktsegment").alias("contact"),
+    )
+    sampling = {"temperature": None, "top_p": None}
+    allowed = {
+        "spec_id": None,
+        "spec": {"id": None, "models": {"backend": None}, "generation": {"sampling": sampling}},
+    }
+    return rules.count_unknown_fields(specs, allowed)
+
+
 @query
 def check_allowed(spark, sf_dir):
     return rules.violations(
@@ -587,8 +646,8 @@ def score_documents(spark, sf_dir):
 
 
 def _length_model(model_id: str, options: dict):
-    """Stand-in model: the letter depends on prompt length, and some prompts fail."""
-    shift = 1 if model_id == "model-b" else 0
+    """Stand-in model: the letter depends on prompt, backend and temperature, and some prompts fail."""
+    shift = (1 if options["backend"] == "api" else 0) + (2 if options["temperature"] > 0 else 0)
 
     def answer(prompt: str, budget: int) -> dict:
         if len(prompt) % 97 == 13:
@@ -605,8 +664,9 @@ def batch_infer(spark, sf_dir):
     essays = views.table(spark, sf_dir, "documents").select(
         (-F.col("doc_id") - 1).alias("sample_idx"), prompts.build_prompt(F.col("text")).alias("prompt")
     )
-    rows = grid.cell_samples(choice.unionByName(essays), views.grid(spark).drop("experiment", "backend"))
-    return infer.batch_infer(rows, _length_model)
+    warm = F.when(F.col("cell_idx") % 2 == 0, 0.7).otherwise(0.0)
+    cells = views.grid(spark).drop("experiment").withColumn("temperature", warm)
+    return infer.infer_cells(choice.unionByName(essays), cells, _length_model)
 
 
 def _sweep_model(model_id: str, options: dict):
@@ -625,19 +685,55 @@ def _sweep_model(model_id: str, options: dict):
 
 @query
 def run_sweep(spark, sf_dir):
-    """All sixteen cells from prompts to stored results, in two waves."""
+    """All sixteen cells from prompts to stored results, in two waves, under names that look like numbers."""
     results = sweep.run_sweep(
         views.samples_mc(spark, sf_dir),
-        views.grid(spark),
+        views.grid(spark).withColumn("experiment", F.lit("007")),
         _sweep_model,
         work_folder(spark, "run-sweep"),
-        views.RUN_TS,
+        "20240131",
         judge="heuristic",
         cells_per_wave=8,
     )
     return rounded(results)
 
 
+def _tagging_model(model_id: str, options: dict):
+    """Stand-in reasoning model: the answers of the other one, in a tag."""
+    engine = _sweep_model(model_id, options)
+
+    def tagged(asked: list[str], budgets: list[int]) -> list[dict]:
+        return [{**a, "text": f"Let me see <answer> {a['text']} </answer>"} for a in engine(asked, budgets)]
+
+    return tagged
+
+
+def _grading_model(model_id: str, options: dict):
+    """Stand-in judge: the score depends on the length of what it is asked; some replies are no JSON."""
+
+    def reply(prompt: str) -> str:
+        if len(prompt) % 11 == 0:
+            return "I cannot say."
+        return f'Grade: {{"score": {len(prompt) % 5 * 0.25}, "label": "partial"}}'
+
+    return lambda asked, budgets: [reply(prompt) for prompt in asked]
+
+
+@query
+def run_sweep_judged(spark, sf_dir):
+    """A sweep over a reasoning model whose answers a judge model grades."""
+    results = sweep.run_sweep(
+        views.samples_mc(spark, sf_dir),
+        views.grid(spark),
+        _tagging_model,
+        work_folder(spark, "run-sweep-judged"),
+        views.RUN_TS,
+        judge=_grading_model,
+        tagged=True,
+    )
+    return rounded(results)
+
+
 # Roll-ups ------------------------------------------------------------------------
 
 
@@ -663,11 +759,25 @@ def cell_telemetry(spark, sf_dir):
     return rounded(telemetry.cell_telemetry(views.grid(spark), views.telemetry(spark, sf_dir)))
 
 
+@query
+def cell_telemetry_cpu(spark, sf_dir):
+    """Hosts without a GPU: no GPU readings and no word of one."""
+    readings = views.telemetry(spark, sf_dir).select("cell_idx", "cpu_util_pct", "ram_used_bytes")
+    return rounded(telemetry.cell_telemetry(views.grid(spark), readings))
+
+
 @query
 def cell_results(spark, sf_dir):
     return rounded(_results(spark, sf_dir))
 
 
+@query
+def cell_results_faulty(spark, sf_dir):
+    """A subclass of a runtime error, failing rows stored twice, a cell in which all failed."""
+    results = rollup.cell_results(views.grid(spark), views.scores_faulty(spark, sf_dir))
+    return results.select("cell_idx", "status", "error", "n_samples")
+
+
 @query
 def sweep_summary(spark, sf_dir):
     return rounded(rollup.sweep_summary(_results(spark, sf_dir), by=("model_id",)))
@@ -694,10 +804,11 @@ def telemetry_units(spark, sf_dir):
 
 @query
 def telemetry_rollup_stream(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    # A pattern lets the file source take a single file as well as a folder of files.
-    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    """The events in six files or more, taken two per micro-batch."""
+    events = views.table(spark, sf_dir, "events")
     folder = work_folder(spark, "telemetry-rollup")
+    events.repartition(max(6, events.rdd.getNumPartitions())).write.parquet(f"{folder}/events")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
     running = telemetry_stream.telemetry_rollup_stream(
         views.readings_of(arriving), f"{folder}/out", f"{folder}/checkpoint"
     )

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import re
 
-from evalsweep.functions.text import PUNCTUATION
-from evalsweep.operators.prompts import CHOICE_SYSTEM
 from evalsweep.plans.views import ANSWER_FORMS, EXPERIMENT, REPLY_FORMS
 
+# Stated again, so that a wrong value in the package shows.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CHOICE_SYSTEM = "Answer the multiple-choice question with the letter of the right option only."
+
 # Same character set as functions.text.WHITESPACE, as a regular expression.
 WS = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -108,13 +110,29 @@ VIEWS: dict[str, str] = {
                CASE WHEN s.sample_idx % 4 = 0 THEN NULL ELSE CAST(0.12 AS DOUBLE) END AS ttft_s,
                CAST((s.sample_idx + g.cell_idx) % 50 AS DOUBLE) / 20.0 AS total_s,
                CAST((s.sample_idx * 3 + g.cell_idx) % 57 AS INT) AS n_tokens,
-               CASE WHEN g.cell_idx % 8 = 3 AND s.sample_idx % 97 = 5 THEN 'RuntimeError'
+               CASE WHEN g.cell_idx = 11 AND s.sample_idx % 97 = 5 THEN 'AcceleratorError'
+                    WHEN g.cell_idx % 8 = 3 AND s.sample_idx % 97 = 5 THEN 'RuntimeError'
                     WHEN g.cell_idx % 8 = 6 AND s.sample_idx % 89 = 7 THEN 'ValueError' END AS error_type,
                CASE WHEN g.cell_idx % 8 = 3 AND s.sample_idx % 97 = 5
                         THEN concat('GPU Out Of Memory at ', CAST(s.sample_idx AS VARCHAR))
                     WHEN g.cell_idx % 8 = 6 AND s.sample_idx % 89 = 7
-                        THEN 'out of memory, but wrong type' END AS error
+                        THEN 'out of memory, but wrong type' END AS error,
+               CASE WHEN g.cell_idx % 8 = 3 AND s.sample_idx % 97 = 5 THEN true
+                    WHEN g.cell_idx % 8 = 6 AND s.sample_idx % 89 = 7 THEN false END AS error_is_runtime
         FROM qa_mc s CROSS JOIN grid g""",
+    "predictions_faulty": """
+        SELECT cell_idx, sample_idx FROM predictions_mc WHERE NOT (cell_idx = 2 AND sample_idx % 10 = 0)
+        UNION ALL SELECT cell_idx, -sample_idx FROM predictions_mc WHERE cell_idx = 5 AND sample_idx % 7 = 0
+        UNION ALL SELECT cell_idx, sample_idx FROM predictions_mc WHERE cell_idx = 9 AND sample_idx % 5 = 0
+        UNION ALL SELECT 99, sample_idx FROM predictions_mc WHERE cell_idx = 1 AND sample_idx % 100 = 0""",
+    "pairs_faulty": """
+        SELECT cell_idx, sample_idx, count(*) AS k,
+               sample_idx IN (SELECT sample_idx FROM samples_mc) AS known
+        FROM predictions_faulty GROUP BY cell_idx, sample_idx""",
+    "counts_faulty": """
+        SELECT cell_idx, CAST(sum(k) AS BIGINT) AS n_given, count(*) FILTER (WHERE known) AS paired,
+               count(*) FILTER (WHERE NOT known) AS n_unasked, count(*) FILTER (WHERE k > 1) AS n_repeated
+        FROM pairs_faulty GROUP BY cell_idx""",
     "joined_mc": """
         SELECT p.*, s.prompt, s.reference, contains(s.prompt, 'Options:') AS is_mc
         FROM predictions_mc p JOIN samples_mc s ON s.sample_idx = p.sample_idx""",
@@ -169,7 +187,8 @@ VIEWS: dict[str, str] = {
     "status_mc": """
         SELECT g.*, n.* EXCLUDE (cell_idx), r.* EXCLUDE (cell_idx),
                CASE WHEN n.error_type IS NULL THEN 'ok'
-                    WHEN n.error_type = 'RuntimeError' AND contains(lower(n.error), 'out of memory') THEN 'oom'
+                    WHEN n.error_type IN ('RuntimeError', 'AcceleratorError')
+                        AND contains(lower(n.error), 'out of memory') THEN 'oom'
                     ELSE 'error' END AS status
         FROM grid g LEFT JOIN numbers_mc n ON n.cell_idx = g.cell_idx
         LEFT JOIN rolled r ON r.cell_idx = g.cell_idx""",
@@ -239,9 +258,7 @@ VIEWS: dict[str, str] = {
             ELSE MAP{'question': lang, 'text': text, 'label': lang} END AS record
         FROM documents""",
     "qa_chat": """
-        SELECT u.conv_id * 1000 + u.turn AS sample_idx, u.text AS prompt, a.text AS prediction
-        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-        WHERE u.role = 'user' AND a.role = 'assistant'""",
+        SELECT conv_id * 1000 + turn AS sample_idx, text AS prompt FROM conversations WHERE role = 'user'""",
     "judge_replies": f"""
         SELECT event_id AS sample_idx, CAST(1 + event_id % 16 AS INT) AS cell_idx,
                {cases('CAST(event_id % 10 AS INT)', _REPLIES)} AS reply
@@ -272,6 +289,10 @@ VIEWS: dict[str, str] = {
         SELECT CAST(extract(day FROM start_ts) * 100 + extract(hour FROM start_ts) AS INT), start_ts,
                start_ts + INTERVAL '1' HOUR
         FROM (SELECT DISTINCT date_trunc('hour', ts) AS start_ts FROM events)""",
+    "host_windows": """
+        SELECT host, CAST(extract(day FROM start_ts) * 10 + host AS INT) AS window_idx, start_ts,
+               start_ts + INTERVAL '36' HOUR AS end_ts
+        FROM (SELECT DISTINCT user_id % 4 AS host, date_trunc('day', ts) AS start_ts FROM events)""",
     "attempts": """
         SELECT o_orderkey AS attempt_id,
                CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'O' THEN 0

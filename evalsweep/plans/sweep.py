@@ -3,76 +3,149 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalsweep.operators.grid import cell_samples
-from evalsweep.operators.infer import Factory, batch_infer
+from evalsweep.functions.judging import JUDGE_SYSTEM, judge_prompt
+from evalsweep.functions.text import answer_tag
+from evalsweep.operators.infer import Factory, batch_infer, infer_cells
+from evalsweep.operators.judge import parse_judge_replies
 from evalsweep.operators.rollup import cell_results
-from evalsweep.operators.score import score_samples
-from evalsweep.sources.store import CELL_PARTITIONS, read_cells, write_cells
+from evalsweep.operators.score import align_outputs, reference_forms, score_rows
+from evalsweep.operators.telemetry import TELEMETRY_COLUMNS
+from evalsweep.sources.store import CELL_PARTITIONS, RESULT_COLUMNS, read_cells, write_cells
 
 KEYS = list(CELL_PARTITIONS)
+JUDGE_TOKENS = 256
+_KEY_SCHEMA = "experiment string, run_ts string, cell_idx int"
 
 
-def _finished(spark: SparkSession, path: str) -> DataFrame | None:
+def _stored_cells(spark: SparkSession, path: str) -> DataFrame | None:
+    """Keys of the cells under a path; only folder names are read."""
     try:
-        return read_cells(spark, path, "experiment string, run_ts string, cell_idx int").distinct()
+        return read_cells(spark, path, _KEY_SCHEMA).distinct()
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
+def _without(cells: DataFrame, stored: DataFrame | None) -> DataFrame:
+    return cells if stored is None else cells.join(stored, KEYS, "left_anti")
+
+
+def _waves(cells: DataFrame, most: int) -> list[Column]:
+    """Filters that cut numbered cells into waves of at most ``most``.
+
+    Cells of one number belong to different experiments; ``_place`` counts them.
+    """
+    waves, low, held = [], None, 0
+    for number, n in sorted(map(tuple, cells.groupBy("cell_idx").count().collect())):
+        if held and held + n > most:
+            waves.append(F.col("cell_idx").between(low, last))
+            held = 0
+        if n > most:
+            for first in range(1, n + 1, most):
+                waves.append((F.col("cell_idx") == number) & F.col("_place").between(first, first + most - 1))
+            continue
+        low, last, held = (low if held else number), number, held + n
+    if held:
+        waves.append(F.col("cell_idx").between(low, last))
+    return waves
+
+
+def _result_schema(grid: DataFrame, with_readings: bool) -> T.StructType:
+    """Types of the stored results: those of partition folders are never guessed."""
+    hardware = {*TELEMETRY_COLUMNS, "hw_sample_count", "gpu_available"}
+    described = set(grid.columns) | set(KEYS)
+    axes = {"model_id", "backend", "quantization", "kv_cache", "prefix_cache", "max_new_tokens"}
+    names = [
+        name
+        for name in RESULT_COLUMNS
+        if (with_readings or name not in hardware) and (name not in axes or name in described)
+    ]
+    return T.StructType.fromDDL(", ".join(f"{name} {RESULT_COLUMNS[name]}" for name in names))
+
+
 def run_sweep(
     samples: DataFrame,
     grid: DataFrame,
     factory: Factory,
     path: str,
     run_ts: str,
-    judge: Column | str | None = None,
+    judge: Column | str | Factory | None = None,
     readings: DataFrame | None = None,
     cells_per_wave: int = 16,
-    tasks: int | None = None,
+    tagged: bool = False,
+    judge_system: str = JUDGE_SYSTEM,
 ) -> DataFrame:
     """Run all cells of a grid over all samples and return their result rows.
 
-    Cells run in waves.  After each wave its predictions, scores and results are
-    on disk under ``path``, one partition per cell, so a crash costs the wave in
-    flight, and calling again with the same ``run_ts`` runs only the cells
-    without a result.  The model answers are stored before anything is computed
-    from them: no prompt is asked twice.
+    Cells run in waves of at most ``cells_per_wave``.  After each wave its
+    predictions, scores and results are on disk under ``path``, one partition per
+    cell.  Calling again with the same ``run_ts`` runs only the cells without a
+    result, and asks the model only for those without stored answers: a crash
+    costs at most the wave in flight.  Predictions must pair with the samples one
+    to one, or the job fails.
+
+    ``judge`` is None, ``"heuristic"``, a verdict column, or the factory of a
+    judge model, which is asked about every prediction of a wave in one batch job
+    whose replies are stored too.  ``tagged`` keeps what stands in an answer's
+    answer or response tag.
 
     ``samples`` holds ``sample_idx, prompt, reference``; ``grid`` the columns of
     ``grid_cells`` with an ``experiment``; ``readings`` raw hardware readings
     with ``experiment`` and ``cell_idx``.
     """
     spark = samples.sparkSession
-    cells = grid.withColumn("run_ts", F.lit(run_ts))
+    asks_model = judge is not None and not isinstance(judge, (Column, str))
     if readings is not None:
         readings = readings.withColumn("run_ts", F.lit(run_ts))
-    last = cells.agg(F.max("cell_idx")).first()[0] or 0
-    finished = _finished(spark, f"{path}/results")
-    for first in range(1, last + 1, cells_per_wave):
-        in_wave = F.col("cell_idx").between(first, first + cells_per_wave - 1)
-        this_run = in_wave & (F.col("run_ts") == run_ts)
-        wave = cells.filter(in_wave)
-        if finished is not None:
-            wave = wave.join(finished, KEYS, "left_anti")
-        if wave.isEmpty():
-            continue
+    # Reference forms are made once, not in every wave.
+    forms_path = f"{path}/references/{run_ts}"
+    reference_forms(samples.select("sample_idx", "prompt", "reference")).write.mode("overwrite").parquet(forms_path)
+    forms = spark.read.parquet(forms_path)
+    cells = grid.withColumn("experiment", F.col("experiment").cast("string")).withColumn("run_ts", F.lit(run_ts))
+    todo = _without(cells, _stored_cells(spark, f"{path}/results"))
+    todo = todo.withColumn("_place", F.row_number().over(Window.partitionBy("cell_idx").orderBy("experiment")))
+    for in_wave in _waves(todo, cells_per_wave):
+        # At most cells_per_wave rows.
+        rows = todo.filter(in_wave).drop("_place")
+        wave = spark.createDataFrame(rows.collect(), rows.schema)
 
-        def stored(table: DataFrame, name: str) -> DataFrame:
+        def stored(name: str, schema: T.StructType) -> DataFrame:
             """The wave's rows back from disk; the filter prunes partitions."""
-            kept = read_cells(spark, f"{path}/{name}", table.schema).filter(this_run)
-            return kept.join(wave.select(*KEYS), KEYS, "left_semi")
+            numbers = [row["cell_idx"] for row in wave.select("cell_idx").distinct().collect()]
+            this_run = F.col("cell_idx").isin(numbers) & (F.col("run_ts") == run_ts)
+            kept = read_cells(spark, f"{path}/{name}", schema).filter(this_run)
+            return kept.join(F.broadcast(wave.select(*KEYS)), KEYS, "left_semi")
 
-        asked = cell_samples(samples.select("sample_idx", "prompt"), wave)
-        answers = batch_infer(asked, factory, keys=KEYS, tasks=tasks)
-        write_cells(answers, f"{path}/predictions", gather=False)
+        unasked = _without(wave, _stored_cells(spark, f"{path}/predictions"))
+        answers = infer_cells(forms.select("sample_idx", "prompt"), unasked, factory, KEYS)
+        if tagged:
+            answers = answers.withColumn("prediction", answer_tag(F.col("prediction")))
+        if not unasked.isEmpty():
+            write_cells(answers, f"{path}/predictions", gather=False)
+        paired = align_outputs(forms, stored("predictions", answers.schema), wave, KEYS)
+        verdict = judge
+        if asks_model:
+            unjudged = _without(wave, _stored_cells(spark, f"{path}/judgements"))
+            text = judge_prompt(F.col("prompt"), F.col("reference"), F.coalesce("prediction", F.lit("")), judge_system)
+            asked = paired.join(F.broadcast(unjudged.select(*KEYS)), KEYS, "left_semi")
+            asked = asked.select(*KEYS, "sample_idx", text.alias("prompt"))
+            replies = batch_infer(asked, judge, KEYS, load_on=(), budget=F.lit(JUDGE_TOKENS)).select(
+                *KEYS, "sample_idx", F.col("prediction").alias("reply"), F.col("error").alias("judge_error")
+            )
+            if not unjudged.isEmpty():
+                write_cells(replies, f"{path}/judgements", gather=False)
+            parsed = parse_judge_replies(stored("judgements", replies.schema))
+            paired = paired.join(parsed.select(*KEYS, "sample_idx", "verdict"), [*KEYS, "sample_idx"])
+            verdict = F.col("verdict")
         # Prompts and references stay in the samples table instead of once per cell.
-        scores = score_samples(samples, stored(answers, "predictions"), judge).drop("prompt", "reference")
+        scores = score_rows(paired, verdict).drop("prompt", "reference", "verdict")
         write_cells(scores, f"{path}/scores")
-        results = cell_results(wave, stored(scores, "scores"), readings, keys=KEYS)
+        results = cell_results(wave, stored("scores", scores.schema), readings, keys=KEYS)
         write_cells(results, f"{path}/results")
-    return spark.read.parquet(f"{path}/results").filter(F.col("run_ts") == run_ts)
+    schema = _result_schema(grid, readings is not None)
+    return read_cells(spark, f"{path}/results", schema).filter(F.col("run_ts") == run_ts)

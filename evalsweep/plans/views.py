@@ -100,13 +100,43 @@ def predictions_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(sample % 4 == 0, F.lit(None)).otherwise(F.lit(0.12)).cast("double").alias("ttft_s"),
         (((sample + cell) % 50).cast("double") / 20.0).alias("total_s"),
         ((sample * 3 + cell) % 57).cast("int").alias("n_tokens"),
-        F.when(oom, F.lit("RuntimeError")).when(bad, F.lit("ValueError")).alias("error_type"),
+        F.when(oom & (cell > 8), F.lit("AcceleratorError"))
+        .when(oom, F.lit("RuntimeError"))
+        .when(bad, F.lit("ValueError"))
+        .alias("error_type"),
+        F.when(oom, F.lit(True)).when(bad, F.lit(False)).alias("error_is_runtime"),
         F.when(oom, F.concat(F.lit("GPU Out Of Memory at "), sample.cast("string")))
         .when(bad, F.lit("out of memory, but wrong type"))
         .alias("error"),
     )
 
 
+def predictions_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with strangers, gaps and repeats: what pairing has to find."""
+    rows = predictions_mc(spark, sf_dir)
+    sample, cell = F.col("sample_idx"), F.col("cell_idx")
+    given = rows.filter(~((cell == 2) & (sample % 10 == 0)))
+    strangers = rows.filter((cell == 5) & (sample % 7 == 0)).withColumn("sample_idx", -sample)
+    repeats = rows.filter((cell == 9) & (sample % 5 == 0))
+    unknown = rows.filter((cell == 1) & (sample % 100 == 0)).withColumn("cell_idx", F.lit(99))
+    return given.unionByName(strangers).unionByName(repeats).unionByName(unknown)
+
+
+def scores_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores in which cell 14 failed on every sample and failing rows of cell 3 are stored twice."""
+    rows = scores_mc(spark, sf_dir)
+    broken = F.col("cell_idx") == 14
+    rows = rows.withColumns(
+        {
+            "error_type": F.when(broken, F.lit("OSError")).otherwise(F.col("error_type")),
+            "error": F.when(broken, F.lit("no such model")).otherwise(F.col("error")),
+            "error_is_runtime": F.when(broken, F.lit(False)).otherwise(F.col("error_is_runtime")),
+        }
+    )
+    twice = rows.filter((F.col("cell_idx") == 3) & F.col("error_type").isNotNull())
+    return rows.unionByName(twice)
+
+
 def scores_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_samples(samples_mc(spark, sf_dir), predictions_mc(spark, sf_dir), judge="heuristic")
 
@@ -188,16 +218,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns and the assistant turns that follow them."""
+    """Every user turn, answered or not."""
     turns = table(spark, sf_dir, "conversations")
-    asked = turns.filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("prompt")
-    )
-    replied = turns.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction")
-    )
-    return asked.join(replied, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_idx"), "prompt", "prediction"
+    return turns.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_idx"), F.col("text").alias("prompt")
     )
 
 
@@ -269,6 +293,19 @@ def cell_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def host_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of cells that run side by side on four hosts: a day-long one per host and day."""
+    events = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 4).alias("host"), F.date_trunc("day", "ts").alias("start_ts")
+    )
+    return events.distinct().select(
+        "host",
+        (F.dayofmonth("start_ts") * 10 + F.col("host")).cast("int").alias("window_idx"),
+        "start_ts",
+        (F.col("start_ts") + F.expr("INTERVAL '36' HOUR")).alias("end_ts"),
+    )
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,8 @@ EXPORT_COLUMNS = (
 )
 SWEEP_FILE = r"sweep_[^/]*\.parquet"
 LISTED_SWEEPS = 10
+# Sample numbers that an export keeps together.
+EXPORT_BLOCK = 100_000
 # ------------------------------------------------------------------------
 
 # The canonical result row.
@@ -104,11 +107,20 @@ def head_sample(
     """The first ``max_samples`` rows in source order, bad rows included.
 
     Without ``order_by`` the order is that of the Parquet files and their rows.
+    The first rows are found by their order columns and places in the files, and
+    whole rows are fetched by a semi-join, so that no task holds the texts of a
+    large sample.  A table that is not read from files is ordered as a whole.
     """
-    if order_by is None:
-        order_by = ["_metadata.file_path", "_metadata.row_index"]
-    order = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.orderBy(*order).limit(max_samples).select(*df.columns)
+    order = [] if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    try:
+        placed = df.select("*", *place)
+    except AnalysisException:
+        if not order:
+            raise
+        return df.orderBy(*order).limit(max_samples)
+    first = placed.select(*order, "_file", "_at").orderBy(*order, "_file", "_at").limit(max_samples)
+    return placed.join(first.select("_file", "_at"), ["_file", "_at"], "left_semi").select(*df.columns)
 
 
 # Result files written by other tools --------------------------------------
@@ -134,29 +146,38 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         found = spark.read.parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"File not found: {path}") from exc
+            raise FileNotFoundError(f"no result file at {path}") from exc
         raise
     return conform_results(found)
 
 
-def _sweep_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct sweep names in a folder; only paths are listed, no data is read."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(folder)
-        .select(F.regexp_extract("path", SWEEP_FILE, 0).alias("name"))
+def _sweep_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, path) of the sweep files directly in a folder; only paths are listed, no data is read.
+
+    A sweep is a file, or a folder of files as Spark writes it.
+    """
+    literal = re.sub(r"([\\\[\]{}*?])", r"\\\1", folder.rstrip("/"))
+    try:
+        listed = spark.read.format("binaryFile").load(f"{literal}/sweep_*.parquet").select("path")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        listed = spark.createDataFrame([], "path string")
+    whole = F.regexp_extract("path", rf"^(.*/{SWEEP_FILE})(?:/[^/]*)?$", 1)
+    return (
+        listed.select(whole.alias("path"))
+        .filter(F.col("path") != "")
+        .distinct()
+        .select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "path")
     )
-    return listed.filter(F.col("name") != "").distinct()
 
 
 def latest_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Results of the lexicographically last sweep file; only that file is read."""
-    name = _sweep_names(spark, folder).agg(F.max("name")).first()[0]
-    if name is None:
-        raise FileNotFoundError(f"No parquet files found in {folder}")
-    return read_results(spark, f"{folder.rstrip('/')}/{name}")
+    last = _sweep_files(spark, folder).agg(F.max(F.struct("name", "path")).alias("last")).first()["last"]
+    if last is None:
+        raise FileNotFoundError(f"no sweep files in {folder}")
+    return read_results(spark, last["path"])
 
 
 def latest_runs(results: DataFrame) -> DataFrame:
@@ -188,7 +209,7 @@ def list_sweeps(results: DataFrame, n: int = LISTED_SWEEPS) -> DataFrame:
 
 def list_sweep_files(spark: SparkSession, folder: str, n: int = LISTED_SWEEPS) -> DataFrame:
     """The last sweep files of a folder."""
-    return number_last(_sweep_names(spark, folder), n)
+    return number_last(_sweep_files(spark, folder), n)
 
 
 # Writing -------------------------------------------------------------------
@@ -279,17 +300,15 @@ def export_predictions(
 ) -> None:
     """Prompts, references and predictions of each good cell, and a summary row.
 
-    Files are cut by range over cell and sample number, so reading a cell's
-    files in name order gives its samples in order, and a large cell becomes
-    many files.
+    Rows are gathered by cell and block of sample numbers, without a sampling
+    pass, and ordered within a file; a large cell becomes many files.
     """
     keys = list(keys)
     good = ok_cells(results)
-    rows = (
-        samples.join(good.select(*keys), keys, "left_semi")
-        .repartitionByRange(*keys, "sample_idx")
-        .sortWithinPartitions(*keys, "sample_idx")
-    )
+    rows = samples.join(good.select(*keys), keys, "left_semi")
+    block = F.floor(F.col("sample_idx") / EXPORT_BLOCK)
+    rows = rows.withColumn("_block", block).hint("rebalance", *[F.col(name) for name in (*keys, "_block")])
+    rows = rows.sortWithinPartitions(*keys, "sample_idx")
     others = [k for k in keys if k != "cell_idx"]
     write_csv(
         rows.select(*others, cell_position().alias("cell_pos"), "prompt", "reference", "prediction"),
@@ -316,24 +335,32 @@ NESTED = {"prompt": "prompts", "reference": "references", "prediction": "predict
 
 
 def nest_cells(
-    samples: DataFrame, keys: Sequence[str] = ("cell_idx",), chunk_rows: int = 1024
+    samples: DataFrame,
+    keys: Sequence[str] = ("cell_idx",),
+    chunk_rows: int = 1024,
+    chunk_bytes: int = 64 * 1024 * 1024,
 ) -> DataFrame:
     """Parallel lists of a cell's samples in order.
 
-    A cell is cut into chunks of ``chunk_rows`` sample numbers, one row each: a
-    cell within one chunk is a single row, and no row or task ever has to hold a
-    whole large cell.  Sample numbers must be unique within a cell.
+    A cell is cut into chunks of ``chunk_rows`` sample numbers, and a chunk whose
+    texts exceed ``chunk_bytes`` into parts, which end with the sample that
+    reaches that size: no row or task ever has to hold a whole large cell.  Sample
+    numbers must be unique within a cell.
     """
     keys = list(keys)
     item = F.struct("sample_idx", *NESTED)
+    size = sum((F.coalesce(F.octet_length(F.col(name)), F.lit(0)) for name in NESTED), F.lit(0)).cast("long")
+    before = Window.partitionBy(*keys, "chunk_idx").orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, -1)
     grouped = (
         samples.withColumn("chunk_idx", F.expr(f"sample_idx div {int(chunk_rows)}"))
-        .groupBy(*keys, "chunk_idx")
+        .withColumn("part_idx", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / F.lit(chunk_bytes)))
+        .groupBy(*keys, "chunk_idx", "part_idx")
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
     )
     return grouped.select(
         *keys,
         "chunk_idx",
+        "part_idx",
         F.col("_items.sample_idx").alias("sample_ids"),
         *[F.col(f"_items.{name}").alias(plural) for name, plural in NESTED.items()],
     )

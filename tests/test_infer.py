@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from evalsweep.functions.measures import failure_status
 from evalsweep.operators import infer
 
 
@@ -90,7 +91,7 @@ def counting_factory(folder):
 
 def test_a_task_loads_a_model_once_per_cell(spark, tmp_path):
     rows = rows_of(spark, cells=range(1, 7), samples=200)
-    answers = infer.batch_infer(rows, counting_factory(str(tmp_path)), tasks=3, batch_size=5)
+    answers = infer.batch_infer(rows, counting_factory(str(tmp_path)), tasks=3, batch_size=5, gather=True)
     assert answers.count() == 1200
     loads = open(tmp_path / "load").read().split("\n")[:-1]
     # Three tasks over six cells of equal size: each model loads once, or twice at a cut.
@@ -100,7 +101,7 @@ def test_a_task_loads_a_model_once_per_cell(spark, tmp_path):
 
 def test_a_large_cell_is_cut_over_all_tasks(spark):
     rows = rows_of(spark, cells=[1], samples=4000)
-    answers = infer.batch_infer(rows, echo_factory, tasks=8)
+    answers = infer.batch_infer(rows, echo_factory, tasks=8, gather=True)
     sizes = [r["count"] for r in answers.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1000
 
@@ -110,3 +111,60 @@ def test_wrong_number_of_answers_is_a_failure(spark, answer):
     got = infer.batch_infer(rows_of(spark), lambda m, o: lambda p, b: answer, tasks=1, batch_size=4).collect()
     # A single prompt with a single answer is fine, so retrying alone can succeed.
     assert {r.prediction for r in got} == {answer[0] if answer else None}
+
+
+def settings_factory(model_id, options):
+    if options["temperature"] > 1:
+        raise ValueError("too hot")
+    return lambda prompts, budgets: [f"{model_id} {options['backend']} {options['temperature']}" for _ in prompts]
+
+
+def test_one_scan_per_cell_moves_nothing_and_passes_all_settings(spark, capsys):
+    samples = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "sample_idx long, prompt string")
+    cells = spark.createDataFrame(
+        [(1, "m", "vllm", 0.0), (2, "m", "api", 0.5), (3, "m", "api", 2.0)],
+        "cell_idx int, model_id string, backend string, temperature double",
+    )
+    answers = infer.infer_cells(samples, cells, settings_factory)
+    answers.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    found = {(r.cell_idx, r.prediction, r.error_type) for r in answers.collect()}
+    assert found == {(1, "m vllm 0.0", None), (2, "m api 0.5", None), (3, None, "ValueError")}
+    assert answers.count() == 60
+    assert infer.infer_cells(samples, cells.limit(0), settings_factory).count() == 0
+
+
+def stuck_factory(model_id, options):
+    class Engine:
+        def __call__(self, prompts, budgets):
+            return prompts
+
+        def close(self):
+            if model_id == "m1":
+                raise OSError("stuck")
+
+    return Engine()
+
+
+def test_an_engine_that_does_not_close_fails_its_own_cell_only(spark):
+    answers = infer.batch_infer(rows_of(spark), stuck_factory, batch_size=16).collect()
+    assert len(answers) == 80
+    assert {r.cell_idx for r in answers if r.error_type == "OSError"} == {1}
+    assert all(r.error is None for r in answers if r.cell_idx == 2)
+
+
+def subclass_factory(model_id, options):
+    class AcceleratorError(RuntimeError):
+        pass
+
+    def engine(prompts, budgets):
+        raise AcceleratorError("device out of memory") if model_id == "m1" else OSError("disk out of memory")
+
+    return engine
+
+
+def test_kinds_of_runtime_errors_count_as_such(spark):
+    answers = infer.batch_infer(rows_of(spark, samples=4), subclass_factory)
+    status = failure_status(F.col("error_type"), F.col("error"), F.col("error_is_runtime"))
+    found = {tuple(r) for r in answers.select("cell_idx", "error_type", status).collect()}
+    assert found == {(1, "AcceleratorError", "oom"), (2, "OSError", "error")}

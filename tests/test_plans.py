@@ -70,10 +70,26 @@ def test_large_sides_are_not_broadcast(spark, plan):
     cells = spark.range(100).selectExpr("cast(id as int) as cell_idx")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(grid.cell_samples(samples, cells, broadcast_rows=10))
+        sliced = grid.cell_samples(samples, cells, broadcast_rows=10)
+        text = plan(sliced)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Each slice of the grid is carried to samples that stay where they are.
+    assert "Join" not in text and "hashpartitioning" not in text
+    assert sliced.distinct().count() == 100_000
+
+
+def test_large_linked_sides_meet_in_a_salted_join(spark, plan):
+    samples = spark.range(1000).selectExpr("id as sample_idx", "1 as k")
+    cells = spark.range(100).selectExpr("cast(id as int) as cell_idx", "1 as k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = grid.cell_samples(samples, cells, ["k"], broadcast_rows=10)
+        text = plan(joined)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastExchange" not in text and "_salt" in text
+    assert joined.count() == 100_000
 
 
 def test_hot_bucket_is_spread_over_salts(spark, sf_dir, plan):
@@ -116,3 +132,7 @@ def test_only_tables_in_too_few_splits_are_spread(spark, plan):
     cores = spark.sparkContext.defaultParallelism
     assert "RoundRobin" in plan(spread(spark.range(0, 100, 1, cores - 1)))
     assert "RoundRobin" not in plan(spread(spark.range(0, 100, 1, cores)))
+
+
+def test_inference_moves_no_prompt(spark, sf_dir, plan):
+    assert "Exchange" not in plan(queries.QUERIES["batch_infer"](spark, sf_dir))

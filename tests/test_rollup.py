@@ -56,6 +56,28 @@ def test_one_failure_fails_the_cell_with_the_first_error(tables):
     assert found[5].n_samples == 0 and found[5].mean_tps == 0.0
 
 
+def test_a_cell_has_one_row_however_often_a_failure_is_stored(spark, tables):
+    grid, scores = tables
+    broken = [(5, i, None, None, None, None, None, None, "OSError", "no such model") for i in range(50)]
+    kinds = {"oom": ("AcceleratorError", "out of memory", True), "error": ("OSError", "disk out of memory", False)}
+    more = scores.unionByName(spark.createDataFrame(ROWS[3:4] * 3 + broken, SCORES))
+    found = rollup.cell_results(grid, more).collect()
+    assert sorted(r.cell_idx for r in found) == [1, 2, 3, 4, 5]
+    assert by_cell(rollup.cell_results(grid, more))[5].error == "no such model"
+    for status, (kind, text, runtime) in kinds.items():
+        rows = scores.filter("cell_idx = 3").withColumns(
+            {"error_type": F.lit(kind), "error": F.lit(text), "error_is_runtime": F.lit(runtime)}
+        )
+        assert by_cell(rollup.cell_results(grid, rows))[3].status == status
+
+
+def test_a_mean_of_nan_stays(spark, tables):
+    rows = spark.createDataFrame([(1, 0, True, True, float("nan"), None, float("nan"), 5, None, None)], SCORES)
+    found, result = by_cell(rollup.cell_perf(tables[0], rows))[1], by_cell(rollup.cell_results(tables[0], rows))[1]
+    judged = by_cell(rollup.cell_judge(tables[0], rows))[1]
+    assert all(x != x for x in (found.mean_total_s, result.mean_total_s, judged.judge_avg_score))
+
+
 def test_summary_and_progress(tables):
     results = rollup.cell_results(*tables)
     pcts = [50.0, 100.0, 0.0]
@@ -107,6 +129,24 @@ def test_telemetry_rollup(spark, tables):
     assert tuple(found[2])[1:] == (0.0,) * 7 + (0, False)
 
 
+def test_hosts_without_a_gpu(spark, tables):
+    readings = spark.createDataFrame([(1, 50.0), (1, 70.0)], "cell_idx int, cpu_util_pct double")
+    one = by_cell(telemetry.cell_telemetry(tables[0], readings))[1]
+    assert (one.avg_cpu_util_pct, one.peak_vram_mb, one.hw_sample_count, one.gpu_available) == (60.0, 0.0, 2, False)
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_readings_go_to_cells_of_their_own_host(spark, broadcast_rows):
+    # All at one time, as fleets that are polled on one tick.
+    ts = F.timestamp_seconds(F.lit(1_700_000_000))
+    readings = spark.range(400).select("id", F.pmod("id", F.lit(4)).alias("host"), ts.alias("ts"))
+    windows = spark.range(4).select(
+        F.col("id").alias("host"), F.col("id").alias("cell"), ts.alias("start_ts"), F.timestamp_seconds(F.lit(1_700_000_060)).alias("end_ts")
+    )
+    joined = telemetry.attribute_telemetry(readings, windows, on=("host",), broadcast_rows=broadcast_rows)
+    assert sorted((r.id, r.cell) for r in joined.collect()) == [(i, i % 4) for i in range(400)]
+
+
 @pytest.mark.parametrize("broadcast_rows", [10**6, 0])
 def test_attribution_equals_brute_force(spark, broadcast_rows):
     base = 1_700_000_000

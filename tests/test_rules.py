@@ -46,11 +46,19 @@ def test_ranges(spark):
     assert [(i, rule) for i, rule, _ in got] == [(1, "range:n"), (2, "range:p"), (3, "range:p")]
 
 
-def test_defaults_and_mock_mode(spark):
-    df = spark.createDataFrame([(1, None, None, True), (2, "vllm", 5, None)], "id int, backend string, max_samples int, mock_enabled boolean")
-    filled = rules.fill_defaults(df)
-    assert sorted(tuple(r) for r in filled.collect()) == [(1, "hf", 100, True), (2, "vllm", 5, False)]
-    assert [r.backend for r in rules.force_mock(filled).orderBy("id").collect()] == ["mock", "vllm"]
+def test_defaults_leave_explicit_values(spark):
+    rows = [(1, None, None, None), (2, "vllm", 5, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, backend string, max_samples int, top_p double")
+    found = sorted(map(str, rules.fill_defaults(df).collect()))
+    assert found == sorted(map(str, df.sparkSession.createDataFrame([(1, "hf", 100, 1.0), rows[1]], df.schema).collect()))
+
+
+def test_unknown_fields_are_counted_at_any_depth(spark):
+    rows = [(1, {"a": [(1, None)], "x": 5}), (2, {"a": [(2, 7), (3, None)], "x": None}), (3, None)]
+    df = spark.createDataFrame(rows, "id int, s struct<a:array<struct<b:int,c:int>>,x:int>")
+    found = rules.count_unknown_fields(df, {"id": None, "s": {"a": {"b": None}}}).collect()
+    assert sorted(map(tuple, found)) == [("s.a.c", "unknown:s.a.c", 1), ("s.x", "unknown:s.x", 1)]
+    assert rules.count_unknown_fields(df, {"id": None, "s": None}).count() == 0
 
 
 def test_rules_need_no_shuffle(spark, capsys):

@@ -1,11 +1,13 @@
 import random
 
+import duckdb
+import pandas as pd
 import pytest
-import rules_in_python as plain
 from pyspark.sql import functions as F
 
 from evalsweep.functions import judging
 from evalsweep.operators import judge, rollup, score
+from evalsweep.plans import sql_views
 
 CHOICE_PROMPT = "Question: ...\n\nOptions:\n  A. foo\n  B. bar\n\nAnswer:"
 
@@ -56,20 +58,42 @@ def test_strict_mode_keeps_to_lone_letters(spark):
     assert [r.judge_label for r in strict] == ["incorrect", "correct", "incorrect"]
 
 
-def test_scores_equal_plain_statement(spark):
+def in_sql(triples):
+    """The same scores by DuckDB, keyed by row."""
+    rows = pd.DataFrame(triples, columns=["prompt", "reference", "prediction"]).reset_index()
+    made = sql_views.processed("prediction", "contains(prompt, 'Options:')")
+    right, label = sql_views.verdict("rn", "rc", "pn", "pc")
+    sql = f"""SELECT index, processed, {sql_views.strip('reference')} = processed AS exact,
+            rn = {sql_views.norm('processed')} OR rc = {sql_views.choice('processed')} AS loose,
+            {right} AS score, {label} AS label
+        FROM (SELECT *, {made} AS processed, {sql_views.norm('reference')} AS rn, {sql_views.choice('reference')} AS rc,
+                {sql_views.norm('prediction')} AS pn, {sql_views.choice('prediction')} AS pc FROM rows)
+        ORDER BY index"""
+    return duckdb.query_df(rows, "rows", sql).fetchall()
+
+
+def test_scores_equal_sql(spark):
     rng = random.Random(7)
     pieces = ["A", "b", "the", "The answer is", "Paris", " ", "\t", "...", "42", "f)", "É", "an apple", "zzz", "(c)"]
     triples = []
     for _ in range(1500):
         text = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 4))) for _ in range(2)]
         triples.append((rng.choice(["q", CHOICE_PROMPT]), *text))
-    for row in scored(spark, triples, judge="heuristic"):
-        want = plain.matches(row.prompt, row.reference, row.prediction)
-        assert (row.processed, row.exact_match, row.normalized_match) == want
-        assert (row.judge_score, row.judge_label) == plain.verdict(row.reference, row.prediction)
+    for row, (i, *want) in zip(scored(spark, triples, judge="heuristic"), in_sql(triples)):
+        assert row.sample_idx == i
+        got = [row.processed, row.exact_match, row.normalized_match, row.judge_score, row.judge_label]
+        assert got == want
         assert row.normalized_match or not row.exact_match
 
 
+def test_the_judge_takes_either_text_as_the_reference(spark):
+    texts = ["Paris", "the Paris", "", " ", "B", "(b) two", "xylophone", "my xylophone", "zzz", "é"]
+    pairs = [(a, b) for a in texts for b in texts]
+    there = scored(spark, [("q", a, b) for a, b in pairs], judge="heuristic")
+    back = scored(spark, [("q", b, a) for a, b in pairs], judge="heuristic")
+    assert [(r.judge_score, r.judge_label) for r in there] == [(r.judge_score, r.judge_label) for r in back]
+
+
 def test_missing_prediction_is_no_match(spark):
     row = scored(spark, [("q", "A", None)], judge="heuristic")[0]
     assert not row.exact_match and not row.normalized_match
@@ -84,38 +108,48 @@ def test_judge_off_gives_no_score_and_zero_mean(spark):
     assert means == {1: 0.0, 2: 0.0}
 
 
-REPLIES = [
-    '{"score": 0.5, "label": "partial"}',
-    'Sure! {"score": 1, "label": "correct"} done',
-    '{"score": 3}',
-    '{"score": -1}',
-    "no json here",
-    "0.8",
-    "[1]",
-    '{"score": null}',
-    '{"label": null}',
-    '{"score": "0.7", "label": "x"}',
-    '{"score": "high"}',
-    '{"score": true}',
-    '{"score":\n0.25}',
-    '{"a": 1} and {"score": 1}',
-    '{"score": 1},{"score": 0}',
-    '{"score": 1}] {"x": 1}',
-    '{"score": 1, "score": 0.25}',
-    '{"label": "a } b", "score": 0.5}',
-    "",
-    "{}",
-    "{",
-    "{'score': 1}",
-    '{"score": 1, "label": 5}',
-]
-
-
-def test_judge_replies_equal_plain_statement(spark):
+REPLIES = {
+    '{"score": 0.5, "label": "partial"}': (0.5, "partial"),
+    'Sure! {"score": 1, "label": "correct"} done': (1.0, "correct"),
+    '{"score": 3}': (1.0, "incorrect"),
+    '{"score": -1}': (0.0, "incorrect"),
+    "no json here": (0.0, "incorrect"),
+    "0.8": (0.0, "incorrect"),
+    "[1]": (0.0, "incorrect"),
+    '{"score": null}': (0.0, "incorrect"),
+    '{"label": null}': (0.0, "None"),
+    '{"score": "0.7", "label": "x"}': (0.7, "x"),
+    '{"score": "high"}': (0.0, "incorrect"),
+    '{"score": true}': (1.0, "incorrect"),
+    '{"score":\n0.25}': (0.25, "incorrect"),
+    '{"a": 1} and {"score": 1}': (0.0, "incorrect"),
+    '{"score": 1},{"score": 0}': (0.0, "incorrect"),
+    '{"score": 1}] {"x": 1}': (0.0, "incorrect"),
+    '{"score": 1, "score": 0.25}': (0.25, "incorrect"),
+    '{"label": "a } b", "score": 0.5}': (0.5, "a } b"),
+    "": (0.0, "incorrect"),
+    "{}": (0.0, "incorrect"),
+    "{": (0.0, "incorrect"),
+    "{'score': 1}": (0.0, "incorrect"),
+    '{"score": 1, "label": 5}': (1.0, "5"),
+    # Numbers in texts are read as Python reads them, not as Java does.
+    '{"score": "0.7d", "label": "x"}': (0.0, "incorrect"),
+    '{"score": "0x1p-1", "label": "x"}': (0.0, "incorrect"),
+    '{"score": " 1_0e-1 ", "label": "x"}': (1.0, "x"),
+    '{"score": "1__0", "label": "x"}': (0.0, "incorrect"),
+    '{"score": ".5", "label": "x"}': (0.5, "x"),
+    '{"score": "inf", "label": "x"}': (1.0, "x"),
+    '{"score": "nan", "label": "x"}': (0.0, "incorrect"),
+    '{"score": 1, "label": true}': (1.0, "True"),
+    '{"score": 1, "label": "true"}': (1.0, "true"),
+}
+
+
+def test_judge_replies(spark):
     df = spark.createDataFrame(list(enumerate(REPLIES)), "i int, reply string")
     rows = judge.parse_judge_replies(df).orderBy("i").collect()
-    for row, text in zip(rows, REPLIES):
-        assert tuple(row.verdict) == plain.reply(text), text
+    for row, (text, want) in zip(rows, REPLIES.items()):
+        assert tuple(row.verdict) == want, text
 
 
 def test_parsed_replies_can_judge_the_scores(spark):
@@ -129,12 +163,9 @@ def test_parsed_replies_can_judge_the_scores(spark):
 
 
 def test_judge_prompt_holds_the_three_texts(spark):
-    shown = spark.range(1).select(
-        judging.judge_prompt(F.lit("q?"), F.lit("ref"), F.lit("pred"), system="S")
-    ).first()[0]
-    assert shown == (
-        "S\n\nQuestion:\nq?\n\nReference answer:\nref\n\nModel prediction:\npred\n\nScore the prediction now."
-    )
+    columns = F.lit("q?"), F.lit("ref"), F.lit("pred")
+    own = judging.judge_prompt(*columns, system="S", headings=("1", "2", "3"), closing="E")
+    assert spark.range(1).select(own).first()[0] == "S\n\n1\nq?\n\n2\nref\n\n3\npred\n\nE"
 
 
 @pytest.fixture()
@@ -174,6 +205,24 @@ def test_misaligned_raises(spark, paired, change, message, columns):
         score.align_outputs(samples, predictions(spark, change(rows)), grid).select(*columns).collect()
 
 
+@pytest.mark.parametrize("columns", [["prediction"], ["cell_idx", "sample_idx"]])
+def test_a_sample_given_twice_raises(spark, paired, columns):
+    samples, grid, rows = paired
+    twice = samples.unionByName(samples.filter("sample_idx = 2"))
+    with pytest.raises(Exception, match="sample given more than once"):
+        score.align_outputs(twice, predictions(spark, rows), grid).select(*columns).collect()
+    with pytest.raises(Exception, match="sample given more than once"):
+        score.score_samples(twice, predictions(spark, rows)).select(*columns).collect()
+
+
+@pytest.mark.parametrize("columns", [["exact_match"], ["cell_idx", "sample_idx"]])
+def test_scoring_a_prediction_without_its_sample_raises(spark, paired, columns):
+    samples, _, rows = paired
+    assert score.score_samples(samples, predictions(spark, rows[:-1])).count() == 9
+    with pytest.raises(Exception, match="prediction without a sample"):
+        score.score_samples(samples, predictions(spark, rows + [(1, 99, "x")])).select(*columns).collect()
+
+
 def test_alignment_report(spark, paired):
     samples, grid, rows = paired
     given = predictions(spark, rows[:-1] + [(1, 99, "x"), (1, 0, "x")])

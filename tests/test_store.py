@@ -61,6 +61,48 @@ def test_latest_and_listing_of_files(spark, tmp_path):
     ]
 
 
+def test_only_sweep_files_of_the_folder_itself_count(spark, tmp_path):
+    folder = tmp_path / "results [1]"
+    for place, n in (("sweep_a.parquet", 1), ("tier1/sweep_z.parquet", 2), ("old_sweep_z.parquet", 3)):
+        path = folder / place
+        path.parent.mkdir(parents=True, exist_ok=True)
+        foreign_file(str(path), [good(n)])
+    # A sweep that Spark wrote is a folder.
+    spark.read.parquet(str(folder / "sweep_a.parquet").replace("[", "\\[").replace("]", "\\]")).write.parquet(
+        str(folder / "sweep_b.parquet")
+    )
+    assert [r.name for r in store.list_sweep_files(spark, str(folder)).collect()] == ["sweep_a.parquet", "sweep_b.parquet"]
+    with pytest.raises(FileNotFoundError):
+        store.latest_sweep(spark, str(folder / "tier2"))
+
+
+def test_head_sample_finds_the_first_rows_without_moving_texts(spark, tmp_path, capsys):
+    path = str(tmp_path / "rows")
+    spark.range(100).selectExpr("id", "id % 3 as k", "repeat('x', 50) as text").repartition(7).write.parquet(path)
+    df = spark.read.parquet(path)
+    sample = store.head_sample(df, 40, ["k", "id"])
+    expected = sorted(range(100), key=lambda i: (i % 3, i))[:40]
+    assert sorted(r.id for r in sample.collect()) == sorted(expected)
+    sample.explain()
+    top = next(line for line in capsys.readouterr().out.split("\n") if "TakeOrderedAndProject" in line)
+    assert "text" not in top
+    assert store.head_sample(df, 30).count() == 30
+    made = spark.range(9).withColumn("k", F.lit(1))
+    assert [r.id for r in store.head_sample(made, 2, "id").collect()] == [0, 1]
+
+
+def test_nested_chunks_are_bounded_by_bytes(spark):
+    rows = [(1, s, "p" * 10, "r" * 10, "a" * (500 if s == 3 else 10)) for s in range(10)]
+    df = spark.createDataFrame(rows, "cell_idx int, sample_idx long, prompt string, reference string, prediction string")
+    nested = store.nest_cells(df, chunk_bytes=100)
+    for row in nested.collect():
+        size = sum(len(t) for name in ("prompts", "references", "predictions") for t in row[name])
+        last = sum(len(row[name][-1]) for name in ("prompts", "references", "predictions"))
+        assert size - last < 100
+    assert nested.count() == 3
+    assert sorted(tuple(r) for r in store.unnest_cells(nested).collect()) == rows
+
+
 def test_no_sweep_files(spark, tmp_path):
     foreign_file(str(tmp_path / "other.parquet"), [good(1)])
     with pytest.raises(FileNotFoundError):

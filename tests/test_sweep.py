@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalsweep.functions.measures import failure_status
 from evalsweep.operators.grid import grid_cells
+from evalsweep.plans import sweep as plan
 from evalsweep.plans.sweep import run_sweep
 
 
@@ -41,7 +42,7 @@ def test_sweep_stores_resumes_and_asks_each_prompt_once(spark, sweep, tmp_path):
     path, factory = str(tmp_path / "sweep"), factory_at(str(tmp_path))
 
     def run(ts):
-        results = run_sweep(samples, grid, factory, path, ts, judge="heuristic", cells_per_wave=3, tasks=2)
+        results = run_sweep(samples, grid, factory, path, ts, judge="heuristic", cells_per_wave=3)
         return {r.cell_idx: r for r in results.collect()}
 
     first = run("t1")
@@ -56,9 +57,10 @@ def test_sweep_stores_resumes_and_asks_each_prompt_once(spark, sweep, tmp_path):
     assert {c: r.status for c, r in run("t1").items()} == {c: r.status for c, r in first.items()}
     assert open(tmp_path / "asked").read().count("good\n") == asked
 
-    # A lost result is run again, alone, and another run starts from nothing.
-    lost = glob.glob(f"{path}/results/experiment=*/run_ts=t1/cell_idx=3")[0]
-    os.rename(lost, str(tmp_path / "lost"))
+    # A cell that is taken away is run again, alone, and another run starts from nothing.
+    for name in ("results", "predictions"):
+        lost = glob.glob(f"{path}/{name}/experiment=*/run_ts=t1/cell_idx=3")[0]
+        os.rename(lost, str(tmp_path / f"lost-{name}"))
     open(tmp_path / "fixed", "w").close()
     assert {c: r.status for c, r in run("t1").items()} == {1: "ok", 2: "ok", 3: "ok", 4: "oom"}
     assert open(tmp_path / "asked").read().count("good\n") == asked
@@ -70,8 +72,70 @@ def test_sweep_stores_resumes_and_asks_each_prompt_once(spark, sweep, tmp_path):
 def test_stored_predictions_keep_what_did_not_fail(spark, sweep, tmp_path):
     samples, grid = sweep
     path = str(tmp_path / "sweep")
-    run_sweep(samples, grid, factory_at(str(tmp_path)), path, "t1", tasks=2)
+    run_sweep(samples, grid, factory_at(str(tmp_path)), path, "t1")
     stored = spark.read.parquet(f"{path}/predictions")
     assert stored.count() == 48
     status = failure_status(F.col("error_type"), F.col("error"))
     assert stored.filter(status == "oom").count() == 24
+
+
+def test_stored_answers_outlive_a_failure_in_scoring(spark, sweep, tmp_path, monkeypatch):
+    samples, grid = sweep
+    path, factory = str(tmp_path / "sweep"), factory_at(str(tmp_path))
+    open(tmp_path / "fixed", "w").close()
+
+    def broken(*args, **options):
+        raise KeyError("scoring broke")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plan, "score_rows", broken)
+        with pytest.raises(KeyError):
+            run_sweep(samples, grid, factory, path, "t1")
+    asked = len(open(tmp_path / "asked").read().split())
+    assert asked == 48
+    results = run_sweep(samples, grid, factory, path, "t1").collect()
+    assert {r.status for r in results} == {"ok"} and len(results) == 4
+    assert len(open(tmp_path / "asked").read().split()) == asked
+
+
+def test_names_that_look_like_numbers_stay_texts(spark, sweep, tmp_path):
+    samples, grid = sweep
+    path = str(tmp_path / "sweep")
+    named = grid.filter("model_id = 'good'").withColumn("experiment", F.lit("007"))
+    for _ in range(2):
+        results = run_sweep(samples, named, factory_at(str(tmp_path)), path, "20240131")
+        assert {(r.experiment, r.run_ts) for r in results.collect()} == {("007", "20240131")}
+    assert len(open(tmp_path / "asked").read().split()) == 24
+
+
+def test_answers_that_do_not_pair_fail_the_sweep(spark, sweep, tmp_path):
+    samples, grid = sweep
+    path, factory = str(tmp_path / "sweep"), factory_at(str(tmp_path))
+    run_sweep(samples, grid, factory, path, "t1")
+    lost = glob.glob(f"{path}/results/experiment=*/run_ts=t1/cell_idx=1")[0]
+    os.rename(lost, str(tmp_path / "lost"))
+    more = samples.unionByName(samples.limit(1).withColumn("sample_idx", F.lit(99)))
+    with pytest.raises(Exception, match="sample without a prediction"):
+        run_sweep(more, grid, factory, path, "t1")
+
+
+def test_waves_are_bounded_by_cells(spark):
+    cells = [(f"e{e}", c) for e in range(7) for c in range(1, 4)] + [("e0", 4), ("e0", 5)]
+    rows = spark.createDataFrame([(e, c, int(e[1:]) + 1) for e, c in cells], "experiment string, cell_idx int, _place int")
+    found = [[tuple(r)[:2] for r in rows.filter(wave).collect()] for wave in plan._waves(rows, 3)]
+    assert max(map(len, found)) <= 3
+    assert sorted(cell for wave in found for cell in wave) == sorted(cells)
+
+
+def judge_factory(model_id, options):
+    return lambda prompts, budgets: ['{"score": 0.5, "label": "partial"}' for _ in prompts]
+
+
+def test_a_model_judges_and_its_replies_are_stored(spark, sweep, tmp_path):
+    samples, grid = sweep
+    open(tmp_path / "fixed", "w").close()
+    path = str(tmp_path / "sweep")
+    results = run_sweep(samples, grid, factory_at(str(tmp_path)), path, "t1", judge=judge_factory).collect()
+    assert {r.judge_avg_score for r in results} == {0.5}
+    assert spark.read.parquet(f"{path}/judgements").count() == 48
+    assert {r.judge_label for r in spark.read.parquet(f"{path}/scores").collect()} == {"partial"}

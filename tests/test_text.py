@@ -1,4 +1,3 @@
-import rules_in_python as plain
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -53,14 +52,28 @@ def test_extract_choice_cases(spark):
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(TEXTS)
-def test_text_rules_equal_plain_statement(spark, values):
-    # ß upper-cases to two letters and is left to the single-character rule of Python.
-    found = apply(spark, values, text.strip, text.normalize_text, text.extract_choice, text.words)
-    for value, (stripped, norm, choice, words) in zip(values, found):
-        assert stripped == value.strip()
-        assert norm == plain.norm(value)
-        assert choice == plain.choice(value)
-        assert words == value.split()
+def test_text_rules_keep_their_properties(spark, values):
+    def twice(column):
+        return text.normalize_text(text.normalize_text(column))
+
+    def of_stripped(rule):
+        return lambda column: rule(text.strip(column))
+
+    rules = (text.strip, text.words, text.normalize_text, twice, of_stripped(text.normalize_text))
+    choices = (text.extract_choice, of_stripped(text.extract_choice))
+    for value, row in zip(values, apply(spark, values, *rules, *choices)):
+        stripped, words, norm, again, norm_stripped, choice, choice_stripped = row
+        assert stripped == value.strip() and words == value.split()
+        # A comparison form stays as it is, and stripping first changes nothing.
+        assert norm == norm_stripped == " ".join(norm.split())
+        assert again == norm
+        assert not set(norm) & set(text.PUNCTUATION) and norm == norm.lower()
+        assert not set(norm.split()) & {"a", "an", "the"}
+        if stripped:
+            # One character, bar ß, whose upper case has two.
+            assert choice == choice_stripped and len(choice) <= 2 and choice in value.upper()
+        else:
+            assert choice == value
 
 
 def test_strip_handles_every_whitespace_character(spark):
