@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 import evalsweep.llm
 from evalsweep.sources.workspace import work_folder
@@ -34,16 +33,14 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that is stored in too few splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def map_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str, start: Callable | None = None
+    df: DataFrame,
+    work: Callable[[pa.RecordBatch], dict],
+    schema: str,
+    start: Callable | None = None,
+    size: int = 4 << 20,
 ) -> DataFrame:
-    """Apply ``work`` to Arrow batches; it returns the columns of ``schema``.
+    """Apply ``work`` to pieces of about ``size`` bytes; it returns the columns of ``schema``.
 
     With ``start``, ``work`` gets what ``start()`` returned as its second
     argument: models and caches that a task makes once.
@@ -53,7 +50,7 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = start() if start else None
         for batch in batches:
-            for lo, hi in _slices(batch):
+            for lo, hi in slices(batch, size):
                 part = batch.slice(lo, hi - lo)
                 columns = work(part, own) if start else work(part)
                 arrays = [pa.array(columns[field.name], field.type) for field in kinds]
@@ -70,7 +67,7 @@ def _arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in fields])
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 2048, size: int = 8 << 20) -> list[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, size: int, rows: int = 2048) -> list[tuple[int, int]]:
     """Cut a batch so that a piece has few rows and, single long rows aside, few bytes."""
     n = batch.num_rows
     if not n:
@@ -140,10 +137,6 @@ class PolyHash:
         return mixed((self.prefix[ends] - self.prefix[starts]) * self.inverses[starts])
 
 
-def row_key(*columns: Column | str) -> Column:
-    return F.xxhash64(*columns)
-
-
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 32768) -> Iterator[pa.Table]:
     """Tables of at least so many rows that never cut a run of equal keys; input sorted by key."""
     held: list[pa.RecordBatch] = []

@@ -8,8 +8,7 @@ small-star.
 
 Within a bucket no list of all pairs is made.  First every member is compared
 with the bucket's smallest.  Then only members that are still in different
-components are compared, block by block, and only pairs that the minima let pass
-leave a task.
+components are compared, block by block, and each keeps one link.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from evalsweep.llm.common import (
     U64,
     PolyHash,
+    least_reachable,
     map_batches,
     mixed,
     random_words,
@@ -37,6 +37,8 @@ from evalsweep.llm.components import connected
 
 # Members of a bucket that one task compares with as many others.
 BLOCK = 512
+# Bytes of text that are hashed at a time: a handful of 8-byte numbers for each.
+HASHED = 1 << 20
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[ord("A") : ord("Z") + 1] += 32
 _GAP = np.zeros(256, bool)
@@ -155,13 +157,11 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
         }
 
     schema = "doc_id long, n_shingles long, name1 long, name2 long, bands array<long>, minima binary"
-    return map_batches(docs, work, schema, PolyHash)
+    return map_batches(docs, work, schema, PolyHash, HASHED)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Those of the ``(u, v)`` pairs whose full sets reach the threshold."""
-    pairs = staged(pairs, "pairs")
-    ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
+    """(doc_id, shingles) of the texts whose ``doc_id`` is listed."""
 
     def work(batch: pa.RecordBatch, poly: PolyHash) -> dict:
         shingles, offsets = shingle_sets(batch.column("text"), plan.words, poly)
@@ -171,19 +171,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
             "shingles": [shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])],
         }
 
-    wanted = docs.join(ends, "doc_id", "left_semi")
-    sets = staged(map_batches(wanted, work, "doc_id long, shingles binary", PolyHash), "sets")
+    # The same plan at every size: the list of ids grows with the documents.
+    wanted = docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+    return staged(map_batches(wanted, work, "doc_id long, shingles binary", PolyHash, HASHED), "sets")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, plan: Plan) -> bool:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= plan.percent * (len(a) + len(b) - same)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Those of the ``(u, v)`` pairs whose full sets reach the threshold."""
+    pairs = staged(pairs, "pairs")
+    ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
+    sets = _sets(docs, ends, plan)
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(a, "u").join(b, "v")
 
     def compare(batch: pa.RecordBatch) -> dict:
-        out = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-            same = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * same >= plan.percent * (len(a) + len(b) - same))
-        return {"u": batch.column("u"), "v": batch.column("v"), "linked": out}
+        columns = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+        linked = [_similar(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), plan) for a, b in columns]
+        return {"u": batch.column("u"), "v": batch.column("v"), "linked": linked}
 
     return map_batches(both, compare, "u long, v long, linked boolean").filter("linked").select("u", "v").distinct()
 
@@ -201,13 +211,37 @@ def _likely(pairs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
     return map_batches(joined, compare, "u long, v long, ok boolean").filter("ok").select("u", "v").distinct()
 
 
-def _across(filed: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
-    """Likely pairs between components that meet in a bucket.
+def _partners(whole: pa.Table, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of parts, the later ones of other components that their minima let pass.
+
+    A pair that shares several buckets is looked at in the first only.
+    """
+    bucket, side = whole.column("bucket").to_numpy(), whole.column("side").to_numpy()
+    component = whole.column("component").to_numpy()
+    minima = np.frombuffer(b"".join(whole.column("minima").to_pylist()), np.uint32).reshape(len(bucket), -1)
+    bands = whole.column("bands").combine_chunks().flatten().to_numpy().reshape(len(bucket), -1)
+    starts = run_starts(whole.column("part").to_numpy())
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        for i in range(lo, hi - 1):
+            j = np.arange(i + 1, hi)
+            j = j[(component[j] != component[i]) & ((side[j] == 2) | (side[j] != side[i]))]
+            j = j[(minima[j] == minima[i]).sum(1) >= plan.least_equal]
+            if len(j):
+                shared = (bands[j] == bands[i]).argmax(1)
+                j = j[bands[i][shared] == bucket[i]]
+            if len(j):
+                yield i, j
+
+
+def _across(filed: DataFrame, standing: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Links between components that meet in a bucket, as ``(u, v)`` rows.
 
     ``filed`` holds (bucket, doc_id, component).  A bucket whose members are all
     in one component has nothing left to find.  Of the others each member is put
-    into blocks; a task meets two blocks and gives only pairs of different
-    components that their minima let pass.
+    into blocks, and a task meets two blocks.  First it gives the members that
+    have any likely partner; those come again with their full sets, and the task
+    gives each member the smallest that it reaches over true links.  Neither
+    gives pairs: rows grow with members and blocks.
     """
     open_ = (
         filed.groupBy("bucket")
@@ -218,31 +252,44 @@ def _across(filed: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
     met = filed.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(
+        "bucket",
         "doc_id",
         "component",
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("part"),
+        F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
     )
-    minima = signed.select("doc_id", "minima").dropDuplicates(["doc_id"])
-    work = met.join(minima, "doc_id").repartition("part").sortWithinPartitions("part")
+    signed = standing.select("doc_id", "bands", "minima")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_runs(batches, "part", 4096):
-            part, ids = whole.column("part").to_numpy(), whole.column("doc_id").to_numpy()
-            component = whole.column("component").to_numpy()
-            minima = np.frombuffer(b"".join(whole.column("minima").to_pylist()), np.uint32).reshape(len(ids), -1)
-            starts = run_starts(part)
-            found = []
-            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                for i in range(lo, hi - 1):
-                    rest = slice(i + 1, hi)
-                    same = (minima[rest] == minima[i]).sum(1) >= plan.least_equal
-                    j = i + 1 + np.flatnonzero(same & (component[rest] != component[i]))
-                    if len(j):
-                        found.append(np.c_[np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])
-            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
-
-    return work.mapInArrow(run, "u long, v long").distinct()
+            hit = np.zeros(whole.num_rows, bool)
+            for i, j in _partners(whole, plan):
+                hit[i] = hit[j] = True
+            kept = whole.select(["bucket", "doc_id", "component", "part", "side"]).filter(pa.array(hit))
+            yield from kept.combine_chunks().to_batches()
+
+    schema = "bucket long, doc_id long, component long, part long, side int"
+    work = met.join(signed, "doc_id").repartition("part").sortWithinPartitions("part")
+    hits = staged(work.mapInArrow(likely, schema), "likely")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_runs(batches, "part", 1024):
+            ids = whole.column("doc_id").to_numpy()
+            sets = [np.frombuffer(x, np.int64) for x in whole.column("shingles").to_pylist()]
+            found_a, found_b = [], []
+            for i, j in _partners(whole, plan):
+                true = [k for k in j.tolist() if _similar(sets[i], sets[k], plan)]
+                found_a += [i] * len(true)
+                found_b += true
+            nodes, node = np.unique(ids, return_inverse=True)
+            a, b = node[np.array(found_a, np.int64)], node[np.array(found_b, np.int64)]
+            root = least_reachable(len(nodes), a, b)
+            tied = root != np.arange(len(nodes))
+            yield pa.RecordBatch.from_pydict({"u": pa.array(nodes[tied]), "v": pa.array(nodes[root[tied]])})
+
+    sets = _sets(docs, hits.select("doc_id"), plan)
+    again = hits.join(signed, "doc_id").join(sets, "doc_id").repartition("part").sortWithinPartitions("part")
+    return again.mapInArrow(links, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -273,10 +320,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     placed = filed.join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
-    tested = stars.withColumn("seen", F.lit(True))
-    left = _across(placed, standing, plan).join(tested, ["u", "v"], "left_anti")
-    more = _confirmed(left, texts, plan)
-    tied = connected(linked.unionByName(more))
+    tied = connected(linked.unionByName(_across(placed, standing, texts, plan)))
 
     of_class = classes.join(tied.withColumnRenamed("node", "first"), "first", "left").select(
         "name1", "name2", "n_shingles", F.coalesce("component", "first").alias("component")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsweep.llm.common import map_batches, staged, text_bytes, texts
+from evalsweep.llm.common import map_batches, slices, staged, text_bytes, texts
 from evalsweep.llm.labels import held_out, training_labels
 
 # Which letters a sign may stand for.
@@ -59,9 +59,8 @@ def count_grams(docs: DataFrame) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**4, np.int64)
         for batch in batches:
-            column = batch.column("text")
-            for lo in range(0, len(column), 256):
-                data, offsets = text_bytes(column.slice(lo, 256))
+            for lo, hi in slices(batch, 1 << 20):
+                data, offsets = text_bytes(batch.column("text").slice(lo, hi - lo))
                 data = np.insert(data, offsets[:-1], 32)  # texts do not run together
                 symbols = _SYMBOL[data[(data < 0x80) | (data >= 0xC0)]]
                 # Signs and spaces in a row are one gap.
