@@ -29,7 +29,7 @@ from evalsweep.llm.common import (
 from evalsweep.llm.components import connected
 
 # Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
