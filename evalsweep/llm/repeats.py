@@ -7,7 +7,7 @@ of windows that chose it.
 
 1. Grams that occur once are dropped.  Tasks exchange sorted hash lists.
 2. Anchors whose whole stretch (all windows that chose them) occurs again are
-   settled by counting stretches, which Spark combines before it shuffles.
+   settled by counting stretches, within each piece of input first.
 3. Anchors that share the gram but not the stretch lie at the edges of repeats.
    One of each kind brings its surroundings, and a suffix sort of each gram's
    group finds the common extensions to the right and, reversed, to the left.
@@ -28,7 +28,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalsweep.llm.common import U64, PolyHash, map_batches, random_words, run_starts, staged, text_bytes, whole_runs
+from evalsweep.llm.common import (
+    U64,
+    PolyHash,
+    map_batches,
+    mixed,
+    random_words,
+    run_starts,
+    staged,
+    text_bytes,
+    whole_runs,
+)
 
 GRAM = 50
 # Bytes that are hashed at a time; longer texts are read in overlapping parts.
@@ -136,19 +146,47 @@ def _repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, stretch, _row, packed): first window, steps to the anchor and to the last window in one number."""
+    """Anchors and spans that are settled where they are found.
+
+    An anchor is (h, stretch, n, _row, packed): ``packed`` holds first window,
+    steps to the anchor and to the last window; ``n`` how many equal ones the
+    piece of input had, of which this is the first.  Those are repeats already:
+    what they cover follows as rows with ``settled``, from ``packed`` to
+    ``stretch``, merged, under numbers that spread them.  A line that fills half
+    a text becomes one span and one anchor before anything is shuffled.
+    """
 
     def work(batch: pa.RecordBatch, poly: PolyHash) -> dict:
-        out: dict[str, list] = {"h": [], "stretch": [], "_row": [], "packed": []}
-        rows = batch.column("_row").to_numpy()
-        for text, begin, end, at, h, stretch in _each_anchor(batch.column("text"), poly, length, gram):
-            out["h"].append(h.view(np.int64))
-            out["stretch"].append(stretch.view(np.int64))
-            out["_row"].append(rows[text])
-            out["packed"].append(begin << 16 | (at - begin) << 8 | (end - begin))
-        return {name: np.concatenate([np.zeros(0, np.int64), *parts]) for name, parts in out.items()}
-
-    schema = "h long, stretch long, _row long, packed long"
+        parts = list(_each_anchor(batch.column("text"), poly, length, gram))
+        if not parts:
+            return {name: [] for name in ("h", "stretch", "n", "_row", "packed", "settled")}
+        text, begin, end, at, h, stretch = (np.concatenate(x) for x in zip(*parts))
+        row = batch.column("_row").to_numpy()[text]
+        packed = begin << 16 | (at - begin) << 8 | (end - begin)
+        order = np.lexsort((stretch, h))
+        same = (h[order][1:] == h[order][:-1]) & (stretch[order][1:] == stretch[order][:-1])
+        starts = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[starts, len(order)])
+        first = order[starts]  # the sort is stable: the earliest of its kind
+        again = np.zeros(len(order), bool)
+        again[order] = np.repeat(counts > 1, counts)
+        text, low, high, own = text[again], begin[again], end[again] + length, row[again]
+        fresh = np.ones(len(low), bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (low[1:] > high[:-1])
+        last = np.r_[fresh[1:], True] if len(low) else fresh
+        low, high, own = low[fresh], high[last], own[fresh]
+        spread = mixed(own.astype(np.int64).view(U64) + low.astype(U64)).view(np.int64)
+        zeros = np.zeros(len(low), np.int64)
+        return {
+            "h": np.r_[h[first].view(np.int64), spread],
+            "stretch": np.r_[stretch[first].view(np.int64), high],
+            "n": np.r_[counts, zeros],
+            "_row": np.r_[row[first], own],
+            "packed": np.r_[packed[first], low],
+            "settled": np.r_[np.zeros(len(first), bool), np.ones(len(low), bool)],
+        }
+
+    schema = "h long, stretch long, n long, _row long, packed long, settled boolean"
     return map_batches(docs.select("_row", "text"), work, schema, PolyHash)
 
 
@@ -389,11 +427,12 @@ def repeated_spans(docs: DataFrame, length: int, gram: int = GRAM, most: int = M
     """(_row, start, end) in bytes, overlapping: together all bytes of repeated windows."""
     if not 0 < gram < length or length - gram > 255:
         raise ValueError("a gram is shorter than the windows, by at most 255 bytes")
-    grams = _repeated_grams(docs, length, gram)
-    rows = staged(_anchor_rows(docs, length, gram).join(grams, "h", "left_semi"), "anchors")
-    kinds = rows.groupBy("h", "stretch").agg(
-        F.count("*").alias("n"), F.min(F.struct("_row", "packed")).alias("one")
-    )
+    grams = _repeated_grams(docs, length, gram).withColumn("_again", F.lit(True))
+    found = _anchor_rows(docs, length, gram).join(grams, "h", "left").filter("settled or _again")
+    found = staged(found.drop("_again"), "anchors")
+    settled = found.filter("settled").select("_row", F.col("packed").alias("start"), F.col("stretch").alias("end"))
+    rows = found.filter("not settled")
+    kinds = rows.groupBy("h", "stretch").agg(F.sum("n").alias("n"), F.min(F.struct("_row", "packed")).alias("one"))
     kinds = staged(kinds, "stretches")
     again = rows.join(kinds.filter("n > 1").select("h", "stretch"), ["h", "stretch"], "left_semi")
     whole = again.select("_row", *_span(F.col("packed"), length))
@@ -402,7 +441,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int = GRAM, most: int = M
         "h", "n", F.col("one._row").alias("_row"), _at(F.col("one.packed")).alias("at"), (F.col("kinds") > most).alias("big")
     )
     edges = staged(_contexts(docs, wanted, length, gram), "edges")
-    spans = whole.unionByName(_sorted_edges(edges.filter("not big"), length, gram))
+    spans = settled.unionByName(whole).unionByName(_sorted_edges(edges.filter("not big"), length, gram))
     return spans.unionByName(_counted_edges(edges.filter("big"), length, gram))
 
 
