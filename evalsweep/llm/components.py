@@ -16,16 +16,22 @@ from evalsweep.llm.common import staged
 def _large_star(edges: DataFrame) -> DataFrame:
     """Edges go from the larger node u to the smaller node v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = _stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = _stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     tied = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
+def _stored(least: DataFrame) -> DataFrame:
+    """The smallest neighbours, stored: a join with a table that is read lets Spark split the edges
+    of a hub over many tasks, one with an aggregate in place does not."""
+    return staged(least, "least")
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of the ``(u, v)`` edges; the component is its smallest node.
 
