@@ -41,7 +41,7 @@ from evalsweep.llm.common import (
 )
 
 GRAM = 50
-# Bytes that are hashed at a time; longer texts are read in overlapping parts.
+# Bytes that are hashed at a time; longer texts are read in overlapping parts, each anchor in one.
 PART = 1 << 20
 # Larger groups of edges are settled by counting their windows instead of sorting.
 MOST = 16_384
@@ -80,27 +80,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, poly: PolyHash, length: int,
     return text, first, last, at, hashes[at], poly.of(first, last + length)
 
 
-def _parts(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first text, texts, from byte, to byte) in runs of about ``PART`` bytes; long texts in overlapping parts."""
+def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first text, texts) in runs of about ``PART`` bytes; a longer text alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        if offsets[i + 1] - offsets[i] > PART:
-            for lo in range(int(offsets[i]), int(offsets[i + 1]) - length + 1, PART - length + 1):
-                yield i, 1, lo, min(lo + PART, int(offsets[i + 1]))
-            i += 1
-            continue
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PART, "right")) - 1)
-        yield i, j - i, int(offsets[i]), int(offsets[j])
+        yield i, j - i
         i = j
 
 
 def _each_anchor(column: pa.Array, poly: PolyHash, length: int, gram: int) -> Iterator[tuple]:
     data, offsets = text_bytes(column)
-    for first, n, lo, hi in _parts(offsets, length):
-        own = np.clip(offsets[first : first + n + 1], lo, hi) - lo
-        text, begin, end, at, h, stretch = anchors(data[lo:hi], own, poly, length, gram)
-        base = lo - offsets[first + text]  # places count from the start of the text
-        yield first + text, begin + base, end + base, at + base, h, stretch
+    part = max(PART, 4 * length)  # many more windows than one anchor has
+    for first, n in _parts(offsets):
+        lo, stop = int(offsets[first]), int(offsets[first + n])
+        while lo < stop:
+            hi = stop if n > 1 else min(lo + part, stop)
+            own = np.clip(offsets[first : first + n + 1], lo, hi) - lo
+            text, begin, end, at, h, stretch = anchors(data[lo:hi], own, poly, length, gram)
+            base = lo - offsets[first + text]  # places count from the start of the text
+            found = first + text, begin + base, end + base, at + base, h, stretch
+            if hi == stop:
+                yield found
+                break
+            # The next part begins with the windows of the last anchor and finds it whole.
+            lo += int(begin[-1])
+            yield tuple(x[:-1] for x in found)
 
 
 def _with_row(docs: DataFrame) -> DataFrame:

@@ -101,6 +101,30 @@ def test_long_texts_are_read_in_parts(rng, monkeypatch):
     assert len(windows(3000)) == 20_000 - 199 + 4000 - 199
 
 
+def test_parts_have_the_anchors_of_the_whole_text(rng, monkeypatch):
+    text = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    column = pa.array(["short", text, None, "-" * 9000 + text[5000:9000]])
+
+    def found(part):
+        monkeypatch.setattr(repeats, "PART", part)
+        rows = repeats._each_anchor(column, PolyHash(), 200, 50)
+        return sorted(row for columns in rows for row in zip(*(x.tolist() for x in columns)))
+
+    whole = found(1 << 20)
+    assert found(3000) == found(801) == found(10) == whole
+    assert len({(row[0], row[3]) for row in whole}) == len(whole)
+
+
+def test_long_texts_lose_nothing_at_the_ends_of_parts(spark, rng, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", 3000)
+    long = ["".join(rng.choice("abcdefgh ü") for _ in range(n)) for n in (30_000, 20_000, 9000)]
+    rows = list(enumerate([*long, long[0][14_000:14_500], long[2][:2990] + "x" + long[2][2990:6100], "-" * 7000]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, rows)
+    kept = {r["doc_id"]: r for r in repeats.find_repeats(df).collect()}
+    assert kept[1]["n_removed"] == 0
+
+
 # Suffix sort --------------------------------------------------------------------------
 
 
