@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from evalsweep.llm import components, near_texts
+from evalsweep.llm import components, near_texts, repeats
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,6 +76,25 @@ def test_the_given_table(spark, sf_dir):
     check(df, [(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_repeated_rows_leave_one_whose_text_survives(spark, rng):
+    def text(n=120):
+        return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+
+    twice, often, near, other, lone, null = (text() for _ in range(6))
+    rows = [(1, twice, "a"), (1, twice, "b"), *[(2, often, "a")] * 5, (8, often, "c"), (8, often, "c")]
+    rows += [(3, near, "a"), (3, near + " end", "a"), (3, other, "a"), (4, lone, "a"), (5, None, "a"), (5, None, "a")]
+    rows += [(None, null, "a"), (None, null, "a"), (None, other[:300], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = near_texts.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert [i for i, _ in found] == [0, 0, 1, 2, 3, 3, 4, 5]
+    texts = [t for _, t in found]
+    assert {twice, often, other, lone, null} <= set(texts) and (near in texts) != (near + " end" in texts)
+    clean = {(r["doc_id"], r["text"]) for r in repeats.remove_repeats(kept).collect()}
+    assert {(1, twice), (2, often), (4, lone), (None, null)} <= clean
+
+
 # Components ---------------------------------------------------------------------------
 
 
