@@ -9,6 +9,7 @@ sequences' free space finds in logarithmic time.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterable
 
@@ -86,6 +87,15 @@ def _ranks(path: str) -> dict[bytes, int]:
     }
 
 
+def _added(path: str) -> dict[str, int]:
+    """Added tokens of a vocabulary file and their ids; those that take in what is around them are refused."""
+    with open(path, encoding="utf-8") as lines:
+        tokens = json.load(lines)["added_tokens"]
+    if any(token[flag] for token in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that depend on the text around them")
+    return {token["content"]: token["id"] for token in tokens}
+
+
 class Tokenizer(dict):
     """Pieces of text and their ids, as little-endian 32-bit numbers."""
 
@@ -94,6 +104,11 @@ class Tokenizer(dict):
         self.encoding = tiktoken.Encoding(
             "pieces", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={}
         )
+        added = _added(path)
+        self.added = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
+        # Leftmost, and of several there the longest.
+        longest = sorted(map(re.escape, added), key=len, reverse=True)
+        self.between = re.compile("(%s)" % "|".join(longest)).split if added else lambda text: [text]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -103,8 +118,16 @@ class Tokenizer(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        """Ids of a text in which added tokens are text like any other."""
         return b"".join(map(self.__getitem__, self.split(text)))
 
+    def document(self, text: str) -> bytes:
+        """Ids of a text; an added token that stands in it is one id, as the library has it by default."""
+        parts = self.between(text)
+        if len(parts) == 1:
+            return self.ids(text)
+        return b"".join(self.added[part] if i % 2 else self.ids(part) for i, part in enumerate(parts))
+
 
 def cut(docs: DataFrame, tokenizer: str, pattern: str, size: int, end_id: int) -> DataFrame:
     """One row per piece of at most ``size`` ids: its place, length, digest, and a number of the document."""
@@ -115,7 +138,7 @@ def cut(docs: DataFrame, tokenizer: str, pattern: str, size: int, end_id: int) -
         ends = np.array([end_id], "<u4").tobytes()
         rows = zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), texts(batch))
         for doc_id, row, text in rows:
-            ids = coder.ids(text) + ends
+            ids = coder.document(text) + ends
             for start in range(0, len(ids), 4 * size):
                 piece = ids[start : start + 4 * size]
                 values = (doc_id, row, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)
@@ -144,7 +167,7 @@ def pack(
     """Sequences of at most ``size`` ids that hold every id of every document once.
 
     A document's ids are followed by ``end_id``; a null or empty text gives that
-    id alone.  One row per piece: document, where it starts there, its sequence
+    id alone.  Added tokens of the vocabulary that stand in a text have their ids.  One row per piece: document, where it starts there, its sequence
     and its offset in it.  Repeated rows are documents of their own; null ids
     stay null; other columns are left out.  Ids of sequences are unique but not
     gapless.  ``tokenizer`` is read where tasks run.

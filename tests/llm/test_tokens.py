@@ -77,6 +77,21 @@ def test_pieces_have_the_ids_of_the_library(rng):
         assert ids == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_in_a_text_have_the_ids_of_the_library(spark, rng):
+    own, library = packing.Tokenizer(JSON, public_tokenizers.PATTERN), Tokenizer.from_file(JSON)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  \n", "a", "é日", "'s", "<"]
+    texts = ["a<|endoftext|>b", *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(300))]
+    expected = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    assert expected[0] == [64, 50256, 65]
+    for text, ids in zip(texts, expected):
+        assert np.frombuffer(own.document(text), "<u4").tolist() == ids, text
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = {r["doc_id"]: r for r in packing.pack(docs, JSON, public_tokenizers.PATTERN).collect()}
+    for i, ids in enumerate(expected):
+        assert packed[i]["doc_tokens"] == len(ids) + 1
+        assert packed[i]["ids_crc32"] == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+
+
 def test_first_fit_decreasing_equals_a_plain_scan(rng):
     for _ in range(50):
         sizes = [rng.randint(1, 100) for _ in range(rng.randint(0, 60))]
