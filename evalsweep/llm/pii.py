@@ -35,7 +35,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+").match
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[A-Za-z0-9._~%!$&'*+,;=-]+@[A-Za-z0-9.-]+").match
 _ACCOUNT = re.compile(r"(?:[ ](?:no|nr|number|num|id))?\.?[ ]?[:=#]?[ ]?[\"']?([A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}|[0-9][0-9-]{5,32}[0-9])(?![A-Za-z0-9])").match
-_SECRET = re.compile(r"[ ]?[:=][ ]?[\"']?([A-Za-z0-9_+/.-]{16,512})").match
+_SECRET = re.compile(r"[ ]?[:=][ ]?[\"']?([A-Za-z0-9_+/.-]{16,})").match
 
 
 def luhn(digits: list[int]) -> bool:

@@ -50,6 +50,17 @@ def test_the_method_adds_cued_spans():
     assert pii.redacted(text, found).count("[") == 4 and "12345678" not in pii.redacted(text, found)
 
 
+def test_long_secrets_are_whole():
+    automaton = pii.anchors()
+    for size in (512, 513, 700, 5000):
+        secret = ("eyJ0oken.-_/+Ab9" * size)[:size]
+        text = f"before token: {secret} after, password='{secret}'"
+        found = pii.spans(text, automaton)
+        assert [text[a:b] for a, b in found["secret"]] == [secret, secret]
+        assert pii.redacted(text, found) == "before token: [SECRET] after, password='[SECRET]'"
+    pii.spans("token=" * 100_000 + "token1" * 100_000, automaton)
+
+
 def test_very_long_runs_end_quickly():
     automaton = pii.anchors()
     for unit in ("1.", "a@", "+1", "1 ", "://a:", "a.b@"):
