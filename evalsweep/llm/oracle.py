@@ -45,5 +45,79 @@ SELECT page_id, host, path, rule, CASE
     WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM judged
+""",
+    "op11_periodic_runs": r"""
+WITH bits AS (
+    SELECT list_transform(range(256), lambda c: list_reduce(range(8), lambda x, i:
+        CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, c)) AS crc_table
+), hashed AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+               lambda x, c: xor(x >> 8, crc_table[(xor(x, c) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+    FROM documents, bits
+), planted AS (
+    SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS is_planted,
+           CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, (h // 10) % 8 AS k
+    FROM hashed
+), texts AS (
+    SELECT doc_id, n, CASE WHEN is_planted THEN list_transform(range(n), lambda i: w[1 +
+        CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + k)) ELSE i END]) ELSE w END AS w
+    FROM planted
+), places AS (
+    SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word, w FROM texts WHERE n >= 24
+), grams AS (
+    SELECT doc_id, n, i, hash(array_to_string(w[i + 1 : i + 16], ' ')) AS gram,
+           array_to_string(w[i + 1 : i + 16], ' ') AS words FROM places WHERE i + 16 <= n
+), agree AS (  -- every run has 16 words or more that stand again one period on
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y
+    ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.words = y.words AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM agree
+), stretches AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM islands
+    GROUP BY doc_id, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)
+), runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs,
+           string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+    FROM runs GROUP BY doc_id
+), longest AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS place FROM runs
+), dropped AS (
+    SELECT DISTINCT p.doc_id, p.i FROM places p JOIN runs r
+    ON p.doc_id = r.doc_id AND p.i >= r.start + r.period AND p.i < r.start + r.length
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM places ANTI JOIN dropped USING (doc_id, i)
+    WHERE doc_id IN (SELECT doc_id FROM listed) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(l.n_runs, 0) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length,
+       CAST(b.period AS BIGINT) AS period, CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(l.lines, '')) AS runs_sha256,
+       sha256(coalesce(k.words, array_to_string(t.w, ' '))) AS collapsed_sha256
+FROM texts t LEFT JOIN listed l USING (doc_id) LEFT JOIN kept k USING (doc_id)
+LEFT JOIN (SELECT * FROM longest WHERE place = 1) b USING (doc_id)
+""",
+    "op12_hard_negatives": r"""
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+           CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM whole a JOIN whole c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id AND len(a.v) = len(c.v)
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
 """,
 }
