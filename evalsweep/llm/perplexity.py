@@ -5,10 +5,10 @@ counted by Spark over all texts.  An n-gram is named by a hash of 60 bits, twelv
 per character, from which those of its context and of its shorter forms follow.
 
 Neither the model nor the texts are ever gathered.  The texts are cut into blocks
-of rows; the counting pass notes which n-grams each block holds, and a join gives
-every block the part of the model that it needs, stored as sorted hash arrays
-with their log probabilities.  Block and part meet in one task, which finds each
-n-gram by binary search.  All of this grows with the texts, in proportion.
+of rows; the counting pass notes which n-grams each block holds.  The model is
+stored in shards as sorted hash arrays with their log probabilities; each shard
+answers by binary search what the blocks ask of it, and texts and answers of a
+block meet in one task.  All of this grows with the texts, in proportion.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalsweep.llm.common import map_batches, slices, staged, texts
+from evalsweep.llm.common import U64, map_batches, mixed, run_starts, slices, staged, text_bytes, texts
 from evalsweep.operators.sizing import for_every_salt, with_salt
 
 ORDER, BITS = 5, 12
 SYMBOLS = frozenset("#*$%&|<>")
 MIN_WORDS, MOST_REPEATED = 50, 50
 # Text that a block holds, and the steps of log perplexity that the bands are measured in.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 STEPS = 1000
+# Parts of the stored model, and the blocks that one of its parts answers in one task.
+SHARDS, GROUP_BLOCKS = 64, 1024
 
 # Characters below 2**BITS stand for themselves: space and control characters are one gap, digits one digit.
 _KIND = np.arange(1 << BITS, dtype=np.int64)
@@ -106,8 +108,32 @@ def base_counts(whole: list[str]) -> dict[str, np.ndarray]:
 # The model -------------------------------------------------------------------------------
 
 
-def _blocked(docs: DataFrame) -> DataFrame:
-    """Documents with the number of a block of neighbouring rows, the same in every scan."""
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte in planes, compressed; ascending ones as their steps."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpacked(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+
+
+def _steps(ascending: np.ndarray) -> bytes:
+    return _packed(np.diff(ascending, prepend=0))
+
+
+def _from_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(blob))
+
+
+def _shard(codes: np.ndarray) -> np.ndarray:
+    return (mixed(codes.view(U64)) % U64(SHARDS)).astype(np.int64)
+
+
+def _blocked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Documents with the number of a block of neighbouring rows, the same in every scan, and about how many."""
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
@@ -117,12 +143,12 @@ def _blocked(docs: DataFrame) -> DataFrame:
     except AnalysisException:  # not read from files: stored first
         rows = placed(staged(docs, "perplexity-texts"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    most = max(1, min(65_536, n * BLOCK_BYTES // max(1, size)))
-    return rows.withColumn("block", F.xxhash64("_file", F.expr(f"_at div {most}"))).drop("_file", "_at")
+    most = max(1, min(1 << 20, n * BLOCK_BYTES // max(1, size)))
+    return rows.withColumn("block", F.xxhash64("_file", F.expr(f"_at div {most}"))).drop("_file", "_at"), -(-n // most)
 
 
 def _requests(rows: DataFrame) -> DataFrame:
-    """(block, lang, code, n): n-grams of each block and how often it has them, in one or a few rows each."""
+    """(block, lang, shard, codes, counts): the n-grams of each block, ascending and packed, and how often it has them."""
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         codes, own = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
@@ -130,25 +156,24 @@ def _requests(rows: DataFrame) -> DataFrame:
         np.add.at(counts, own, np.concatenate([n for _, n in parts]))
         return codes, counts
 
+    def sent(block: int, lang: str, parts: list) -> pa.RecordBatch:
+        codes, counts = summed(parts)
+        order = np.argsort(_shard(codes), kind="stable")
+        codes, counts = codes[order], counts[order]
+        cuts = run_starts(_shard(codes))
+        pieces = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_pydict(
+            {
+                "block": pa.array([block] * len(pieces), pa.int64()),
+                "lang": pa.array([lang] * len(pieces), pa.string()),
+                "shard": pa.array(_shard(codes[cuts[:-1]]), pa.int32()),
+                "codes": pa.array([_steps(codes[own]) for own in pieces], pa.binary()),
+                "counts": pa.array([_packed(counts[own]) for own in pieces], pa.binary()),
+            }
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
-        size = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            for (block, lang), parts in held.items():
-                codes, counts = summed(parts)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": pa.array(np.full(len(codes), block)),
-                        "lang": pa.DictionaryArray.from_arrays(np.zeros(len(codes), np.int32), [lang]).cast(pa.string()),
-                        "code": pa.array(codes),
-                        "n": pa.array(counts),
-                    }
-                )
-            held.clear()
-            size = 0
-
         for batch in batches:
             for lo, hi in slices(batch, 2 << 20):
                 part = batch.slice(lo, hi - lo)
@@ -157,18 +182,33 @@ def _requests(rows: DataFrame) -> DataFrame:
                 group = {key: i for i, key in enumerate(dict.fromkeys(keys))}
                 owner = np.repeat([group[key] for key in keys], np.diff(np.r_[0, ends]))
                 for key, i in group.items():
-                    found = np.unique(codes[owner == i], return_counts=True)
-                    held.setdefault(key, []).append(found)
-                    size += len(found[0])
-            if size > 2_000_000:
-                for key, parts in held.items():
-                    held[key] = [summed(parts)]
-                size = sum(len(parts[0][0]) for parts in held.values())
-                if size > 1_000_000:
-                    yield from sent()
-        yield from sent()
+                    held.setdefault(key, []).append(np.unique(codes[owner == i], return_counts=True))
+            if sum(len(c) for parts in held.values() for c, _ in parts) > 2_000_000:
+                held = {key: [summed(parts)] for key, parts in held.items()}
+                # Oldest first: rows come block by block.
+                while held and sum(len(c) for parts in held.values() for c, _ in parts) > 1_000_000:
+                    key = next(iter(held))
+                    yield sent(*key, held.pop(key))
+        for key, parts in held.items():
+            yield sent(*key, parts)
+
+    return rows.select("block", "lang", "text").mapInArrow(
+        run, "block long, lang string, shard int, codes binary, counts binary"
+    )
+
 
-    return rows.select("block", "lang", "text").mapInArrow(run, "block long, lang string, code long, n long")
+def _counted(requests: DataFrame) -> DataFrame:
+    """(lang, code, c) over all blocks."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, codes, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "codes", "counts"))):
+                codes = _from_steps(codes)
+                spoken = pa.DictionaryArray.from_arrays(np.zeros(len(codes), np.int32), [lang]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([spoken, pa.array(codes), pa.array(_unpacked(counts))], ["lang", "code", "n"])
+
+    rows = requests.select("lang", "codes", "counts").mapInArrow(unpack, "lang string, code long, n long")
+    return rows.groupBy("lang", "code").agg(F.sum("n").alias("c"))
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
@@ -227,20 +267,51 @@ def log_model(counts: DataFrame) -> DataFrame:
     return below.select("lang", "code", F.log("p").alias("logp"))
 
 
-def _parts(requests: DataFrame, model: DataFrame) -> DataFrame:
-    """(block, lang, hashes, logps): for each block and language the n-grams it needs, sorted."""
-    wanted = requests.select("block", "lang", "code").join(model, ["lang", "code"])
+def _stored(model: DataFrame) -> DataFrame:
+    """(lang, shard, hashes, logps): the model as sorted hash arrays, cut into shards by a hash."""
+
+    def number(batch: pa.RecordBatch) -> dict:
+        codes = batch.column("code").to_numpy()
+        return {"lang": batch.column("lang"), "shard": _shard(codes), "code": codes, "logp": batch.column("logp")}
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        codes, one = np.unique(rows.column("code").to_numpy(), return_index=True)
-        logps = rows.column("logp").to_numpy()[one]
-        return pa.table(
-            {"block": [key[0].as_py()], "lang": [key[1].as_py()], "hashes": [codes.tobytes()], "logps": [logps.tobytes()]},
-            schema=pa.schema([("block", pa.int64()), ("lang", pa.string()), ("hashes", pa.binary()), ("logps", pa.binary())]),
-        )
+        codes = rows.column("code").to_numpy()
+        order = np.argsort(codes)
+        logps = rows.column("logp").to_numpy()[order].astype(np.float32)
+        values = key[0].as_py(), key[1].as_py(), _steps(codes[order]), logps.tobytes()
+        return pa.table([[value] for value in values], schema=kinds)
+
+    kinds = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("hashes", pa.binary()), ("logps", pa.binary())])
+    numbered = map_batches(model, number, "lang string, shard int, code long, logp double")
+    packed = numbered.groupBy("lang", "shard").applyInArrow(pack, "lang string, shard int, hashes binary, logps binary")
+    return staged(packed, "kneser-ney-arrays")
 
-    packed = wanted.groupBy("block", "lang").applyInArrow(pack, "block long, lang string, hashes binary, logps binary")
-    return staged(packed, "kneser-ney-parts")
+
+def _looked_up(requests: DataFrame, arrays: DataFrame, groups: int) -> DataFrame:
+    """(block, lang, codes, logps): log probabilities of what each block asked for.
+
+    A shard answers the blocks in ``groups`` groups, so that no task gets the
+    requests of all blocks.
+    """
+    asked = requests.select(
+        "block", "lang", "shard", "codes", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("part")
+    )
+    every = arrays.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    kinds = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("logps", pa.binary())])
+
+    def work(key: tuple, asked: pa.Table, arrays: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return kinds.empty_table()
+        hashes = _from_steps(arrays.column("hashes")[0].as_py())
+        logps = np.frombuffer(arrays.column("logps")[0].as_py(), np.float32)
+        found = [_packed(logps[np.searchsorted(hashes, _from_steps(c))]) for c in asked.column("codes").to_pylist()]
+        columns = [asked.column(name) for name in ("block", "lang", "codes")]
+        return pa.table([*columns, pa.array(found, pa.binary())], schema=kinds)
+
+    keys = ["lang", "shard", "part"]
+    return asked.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(
+        work, "block long, lang string, codes binary, logps binary"
+    )
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -249,48 +320,65 @@ SCORED = (
 )
 
 
-def _measured(rows: DataFrame, parts: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Counts and log perplexity of every text, block by block."""
 
-    def squeeze(batch: pa.RecordBatch) -> dict:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        out = {name: batch.column(name) for name in ("block", "doc_id", "lang")}
-        return out | {"_text": [pack(text.encode()) for text in texts(batch)]}
-
-    packed = map_batches(rows, squeeze, "block long, doc_id long, lang string, _text binary")
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            cuts = run_starts(batch.column("block").to_numpy())
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                own = batch.slice(a, b - a)
+                for lo, hi in slices(own, 1 << 20):
+                    part = own.slice(lo, hi - lo)
+                    data, offsets = text_bytes(part.column("text"))
+                    values = (
+                        part.column("block")[0].as_py(), part.column("doc_id").to_pylist(), part.column("lang").to_pylist(),
+                        np.diff(offsets), pack(data.tobytes()),
+                    )
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, squeezed)], schema=squeezed)
+
+    squeezed = pa.schema(
+        [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())),
+         ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())]
+    )
+    packed = rows.select("block", "doc_id", "lang", "text").mapInArrow(
+        squeeze, "block long, ids array<long>, langs array<string>, sizes array<long>, texts binary"
+    )
     kinds = pa.schema(
         [("doc_id", pa.int64()), ("lang", pa.string())]
         + [(name, pa.int64()) for name in MEASURES]
         + [("n_grams", pa.int64()), ("log_perplexity", pa.float64())]
     )
 
-    def work(key: tuple, docs: pa.Table, parts: pa.Table) -> pa.Table:
+    def work(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        model = {
-            lang: (np.frombuffer(hashes, np.int64), np.frombuffer(logps, np.float64))
-            for lang, hashes, logps in zip(*(parts.column(c).to_pylist() for c in ("lang", "hashes", "logps")))
-        }
+        pieces: dict[str, list] = {}
+        for lang, codes, logps in zip(*(answers.column(c).to_pylist() for c in ("lang", "codes", "logps"))):
+            pieces.setdefault(lang, []).append((_from_steps(codes), _unpacked(logps, np.float32)))
+        model = {}
+        for lang, found in pieces.items():
+            codes, one = np.unique(np.concatenate([c for c, _ in found]), return_index=True)
+            model[lang] = codes, np.concatenate([p for _, p in found])[one].astype(np.float64)
+        number = {lang: i for i, lang in enumerate(model)}
         out = []
-        for batch in docs.combine_chunks().to_batches():
-            for lo, hi in slices(batch, 1 << 20):
-                part = batch.slice(lo, hi - lo)
-                whole = [unpack(blob).decode() for blob in part.column("_text").to_pylist()]
-                codes, ends = n_grams(whole)
-                sizes = np.diff(np.r_[0, ends])
-                langs = part.column("lang").to_pylist()
-                owner = np.repeat(np.arange(len(whole)), sizes)
-                total = np.zeros(len(whole))
-                spoken = np.array([list(model).index(lang) for lang in langs])[owner]
-                for i, (hashes, logps) in enumerate(model.values()):
-                    own = np.flatnonzero(spoken == i)
-                    values = logps[np.searchsorted(hashes, codes[own])]
-                    total += np.bincount(owner[own], values, minlength=len(whole))
-                columns = base_counts(whole)
-                arrays = [part.column("doc_id"), part.column("lang"), *(pa.array(columns[name]) for name in MEASURES)]
-                out.append(pa.RecordBatch.from_arrays([*arrays, pa.array(sizes), pa.array(-total / sizes)], schema=kinds))
+        for ids, langs, sizes, blob in zip(*(docs.column(c).to_pylist() for c in ("ids", "langs", "sizes", "texts"))):
+            data, ends = unpack(blob), np.cumsum(sizes)
+            whole = [data[b - n : b].decode() for b, n in zip(ends.tolist(), sizes)]
+            codes, ends = n_grams(whole)
+            sizes = np.diff(np.r_[0, ends])
+            owner = np.repeat(np.arange(len(whole)), sizes)
+            total = np.zeros(len(whole))
+            spoken = np.array([number[lang] for lang in langs])[owner]
+            for i, (hashes, logps) in enumerate(model.values()):
+                own = np.flatnonzero(spoken == i)
+                total += np.bincount(owner[own], logps[np.searchsorted(hashes, codes[own])], minlength=len(whole))
+            columns = base_counts(whole)
+            arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(columns[name]) for name in MEASURES)]
+            out.append(pa.RecordBatch.from_arrays([*arrays, pa.array(sizes), pa.array(-total / sizes)], schema=kinds))
         return pa.Table.from_batches(out, schema=kinds)
 
-    return packed.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(work, SCORED)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, SCORED)
 
 
 def bands(scored: DataFrame, width: float, least_spread: float) -> DataFrame:
@@ -337,11 +425,11 @@ def judge_quality(docs: DataFrame, width: float = 5.0, least_spread: float = 0.0
     rows = docs.selectExpr(
         "cast(doc_id as long) as doc_id", "cast(text as string) as text", "coalesce(cast(lang as string), '') as lang"
     )
-    rows = _blocked(rows)
+    rows, n_blocks = _blocked(rows)
     requests = staged(_requests(rows), "perplexity-requests")
-    counts = staged(requests.groupBy("lang", "code").agg(F.sum("n").alias("c")), "perplexity-counts")
-    parts = _parts(requests, log_model(counts))
-    scored = staged(_measured(rows, parts), "perplexity-scores")
+    arrays = _stored(log_model(staged(_counted(requests), "perplexity-counts")))
+    answers = _looked_up(requests, arrays, max(1, -(-n_blocks // GROUP_BLOCKS)))
+    scored = staged(_measured(rows, answers), "perplexity-scores")
     judged = _beside(scored, bands(scored, width, least_spread), "doc_id", "log_perplexity")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     judged = judged.withColumn("base_failed", failed)

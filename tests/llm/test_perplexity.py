@@ -81,7 +81,8 @@ def prose(spark):
     for i in range(260):
         words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(55, 160))]
         rows.append((i, " ".join(words).capitalize() + ".\nAb 12 " + rng.choice("xyz"), rng.choice(["en", "de", None])))
-    rows.append((900, "".join(rng.choices("qwxzjkvpfhgy ", k=900)), "en"))  # noise
+    for i in range(6):  # noise
+        rows.append((920 + i, "".join(rng.choices("qwxzjkvpfhgycnöäüßéè ", k=600)), "en"))
     rows.append((901, " ".join(["bake", "kera", "lin", "to"] * 5 + ["bake lin"] * 30), "en"))
     rows.append((902, "#*|<> & $ % word\nsame\nsame\n \nsame", "de"))
     return spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows
@@ -97,7 +98,7 @@ def test_equals_plain_version(prose):
         assert tuple(row[name] for name in perplexity.MEASURES) == plain_base(text)
         expected, n = plain_perplexity(text, models[lang])
         assert row["lang"] == (lang or "") and row["n_grams"] == n
-        assert row["log_perplexity"] == pytest.approx(expected, abs=1e-9)
+        assert row["log_perplexity"] == pytest.approx(expected, abs=1e-6)
         failed = row["n_words"] < 50 or 100 * row["n_repeat_words"] > 50 * row["n_words"]
         assert row["base_failed"] == failed
         assert row["kept"] == (not failed and row["low"] <= row["log_perplexity"] <= row["high"])
@@ -109,16 +110,12 @@ def test_equals_plain_version(prose):
         assert one["low"] == pytest.approx(q[1] - 5 * max(q[1] - q[0], 0.02) - scatter)
         assert one["high"] == pytest.approx(q[1] + 5 * max(q[2] - q[1], 0.02) + scatter)
     english = {k: found[k]["log_perplexity"] for k, _, x in rows if x == "en"}
-    assert not found[900]["base_failed"] and max(english, key=english.get) == 900
+    assert min(english[k] for k in english if k >= 920) > max(english[k] for k in english if k < 260)
+    assert not any(found[k]["kept"] for k in range(920, 926))
     assert found[901]["base_failed"] and found[902]["n_dup_lines"] == 2 and found[902]["n_symbols"] == 8
     assert sum(found[k]["kept"] for k in range(260)) >= 258
 
 
-def test_narrow_bands_reject_noise(prose):
-    judged = perplexity.judge_quality(prose[0], width=1.0, short=0.0)
-    assert judged.filter("doc_id = 900 and not kept").count() == 1
-
-
 def test_small_blocks_give_the_same(prose, monkeypatch):
     docs, _ = prose
     whole = sorted(map(tuple, perplexity.judge_quality(docs).collect()))
