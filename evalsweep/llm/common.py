@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 import evalsweep.llm
 from evalsweep.sources.workspace import work_folder
@@ -22,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Let Spark hand Python at most so many rows at a time, if the session has not set a number.
+
+    With long texts the default of 10,000 rows is many times what a step works on.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -36,7 +47,7 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
 def map_batches(
     df: DataFrame,
     work: Callable[[pa.RecordBatch], dict],
-    schema: str,
+    schema: str | StructType,
     start: Callable | None = None,
     size: int = 4 << 20,
 ) -> DataFrame:
@@ -59,11 +70,11 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
+def _arrow_schema(schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
 
-    fields = StructType.fromDDL(schema)
+    # A type is taken as it is: names of fields within it need not be DDL.
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in fields])
 
 

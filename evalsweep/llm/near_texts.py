@@ -342,19 +342,23 @@ def drop_near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     Rows of equal id and text, null or not, are one document and leave one row.
     Of other rows that share an id and are kept, one of each group of near copies
-    stays.  Otherwise rows without an id or without words stay.
+    stays.  Otherwise rows without an id or without words stay.  Columns may have
+    any names.
     """
+    names = docs.columns
+    # Plain names inside, so that no column can clash with those of this module.
+    docs = docs.toDF(*[name if name in ("doc_id", "text") else f"c{i}" for i, name in enumerate(names)])
     marks = near_duplicates(docs, plan).groupBy(F.col("doc_id").alias("_id"))
     marks = marks.agg(F.min("kept").alias("_kept"), (F.count("*") > 1).alias("_shared"))
     marks = staged(marks.filter("not _kept or _shared"), "marks")
     once = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]), "left_anti")
     shared = staged(marks.filter("_kept and _shared").select("_id"), "shared")
     if shared.isEmpty():
-        return once
+        return once.toDF(*names)
     rows = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_id"]), "left_semi")
     rows = rows.dropDuplicates(["doc_id", "text"])
     rows = staged(rows.withColumn("_node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))), "rows")
     # Kept ids are of different components: only texts under one id can link here.
     nodes = rows.select(F.col("_node").alias("doc_id"), "text")
     gone = near_duplicates(nodes, plan).filter("not kept").select(F.col("doc_id").alias("_node"))
-    return once.unionByName(rows.join(gone, "_node", "left_anti").drop("_node"))
+    return once.unionByName(rows.join(gone, "_node", "left_anti").drop("_node")).toDF(*names)

@@ -175,7 +175,7 @@ def _requests(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         for batch in batches:
-            for lo, hi in slices(batch, 2 << 20):
+            for lo, hi in slices(batch, 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 codes, ends = n_grams(texts(part))
                 keys = list(zip(part.column("block").to_pylist(), part.column("lang").to_pylist()))
@@ -183,10 +183,10 @@ def _requests(rows: DataFrame) -> DataFrame:
                 owner = np.repeat([group[key] for key in keys], np.diff(np.r_[0, ends]))
                 for key, i in group.items():
                     held.setdefault(key, []).append(np.unique(codes[owner == i], return_counts=True))
-            if sum(len(c) for parts in held.values() for c, _ in parts) > 2_000_000:
+            if sum(len(c) for parts in held.values() for c, _ in parts) > 1_000_000:
                 held = {key: [summed(parts)] for key, parts in held.items()}
                 # Oldest first: rows come block by block.
-                while held and sum(len(c) for parts in held.values() for c, _ in parts) > 1_000_000:
+                while held and sum(len(c) for parts in held.values() for c, _ in parts) > 500_000:
                     key = next(iter(held))
                     yield sent(*key, held.pop(key))
         for key, parts in held.items():
@@ -329,7 +329,7 @@ def _measured(rows: DataFrame, answers: DataFrame) -> DataFrame:
             cuts = run_starts(batch.column("block").to_numpy())
             for a, b in zip(cuts[:-1], cuts[1:]):
                 own = batch.slice(a, b - a)
-                for lo, hi in slices(own, 1 << 20):
+                for lo, hi in slices(own, 512 << 10):
                     part = own.slice(lo, hi - lo)
                     data, offsets = text_bytes(part.column("text"))
                     values = (

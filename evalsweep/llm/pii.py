@@ -163,8 +163,7 @@ def redact(docs: DataFrame) -> DataFrame:
             out["n_chars"] = [None if t is None else len(t) for t in clean]
         return out
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return map_batches(docs, work, ddl, anchors)
+    return map_batches(docs, work, fields, anchors)
 
 
 def _input(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from evalsweep.llm.common import (
     U64,
@@ -42,7 +43,9 @@ from evalsweep.llm.common import (
 
 GRAM = 50
 # Bytes that are hashed at a time; longer texts are read in overlapping parts, each anchor in one.
-PART = 1 << 20
+PART = 1 << 18
+# Gram hashes that a task holds before it passes them on.
+HELD = 500_000
 # Larger groups of edges are settled by counting their windows instead of sorting.
 MOST = 16_384
 _PLACE = U64((1 << 24) - 1)
@@ -135,7 +138,7 @@ def _repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 for *_, h, _ in _each_anchor(batch.column("text").slice(lo, 256), poly, length, gram):
                     held.append(h)
                     size += len(h)
-                if size > 2_000_000:
+                if size > HELD:
                     yield sent(held)
                     held, size = [], 0
         yield sent(held)
@@ -397,11 +400,7 @@ def _packed_text(docs: DataFrame) -> DataFrame:
         out["_text"] = [None if t is None else pack(t.encode()) for t in batch.column("text").to_pylist()]
         return out
 
-    return map_batches(docs, work, _ddl(others) + ", _text binary")
-
-
-def _ddl(fields: list) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return map_batches(docs, work, StructType([*others, StructField("_text", BinaryType())]))
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
@@ -432,7 +431,8 @@ def repeated_spans(docs: DataFrame, length: int, gram: int = GRAM, most: int = M
     """(_row, start, end) in bytes, overlapping: together all bytes of repeated windows."""
     if not 0 < gram < length or length - gram > 255:
         raise ValueError("a gram is shorter than the windows, by at most 255 bytes")
-    grams = _repeated_grams(docs, length, gram).withColumn("_again", F.lit(True))
+    # Stored first: texts are read for the grams and then for the anchors, not for both at once.
+    grams = staged(_repeated_grams(docs, length, gram), "grams").withColumn("_again", F.lit(True))
     found = _anchor_rows(docs, length, gram).join(grams, "h", "left").filter("settled or _again")
     found = staged(found.drop("_again"), "anchors")
     settled = found.filter("settled").select("_row", F.col("packed").alias("start"), F.col("stretch").alias("end"))
@@ -450,7 +450,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int = GRAM, most: int = M
     return spans.unionByName(_counted_edges(edges.filter("big"), length, gram))
 
 
-def _cut(docs: DataFrame, length: int, finish: Callable, schema: str) -> DataFrame:
+def _cut(docs: DataFrame, length: int, finish: Callable, schema: str | StructType) -> DataFrame:
     """Join the spans to the documents and hand each its bytes and a mask of those to remove."""
     docs = _with_row(docs)
     spans = staged(repeated_spans(docs, length), "spans")
@@ -513,4 +513,4 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             out["n_chars"] = [None if t is None else len(t) for t in out["text"]]
         return out
 
-    return _cut(docs, length, finish, _ddl(fields)).toDF(*names)
+    return _cut(docs, length, finish, StructType(fields)).toDF(*names)

@@ -11,6 +11,7 @@ model.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,13 +92,18 @@ def log_model(counts: np.ndarray, weight: float = 4.0) -> np.ndarray:
 class Decoder:
     """Restores disguised tokens; remembers what it has restored."""
 
-    REMEMBERED = 100_000
+    # Tokens that are remembered, and the longest of them.
+    REMEMBERED, LONGEST = 100_000, 64
+    # Signs after which what is settled is written out, and the most that may stay open.
+    STEP, OPEN = 256, 8192
 
     def __init__(self, model: np.ndarray):
         self.model = model
         self.known: dict[str, str] = {}
 
     def __call__(self, token: str) -> str:
+        if len(token) > self.LONGEST:
+            return self.decode(token)
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.REMEMBERED:
@@ -106,8 +112,14 @@ class Decoder:
         return found
 
     def decode(self, token: str) -> str:
-        """The reading of least cost: Viterbi over states of the last three symbols."""
+        """The reading of least cost: Viterbi over states of the last three symbols.
+
+        In a long token the paths to all states soon share their beginning, which
+        is then written out, so that memory does not grow with the token.  Should
+        more than ``OPEN`` signs stay open, the best path so far settles them.
+        """
         token, model = token.lower(), self.model
+        settled: list[str] = []
         best: dict[tuple[int, int, int], float] = {(0, 0, 0): 0.0}
         back: list[dict] = []  # for each sign, where a state came from and what it wrote
         for i, c in enumerate(token):
@@ -138,12 +150,32 @@ class Decoder:
                         came[to] = (state, text)
             best = new
             back.append(came)
+            if len(back) >= self.STEP and not len(back) % self.STEP:
+                best, back = self._settle(best, back, settled)
         state = min(best, key=lambda s: (best[s] - float(model[s][0]), s))
         out = []
         for came in reversed(back):
             state, text = came[state]
             out.append(text)
-        return "".join(reversed(out))
+        return "".join([*settled, *reversed(out)])
+
+    def _settle(self, best: dict, back: list[dict], settled: list[str]) -> tuple[dict, list[dict]]:
+        """Write out what all paths share; costs and steps that are still open."""
+        if len(back) >= self.OPEN:
+            first = min(best, key=lambda s: (best[s], s))
+            best = {first: best[first]}
+        states, shared = set(best), len(back)
+        while shared and len(states) > 1:
+            shared -= 1
+            states = {back[shared][state][0] for state in states}
+        if not shared:
+            return best, back
+        state, out = states.pop(), []
+        for came in reversed(back[:shared]):
+            state, text = came[state]
+            out.append(text)
+        settled.append("".join(reversed(out)))
+        return best, back[shared:]
 
 
 def restore(text: str, decode: Decoder) -> str:
@@ -176,6 +208,7 @@ class Model:
     letters: np.ndarray  # log_model
     weights: dict[str, float]
     bias: float
+    one_class: bool = False  # there was nothing to learn from
 
     def scores(self, whole: list[str], decode: Decoder) -> list[float]:
         lexicon = self.weights.keys()
@@ -249,7 +282,7 @@ def fit(
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or n_toxic in (0, n):
         share = (n_toxic + 0.5) / (n + 1.0)
-        return Model(letters, {}, float(np.log(share / (1 - share))))
+        return Model(letters, {}, float(np.log(share / (1 - share))), True)
     per_word = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("y").alias("toxic"), F.count("*").alias("n")
     )
@@ -309,13 +342,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """Documents that score under the threshold; all columns and all other rows as they are."""
+    """Documents that score under the threshold; all columns and all other rows as they are.
+
+    A null text counts as empty; rows without an id and repeated rows are judged
+    each; an empty table stays empty.  Without labelled rows of both classes
+    nothing tells toxic texts from others: every document stays, with a warning.
+    """
     model = fit(_input(docs), labels, **options)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    if not model.weights and model.one_class:
+        warnings.warn("no labelled rows of both classes: no document is dropped as toxic", stacklevel=2)
+        return docs
 
     def work(batch: pa.RecordBatch, decode: Decoder) -> dict:
         good = pa.array([s < threshold for s in model.scores(texts(batch), decode)])
         kept = batch.filter(good)
         return {name: kept.column(name) for name in kept.schema.names}
 
-    return map_batches(docs, work, schema, lambda: Decoder(model.letters))
+    return map_batches(docs, work, docs.schema, lambda: Decoder(model.letters))

@@ -132,3 +132,24 @@ def test_clean_documents_pass_the_filter(larger):
     left = {r["doc_id"] for r in kept.select("doc_id").collect()}
     clean = [r["doc_id"] for r in labels.filter("toxic = 0").collect()]
     assert sum(i in left for i in clean) >= 0.99 * len(clean)
+
+
+def test_long_tokens_are_settled_on_the_way(decoder, rng, monkeypatch):
+    tokens = ["".join(rng.choices("ab0134@.-s5e", k=rng.randint(200, 900))) for _ in range(12)]
+    whole = [decoder.decode(token) for token in tokens]
+    monkeypatch.setattr(type(decoder), "STEP", 16)
+    assert [decoder.decode(token) for token in tokens] == whole
+    monkeypatch.undo()
+    opened = []
+    settle = type(decoder)._settle
+
+    def watched(self, best, back, settled):
+        opened.append(len(back))
+        return settle(self, best, back, settled)
+
+    monkeypatch.setattr(type(decoder), "_settle", watched)
+    decoder.decode("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABC0123456789+/", k=200_000)))
+    assert max(opened) <= 2 * decoder.STEP
+    known = len(decoder.known)
+    decoder("x0" * 5000)
+    assert len(decoder.known) == known
