@@ -9,31 +9,36 @@ from __future__ import annotations
 import public_tokenizers
 
 from evalsweep.llm import near_texts, packing, pii, repeats, toxicity
-from evalsweep.llm.common import staged, table
+from evalsweep.llm.common import bounded_batches, staged, table
 
 
 def toxic(spark, docs, sf_dir):
     """Drop documents whose restored words score as toxic."""
+    bounded_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark, docs, sf_dir):
     """Keep the document of smallest id of each group of near copies."""
+    bounded_batches(spark)
     return near_texts.drop_near_duplicates(docs)
 
 
 def repeated_passages(spark, docs, sf_dir):
     """Cut passages of 200 bytes and more that stand anywhere else too."""
+    bounded_batches(spark)
     return repeats.remove_repeats(docs)
 
 
 def private(spark, docs, sf_dir):
     """Replace personal data by placeholders."""
+    bounded_batches(spark)
     return pii.redact(docs)
 
 
 def packed(spark, docs, sf_dir):
     """Pack documents into sequences of at most 1024 ids."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
