@@ -17,6 +17,9 @@ DEFAULT_MAX_NEW_TOKENS = 256
 DEFAULT_BACKEND = "hf"
 # ------------------------------------------------------------------------
 
+# Numbers that are expanded from one row, and cells that one task computes.
+CHUNK, TASK_CELLS = 4096, 1_000_000
+
 AXES = ("quantization", "kv_cache", "prefix_cache", "max_new_tokens")
 # Settings of a spec that hold for all of its cells.
 GENERATION = ("temperature", "top_p", "repetition_penalty")
@@ -70,78 +73,106 @@ def token_axis(specs: DataFrame) -> Column:
     return F.array(F.coalesce(limit, F.lit(DEFAULT_MAX_NEW_TOKENS)).cast("int"))
 
 
-def _permutation_list(quantizations: Column, caches: Column, limits: Column) -> Column:
-    """Ordered product of the three axes as one list of structs."""
-    return F.flatten(
-        F.transform(
-            quantizations,
-            lambda quantization: F.flatten(
-                F.transform(
-                    caches,
-                    lambda cache: F.transform(
-                        limits,
-                        lambda limit: F.struct(
-                            quantization.alias("quantization"),
-                            cache["kv_cache"].alias("kv_cache"),
-                            cache["prefix_cache"].alias("prefix_cache"),
-                            limit.cast("int").alias("max_new_tokens"),
-                        ),
-                    ),
-                )
-            ),
-        )
-    )
+def _axes(specs: DataFrame) -> DataFrame:
+    """Specs with their axes as short lists, and ``_n_perms``, the size of the product."""
+    axes = {"_quants": quantization_axis(specs), "_caches": cache_axis(specs), "_limits": token_axis(specs)}
+    held = specs.withColumns(axes)
+    sizes = [F.size(name).cast("bigint") for name in axes]
+    return held.withColumn("_n_perms", sizes[0] * sizes[1] * sizes[2])
+
+
+def _numbered(specs: DataFrame, n: Column, names: Sequence[str]) -> DataFrame:
+    """A row for each number ``_at`` from 0 below ``n`` of each spec, beside the columns ``names``.
+
+    Numbers are dealt out in chunks; no list is longer than a chunk or the number
+    of chunks, and the chunks of a large product go to many tasks.
+    """
+    counted = specs.withColumn("_n", n).filter("_n > 0")
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(CHUNK).cast("bigint"))
+    chunks = counted.select(*names, "_n", F.explode(starts).alias("_from"))
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    tasks = min(-(-total // TASK_CELLS), int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 16)
+    if tasks > 1:
+        chunks = chunks.repartition(int(tasks))
+    stop = F.least(F.col("_from") + CHUNK, F.col("_n")) - 1
+    return chunks.select(*names, F.explode(F.sequence(F.col("_from"), stop)).alias("_at"))
+
+
+def _axis_values(at: Column) -> list[Column]:
+    """Mixed-radix digits of a place in the product, as members of the axes; the last axis turns fastest."""
+    n_limits, n_caches = F.size("_limits").cast("bigint"), F.size("_caches").cast("bigint")
+
+    def member(axis: str, place: Column) -> Column:
+        return F.get(F.col(axis), place.cast("int"))
+
+    def over(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
+    cache = member("_caches", over(at, n_limits) % n_caches)
+    return [
+        member("_quants", over(at, n_limits * n_caches)).alias("quantization"),
+        cache["kv_cache"].alias("kv_cache"),
+        cache["prefix_cache"].alias("prefix_cache"),
+        member("_limits", at % n_limits).cast("int").alias("max_new_tokens"),
+    ]
 
 
 def permutations(specs: DataFrame, keys: Sequence[str] = ("experiment",)) -> DataFrame:
     """One row per hyperparameter combination of each spec, numbered from 0.
 
-    The product is built inside the row and exploded once, so the numbering is
-    the list position and nothing is shuffled.
+    Each combination is computed from its number alone: the product is held
+    nowhere, and numbers are dealt out over many tasks.
     """
-    product = _permutation_list(quantization_axis(specs), cache_axis(specs), token_axis(specs))
-    return specs.select(*keys, F.posexplode(product).alias("perm_idx", "_p")).select(
-        *keys, "perm_idx", *[F.col(f"_p.{axis}").alias(axis) for axis in AXES]
+    held = _axes(specs)
+    rows = _numbered(held, F.col("_n_perms"), [*keys, "_quants", "_caches", "_limits"])
+    return rows.select(*keys, F.col("_at").cast("int").alias("perm_idx"), *_axis_values(F.col("_at")))
+
+
+def _cells(rows: DataFrame, keys: Sequence[str], more: Sequence[str], settings: Sequence[str]) -> DataFrame:
+    """Cells of the numbers ``_at``, from 0, beside the axes of their specs."""
+    model = F.get(F.col("models"), F.call_function("div", F.col("_at"), F.col("_n_perms")).cast("int"))
+    return rows.select(*rows.columns, model.alias("_model")).select(
+        *keys,
+        (F.col("_at") + 1).cast("int").alias("cell_idx"),
+        F.col("_model.id").alias("model_id"),
+        F.coalesce(F.col("_model.backend"), F.lit(DEFAULT_BACKEND)).alias("backend"),
+        *_axis_values(F.col("_at") % F.col("_n_perms")),
+        *[F.col(f"_model.{name}").alias(name) for name in more],
+        *settings,
     )
 
 
+def _described(specs: DataFrame) -> tuple[list[str], list[str]]:
+    """Options of the models, and generation settings of the spec."""
+    described = {"id", "backend", *AXES}
+    more = [f.name for f in specs.schema["models"].dataType.elementType.fields if f.name not in described]
+    return more, [name for name in GENERATION if name in specs.columns and name not in more]
+
+
 def grid_cells(specs: DataFrame, keys: Sequence[str] = ("experiment",)) -> DataFrame:
     """Models times permutations, model-major; ``cell_idx`` counts from 1 per spec.
 
     ``models`` is a list of structs with ``id`` and ``backend``; what else a
     struct holds are options of that model.  Those and the generation settings of
-    the spec become columns of its cells, for the model factory.
+    the spec become columns of its cells, for the model factory.  Each cell is
+    computed from its number alone.
     """
-    described = {"id", "backend", *AXES}
-    more = [f.name for f in specs.schema["models"].dataType.elementType.fields if f.name not in described]
-    settings = [name for name in GENERATION if name in specs.columns and name not in more]
-    product = _permutation_list(quantization_axis(specs), cache_axis(specs), token_axis(specs))
-    cells = F.flatten(
-        F.transform(
-            F.col("models"),
-            lambda model: F.transform(
-                F.col("_product"),
-                lambda p: F.struct(
-                    model["id"].alias("model_id"),
-                    F.coalesce(model["backend"], F.lit(DEFAULT_BACKEND)).alias("backend"),
-                    *[p[axis].alias(axis) for axis in AXES],
-                    *[model[name].alias(name) for name in more],
-                ),
-            ),
-        )
-    )
-    return (
-        specs.withColumn("_product", product)
-        .select(*keys, *settings, F.posexplode(cells).alias("_pos", "_c"))
-        .select(
-            *keys,
-            (F.col("_pos") + 1).cast("int").alias("cell_idx"),
-            "_c.model_id",
-            "_c.backend",
-            *[F.col(f"_c.{axis}").alias(axis) for axis in (*AXES, *more)],
-            *settings,
-        )
-    )
+    more, settings = _described(specs)
+    held = _axes(specs)
+    n = F.size("models").cast("bigint") * F.col("_n_perms")
+    names = [*keys, *settings, "models", "_quants", "_caches", "_limits", "_n_perms"]
+    return _cells(_numbered(held, n, names), keys, more, settings)
+
+
+def cells_at(specs: DataFrame, numbers: DataFrame, keys: Sequence[str] = ("experiment",)) -> DataFrame:
+    """The cells of ``numbers`` (keys and ``cell_idx``), without expanding the rest of the grid.
+
+    Numbers beyond a spec's grid, and those of unknown specs, give no row.
+    """
+    more, settings = _described(specs)
+    rows = _axes(specs).join(numbers.select(*keys, (F.col("cell_idx") - 1).cast("bigint").alias("_at")), list(keys))
+    rows = rows.filter((F.col("_at") >= 0) & (F.col("_at") < F.size("models") * F.col("_n_perms")))
+    return _cells(rows, keys, more, settings)
 
 
 def grid_size(specs: DataFrame, keys: Sequence[str] = ("experiment",)) -> DataFrame:

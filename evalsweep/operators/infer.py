@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import sys
 import traceback
+import types
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from time import perf_counter
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +58,28 @@ def _closed(engine) -> dict | None:
     return None
 
 
+# Where a Python worker keeps engines between tasks: this package may be pickled anew with every task.
+_KEPT = "evalsweep_kept_engines"
+
+
+def _kept_engine(factory: Factory, token: str, config: dict, most: int) -> Engine:
+    """The worker's engine for this factory and configuration, loaded if need be; the one unused longest gives way."""
+    worker = sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
+    if "engines" not in worker:
+        worker["engines"] = {}
+        atexit.register(lambda held=worker["engines"]: [_closed(engine) for engine in held.values()])
+    held = worker["engines"]
+    key = token, repr(sorted(config.items()))
+    if key in held:
+        held[key] = held.pop(key)
+        return held[key]
+    while len(held) >= most:
+        _closed(held.pop(next(iter(held))))
+    options = dict(config)
+    held[key] = factory(options.pop("model_id", None), options)
+    return held[key]
+
+
 def _failed_late(batch: pa.RecordBatch, failure: dict | None) -> pa.RecordBatch:
     """The last answers of a cell, with the failure to close its engine on those without one."""
     if failure is None:
@@ -104,24 +131,34 @@ def infer_cells(
     keys: Sequence[str] = ("cell_idx",),
     options: Sequence[str] | None = None,
     batch_size: int = 64,
+    keep_engines: int = 0,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Run every cell over every ``(sample_idx, prompt)`` without moving a prompt.
 
     The samples are scanned once for each cell and the scans are united: a task
     has one split and one cell, and loads one model.  Meant for a wave of cells;
     all of them are named in one plan.
+
+    With ``keep_engines`` a Python worker that Spark reuses keeps so many engines
+    after their tasks, so that a cell of many splits is loaded once per worker.  A
+    kept engine is closed when another takes its place, the last ones when their
+    worker ends; what closing raises is lost then.  ``profile`` asks for the
+    resources of a task, such as one accelerator, by stage-level scheduling.
     """
     rows = cells.collect()
     if not rows:
         cells_of_none = [F.lit(None).cast(f.dataType).alias(f.name) for f in cells.schema]
-        return batch_infer(samples.limit(0).select("sample_idx", "prompt", *cells_of_none), factory, keys, options)
+        none = samples.limit(0).select("sample_idx", "prompt", *cells_of_none)
+        return batch_infer(none, factory, keys, options)
     scans = [
         samples.select(
             "sample_idx", "prompt", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in cells.schema]
         )
         for row in rows
     ]
-    return _infer(reduce(DataFrame.unionAll, scans), factory, keys, options, batch_size, keys, None)
+    united = reduce(DataFrame.unionAll, scans)
+    return _infer(united, factory, keys, options, batch_size, keys, None, keep_engines, profile)
 
 
 def batch_infer(
@@ -134,6 +171,8 @@ def batch_infer(
     gather: bool = False,
     load_on: Sequence[str] | None = None,
     budget: Column | None = None,
+    keep_engines: int = 0,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Run the model over ``(keys, sample_idx, prompt, model_id, options...)`` rows.
 
@@ -146,7 +185,8 @@ def batch_infer(
     ``load_on`` columns change, by default the keys.
 
     A failing prompt fills ``error_type`` and ``error`` and the rest goes on.  An
-    engine that fails to close fails the last batch of its cell.
+    engine that fails to close fails the last batch of its cell.  For
+    ``keep_engines`` and ``profile`` see ``infer_cells``.
     """
     keys = list(keys)
     load_on = keys if load_on is None else list(load_on)
@@ -154,7 +194,7 @@ def batch_infer(
         tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartitionByRange(tasks, *keys, "sample_idx")
     rows = rows.sortWithinPartitions(*keys, "sample_idx")
-    return _infer(rows, factory, keys, options, batch_size, load_on, budget)
+    return _infer(rows, factory, keys, options, batch_size, load_on, budget, keep_engines, profile)
 
 
 def _infer(
@@ -165,6 +205,8 @@ def _infer(
     batch_size: int,
     load_on: Sequence[str],
     budget: Column | None,
+    keep_engines: int,
+    profile: ResourceProfile | None,
 ) -> DataFrame:
     # Executors need not have this package installed.
     cloudpickle.register_pickle_by_value(evalsweep)
@@ -177,6 +219,11 @@ def _infer(
         budget = token_budget(is_multiple_choice(F.col("prompt")), limit)
     wanted = list(dict.fromkeys([*row_key, "prompt", *settings]))
     work = rows.select(*wanted, budget.cast("int").alias("_budget"))
+    # Tells the factories of different calls apart within a worker.
+    token = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+    def close(engine) -> dict | None:
+        return None if keep_engines else _closed(engine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine, loaded, load_error, held = None, None, None, None
@@ -193,13 +240,16 @@ def _infer(
                     if models[start] != loaded:
                         # The last answers of a cell wait until its engine is closed.
                         closing, engine = engine, None
-                        failure = _closed(closing)
+                        failure = close(closing)
                         if held is not None:
                             yield _failed_late(held, failure)
                         held, loaded, load_error = None, models[start], None
                         config = {name: part.column(name)[0].as_py() for name in settings}
                         try:
-                            engine = factory(config.pop("model_id", None), config)
+                            if keep_engines:
+                                engine = _kept_engine(factory, token, config, keep_engines)
+                            else:
+                                engine = factory(config.pop("model_id", None), config)
                         except Exception as exc:
                             load_error = _failure(exc)
                     asked = part.column("prompt").to_pylist()
@@ -221,11 +271,11 @@ def _infer(
                     )
                     start = stop
             closing, engine = engine, None
-            failure = _closed(closing)
+            failure = close(closing)
             if held is not None:
                 yield _failed_late(held, failure)
         finally:
-            _closed(engine)
+            close(engine)
 
     key_schema = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in row_key)
-    return work.mapInArrow(run, f"{key_schema}, {ANSWER_SCHEMA}")
+    return work.mapInArrow(run, f"{key_schema}, {ANSWER_SCHEMA}", profile=profile)

@@ -333,6 +333,13 @@ _SQL: dict[str, str] = {
             CASE WHEN n % 97 = 13 THEN concat('out of memory at ', CAST(n AS VARCHAR)) END AS error,
             CASE WHEN n % 97 = 13 THEN true END AS error_is_runtime
         FROM (SELECT *, length(prompt) AS n FROM {_INFER_ROWS})""",
+    "run_attempts": """SELECT g.cell_idx, CAST(1 AS INT) AS attempt, CAST(f.failed AS INT) AS exit_code,
+            CASE WHEN f.failed THEN 'error' ELSE 'ok' END AS status,
+            CASE WHEN f.failed THEN 'Worker exited with code 1' END AS error,
+            CASE WHEN NOT f.failed THEN s.n END AS n_samples, CASE WHEN NOT f.failed THEN s.n_chars END AS n_chars
+        FROM grid g JOIN (SELECT cell_idx, coalesce(quantization = 'int8', false) AND kv_cache
+                AND model_id LIKE '%b' AS failed FROM grid) f ON f.cell_idx = g.cell_idx,
+            (SELECT count(*) AS n, CAST(sum(length(prompt)) AS BIGINT) AS n_chars FROM samples_mc) s""",
     "run_sweep": _sweep_results("007", "20240131", "c.judged"),
     "run_sweep_judged": _sweep_results("Tier One", RUN_TS, "c.graded"),
     "cell_accuracy": """SELECT g.cell_idx, n.n_samples, n.n_exact, n.n_normalized,
@@ -389,6 +396,12 @@ _SQL: dict[str, str] = {
             round(avg_cpu_util_pct, 6) AS avg_cpu_util_pct, round(avg_ram_used_mb, 6) AS avg_ram_used_mb,
             hw_sample_count, gpu_available
         FROM rolled""",
+    "telemetry_rollup_slices": """SELECT cell_idx, round(peak_vram_mb, 6) AS peak_vram_mb,
+            round(avg_vram_mb, 6) AS avg_vram_mb, round(peak_power_w, 6) AS peak_power_w,
+            round(avg_power_w, 6) AS avg_power_w, round(avg_gpu_util_pct, 6) AS avg_gpu_util_pct,
+            round(avg_cpu_util_pct, 6) AS avg_cpu_util_pct, round(avg_ram_used_mb, 6) AS avg_ram_used_mb,
+            hw_sample_count, gpu_available
+        FROM rolled""",
     "cell_detail": """SELECT CAST(cell_idx - 1 AS INT) AS cell_pos, model_id, backend,
             concat('quant=', coalesce(quantization, 'None'), ', kv=', CASE WHEN kv_cache THEN 'True' ELSE 'False' END,
                    ', prefix=', CASE WHEN prefix_cache THEN 'True' ELSE 'False' END,

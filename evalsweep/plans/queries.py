@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from evalsweep.operators import (
     score,
     telemetry,
 )
-from evalsweep.plans import sweep, views
+from evalsweep.plans import cell_jobs, sweep, views
 from evalsweep.sources import store
 from evalsweep.sources.workspace import work_folder
 from evalsweep.streaming import telemetry_stream
@@ -669,6 +670,33 @@ def batch_infer(spark, sf_dir):
     return infer.infer_cells(choice.unionByName(essays), cells, _length_model)
 
 
+def _crashing_model(model_id: str, options: dict):
+    """The stand-in model, whose worker dies on one of the quantizations."""
+
+    def engine(asked: list[str], budgets: list[int]) -> list:
+        if options["quantization"] == "int8" and options["kv_cache"] and model_id.endswith("b"):
+            os._exit(3)
+        return [f"{len(prompt)}" for prompt in asked]
+
+    return engine
+
+
+@query
+def run_attempts(spark, sf_dir):
+    """Every cell of the grid as a job of its own; those whose worker dies are logged, the others committed."""
+    folder = work_folder(spark, "attempts")
+    samples = views.samples_mc(spark, sf_dir).select("sample_idx", "prompt")
+    stored = f"{folder}/samples"
+    samples.write.parquet(stored)
+    cells = views.grid(spark).withColumn("experiment", F.lit("e"))
+    log = cell_jobs.run_attempts(spark.read.parquet(stored), cells, _crashing_model, folder, "20240131T000000Z")
+    schema = "experiment string, run_ts string, cell_idx int, sample_idx bigint, prediction string"
+    answers = cell_jobs.read_committed(spark, folder, schema, log)
+    counted = answers.groupBy("cell_idx").agg(F.count("*").alias("n_samples"), F.sum(F.col("prediction").cast("bigint")).alias("n_chars"))
+    outcome = cell_jobs.cell_outcomes(log).select("cell_idx", "attempt", "exit_code", "status", "error")
+    return outcome.join(counted, "cell_idx", "left")
+
+
 def _sweep_model(model_id: str, options: dict):
     """Stand-in model: model-a gives letters; model-b explains, and fails when quantized."""
 
@@ -816,6 +844,25 @@ def telemetry_rollup_stream(spark, sf_dir):
     return rounded(telemetry_stream.read_rollup(spark, f"{folder}/out"))
 
 
+@query
+def telemetry_rollup_slices(spark, sf_dir):
+    """The events in six stretches of time, one after the other; every fiftieth comes one stretch late."""
+    events = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = work_folder(spark, "telemetry-slices")
+    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    step = max(1, -(-(last + 1 - first) // 6))
+    due = F.floor((F.unix_seconds("ts") - first) / step) + (F.col("event_id") % 50 == 0).cast("int")
+    for part in range(7):
+        events.filter(due == part).coalesce(4).write.mode("append").parquet(f"{folder}/events")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/events")
+    width = f"{max(1, step // 4)} seconds"
+    running = telemetry_stream.telemetry_slices_stream(
+        views.readings_of(arriving), f"{folder}/out", f"{folder}/checkpoint", width=width, delay=f"{2 * step} seconds"
+    )
+    running.awaitTermination()
+    return rounded(telemetry_stream.read_slices(spark, f"{folder}/out"))
+
+
 # Inspection ----------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evalsweep.operators.telemetry import rollup_columns, telemetry_units
@@ -41,3 +42,79 @@ def telemetry_rollup_stream(
 def read_rollup(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:
     """Newest roll-up of every cell; a schema keeps text keys that look like numbers."""
     return read_cells(spark, out, schema)
+
+
+# Roll-ups whose state expires -----------------------------------------------------------
+
+_SUMMED = {
+    "avg_vram_mb": "vram_used_mb",
+    "avg_power_w": "power_draw_w",
+    "avg_gpu_util_pct": "gpu_util_pct",
+    "avg_cpu_util_pct": "cpu_util_pct",
+    "avg_ram_used_mb": "ram_used_mb",
+}
+
+
+def _partial() -> list[Column]:
+    """What a slice of time adds to a cell's roll-up: numbers that merge by adding or comparing."""
+    return [
+        F.max("vram_used_mb").alias("peak_vram_mb"),
+        F.max("power_draw_w").alias("peak_power_w"),
+        *[F.sum(source).alias(name) for name, source in _SUMMED.items()],
+        F.count(F.lit(1)).alias("hw_sample_count"),
+        F.bool_or("gpu_ok").alias("gpu_available"),
+    ]
+
+
+def telemetry_slices_stream(
+    readings: DataFrame,
+    out: str,
+    checkpoint: str,
+    keys: Sequence[str] = ("cell_idx",),
+    ts: str = "ts",
+    width: str = "10 minutes",
+    delay: str = "1 hour",
+    files: int = 8,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """The same roll-up with bounded state: a cell that has finished leaves it.
+
+    State is one row per cell and slice of time, and goes once the latest reading
+    is ``delay`` beyond the slice; a reading later than that is not counted, and
+    the query's progress says how many there were.  A micro-batch writes the
+    slices that it changed to a folder of its own, in at most ``files`` files
+    however many cells it touched; a batch that is repeated after a failure
+    overwrites its folder.  ``read_slices`` merges the newest row of every slice.
+    """
+    timed = telemetry_units(readings).withWatermark(ts, delay)
+    rolled = timed.groupBy(F.window(ts, width).alias("_slice"), *keys).agg(*_partial())
+
+    def store(changed: DataFrame, batch_id: int) -> None:
+        rows = changed.withColumn("_slice", F.col("_slice.start")).coalesce(files)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        rolled.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(store)
+        .start()
+    )
+
+
+def read_slices(spark: SparkSession, out: str, keys: Sequence[str] = ("cell_idx",)) -> DataFrame:
+    """One roll-up per cell: its slices as last written, added up."""
+    stored = spark.read.parquet(out)
+    numbers = [name for name in stored.columns if name not in (*keys, "_slice", "batch")]
+    newest = stored.groupBy(*keys, "_slice").agg(F.max_by(F.struct(*numbers), "batch").alias("s")).select(*keys, "s.*")
+    count = F.sum("hw_sample_count")
+    merged = {
+        "peak_vram_mb": F.max("peak_vram_mb"),
+        "peak_power_w": F.max("peak_power_w"),
+        **{name: F.sum(name) / count for name in _SUMMED},
+        "hw_sample_count": count,
+        "gpu_available": F.bool_or("gpu_available"),
+    }
+    order = ["peak_vram_mb", "avg_vram_mb", "peak_power_w", "avg_power_w", "avg_gpu_util_pct", "avg_cpu_util_pct"]
+    order += ["avg_ram_used_mb", "hw_sample_count", "gpu_available"]
+    return newest.groupBy(*keys).agg(*[merged[name].alias(name) for name in order])

@@ -76,3 +76,44 @@ def test_every_cell_sees_every_sample(spark):
     assert pairs(grid.cell_samples(samples, cells, on=["dataset"], broadcast_rows=1)) == want
     elsewhere = cells.withColumn("dataset", F.lit("other"))
     assert pairs(grid.cell_samples(samples, elsewhere, on=["dataset"])) == set()
+
+
+def test_a_hundred_million_cells_are_computed_from_their_numbers(spark):
+    spec = spark.sql(
+        "select 'big' as experiment, transform(sequence(1, 500), m -> named_struct('id', concat('m', m), 'backend', 'hf')) as models, "
+        "transform(sequence(1, 200), q -> concat('q', q)) as quantization, sequence(1, 1000) as max_new_tokens"
+    )
+    cells = grid.grid_cells(spec)
+    assert cells.rdd.getNumPartitions() > 50
+    last = cells.agg(
+        F.count("*").alias("n"), F.max("cell_idx").alias("last"), F.sum("max_new_tokens").alias("tokens"),
+        F.approx_count_distinct("model_id").alias("models"),
+    ).first()
+    assert (last["n"], last["last"], last["tokens"]) == (10**8, 10**8, 10**8 // 1000 * 500_500)
+
+
+def test_cells_of_a_wave_from_their_numbers(spark):
+    spec = spark.createDataFrame(
+        [
+            ("e", [("m1", None, 3), ("m2", "api", 4)], ["q1", None, "q3"], [5, 6], 0.5),
+            ("f", [("m3", None, 1)], [], [5], 0.0),
+            ("g", None, ["q"], [1], 0.0),
+        ],
+        "experiment string, models array<struct<id:string,backend:string,extra:int>>, quantization array<string>, "
+        "max_new_tokens array<int>, temperature double",
+    )
+    whole = {(r.experiment, r.cell_idx): tuple(r) for r in grid.grid_cells(spec).collect()}
+    assert len(whole) == 12 and {e for e, _ in whole} == {"e"}
+    wanted = [("e", 1), ("e", 7), ("e", 12), ("e", 13), ("e", 0), ("f", 1), ("g", 1), ("x", 1)]
+    found = grid.cells_at(spec, spark.createDataFrame(wanted, "experiment string, cell_idx int")).collect()
+    assert {(r.experiment, r.cell_idx): tuple(r) for r in found} == {k: whole[k] for k in wanted[:3]}
+
+
+def test_chunks_join_without_a_gap(spark, monkeypatch):
+    monkeypatch.setattr(grid, "CHUNK", 7)
+    monkeypatch.setattr(grid, "TASK_CELLS", 10)
+    spec = spark.sql("select 'e' as experiment, sequence(1, 50) as max_new_tokens, array('a', 'b') as quantization")
+    rows = grid.permutations(spec).orderBy("perm_idx").collect()
+    assert [(r.perm_idx, r.quantization, r.max_new_tokens) for r in rows] == [
+        (50 * i + n - 1, q, n) for i, q in enumerate("ab") for n in range(1, 51)
+    ]

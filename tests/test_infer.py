@@ -1,4 +1,6 @@
 import os
+import sys
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +170,57 @@ def test_kinds_of_runtime_errors_count_as_such(spark):
     status = failure_status(F.col("error_type"), F.col("error"), F.col("error_is_runtime"))
     found = {tuple(r) for r in answers.select("cell_idx", "error_type", status).collect()}
     assert found == {(1, "AcceleratorError", "oom"), (2, "OSError", "error")}
+
+
+def loads_of(folder):
+    """Loads by worker process: the stand-in leaves a file for each."""
+    counted = {}
+    for name in os.listdir(folder):
+        counted.setdefault(name.split("-")[0], []).append(name.split("-")[1])
+    return counted
+
+
+@pytest.mark.parametrize("keep", [0, 1, 2])
+def test_kept_engines_are_loaded_once_per_worker(spark, tmp_path, keep):
+    folder = str(tmp_path)
+
+    def factory(model_id, options):
+        open(f"{folder}/{os.getpid()}-{model_id}-{uuid.uuid4().hex}", "w").close()
+        return lambda asked, budgets: [f"{model_id}{options['level']}" for _ in asked]
+
+    spark.range(200).selectExpr("id as sample_idx", "'p' as prompt").repartition(50).write.parquet(f"{folder}-s")
+    samples = spark.read.option("maxPartitionBytes", 1).parquet(f"{folder}-s")
+    cells = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "cell_idx int, model_id string, level int")
+    with_splits = samples.repartition(50)
+    found = infer.infer_cells(with_splits, cells, factory, keep_engines=keep)
+    assert found.rdd.getNumPartitions() == 100
+    rows = found.groupBy("cell_idx", "prediction").count().collect()
+    assert sorted(map(tuple, rows)) == [(1, "a5", 200), (2, "b6", 200)]
+    loads = loads_of(folder)
+    if keep == 0:
+        assert sum(map(len, loads.values())) >= 100
+    else:
+        assert max(map(len, loads.values())) <= 2
+
+
+def test_engines_give_way_and_are_closed(monkeypatch):
+    monkeypatch.delitem(sys.modules, infer._KEPT, raising=False)
+    closed = []
+
+    class Engine:
+        def __init__(self, name):
+            self.name = name
+
+        def close(self):
+            closed.append(self.name)
+            raise RuntimeError("closing is not what counts here")
+
+    def get(name, token="t", most=2):
+        return infer._kept_engine(lambda model_id, options: Engine((model_id, options["x"])), token, {"model_id": name, "x": 1}, most)
+
+    a = get("a")
+    assert get("a") is a and get("b") is not a and get("a") is a
+    get("c")  # b was used least recently
+    assert closed == [("b", 1)] and get("a") is a
+    assert get("a", token="other") is not a and closed == [("b", 1), ("c", 1)]
+    monkeypatch.delitem(sys.modules, infer._KEPT)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from evalsweep.operators import telemetry
 from evalsweep.plans import views
@@ -36,3 +37,45 @@ def test_stream_equals_batch_and_takes_up_late_files(spark, sf_dir, arriving, tm
     more = events.filter("user_id % 16 = 3")
     more.write.mode("append").parquet(folder)
     assert run() == rounded(telemetry.rollup_readings(views.readings_of(events.unionByName(more))))
+
+
+def test_finished_cells_leave_the_state_and_late_readings_count(spark, tmp_path):
+    folder, out = str(tmp_path / "events"), str(tmp_path / "out")
+    # Each cell reads for half an hour, one after the other; a few readings come 20 minutes late.
+    events = spark.range(0, 3600).selectExpr(
+        "id as event_id", "timestamp_seconds(1700000000 + id * 10) as ts", "(id div 180) * 1L as user_id",
+        "cast(id % 50 as double) as value", "if(id % 40 = 0, 'error', 'view') as event_type",
+    )
+    due = F.floor((F.unix_seconds("ts") - 1700000000 + F.when(F.col("event_id") % 90 == 0, 1200).otherwise(0)) / 3600)
+    events = events.withColumn("due", due)
+    schema = events.drop("due").schema
+    for part in range(11):
+        events.filter(F.col("due") == part).drop("due").coalesce(1).write.mode("append").parquet(folder)
+    readings = views.readings_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    running = telemetry_stream.telemetry_slices_stream(readings, out, str(tmp_path / "checkpoint"), delay="30 minutes")
+    running.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress if p["stateOperators"]]
+    dropped = [p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in running.recentProgress if p["stateOperators"]]
+    # Ten hours of slices went through; those of the last hour or so are left.
+    assert sum(dropped) == 0 and max(rows) <= 40 and rows[-1] <= 12
+    whole = telemetry.rollup_readings(views.readings_of(events))
+    assert whole.count() > 10 and rounded(telemetry_stream.read_slices(spark, out)) == rounded(whole)
+    # One folder per micro-batch with few files, not one per cell.
+    files = spark.read.format("binaryFile").load(f"{out}/batch=*/*.parquet").count()
+    assert files <= 8 * len(running.recentProgress)
+
+
+def test_readings_beyond_the_delay_are_told(spark, tmp_path):
+    folder, out = str(tmp_path / "events"), str(tmp_path / "out")
+    for start in (0, 36_000, 72_000, 100):  # the last file is hours too late
+        spark.range(50).selectExpr(
+            "id as event_id", f"timestamp_seconds(1700000000 + {start} + id) as ts", "1L as user_id",
+            "1.5D as value", "'view' as event_type",
+        ).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    readings = views.readings_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    running = telemetry_stream.telemetry_slices_stream(readings, out, str(tmp_path / "checkpoint"))
+    running.awaitTermination()
+    dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in running.recentProgress if p["stateOperators"])
+    (row,) = telemetry_stream.read_slices(spark, out).collect()
+    assert dropped >= 1 and row["hw_sample_count"] == 150
