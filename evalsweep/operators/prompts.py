@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from evalsweep.functions.measures import OPTIONS_MARKER
 from evalsweep.functions.text import clean_question, joined_list, plain_text, strip
+from evalsweep.operators.rules import Rule
 
 # Column names looked for, in this order ---------------------
 QUESTION_KEYS = ("question", "text", "input", "prompt")
@@ -77,6 +78,12 @@ def has_any_key(record: Column, keys: Sequence[str] = QUESTION_KEYS) -> Column:
     return F.arrays_overlap(F.map_keys(record), F.array(*[F.lit(key) for key in keys]))
 
 
+def question_given(record: str, keys: Sequence[str] = QUESTION_KEYS) -> Rule:
+    """Records without a question under any alias, for ``rules.admit``: kept, dropped and counted in one pass."""
+    given = F.coalesce(has_any_key(F.col(record), keys), F.lit(False))
+    return Rule(f"question:{record}", ~given, F.lit("no question under " + ", ".join(keys)))
+
+
 def drop_keyless(df: DataFrame, record: str, keys: Sequence[str] = QUESTION_KEYS) -> DataFrame:
     """Keep the records that carry a question under any alias."""
     return df.filter(has_any_key(F.col(record), keys))

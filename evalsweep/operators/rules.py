@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +110,56 @@ def violations(df: DataFrame, key: str | Sequence[str], rules: Sequence[Rule]) -
     )
 
 
+@dataclass(frozen=True)
+class Admitted:
+    """What one pass over a table let in, what it turned away and why, and how many rows of each."""
+
+    good: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def _broken(rules: Sequence[Rule]) -> Column:
+    found = [F.when(rule.broken, F.struct(F.lit(rule.name).alias("rule"), rule.message.alias("message"))) for rule in rules]
+    return F.array_compact(F.array(*found))
+
+
+def admit(df: DataFrame, rules: Sequence[Rule], path: str) -> Admitted:
+    """Let in the rows that keep every rule; the others are put aside under ``path``.
+
+    The table is read once: both kinds are written in the same pass, and counted in
+    it.  ``rejected`` has the table's columns and ``broken``, a list of (rule,
+    message); ``counts`` holds ``rows``, ``good``, ``rejected`` and, under the name
+    of each rule, the rows that break it.  ``good`` is what was written, so that
+    nothing behind it reads a rejected row or checks again.
+    """
+    seen = Observation()
+    marked = df.withColumn("broken", _broken(rules)).withColumn("_rejected", F.size("broken") > 0)
+    counted = [
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("_rejected")).alias("good"),
+        F.count_if("_rejected").alias("rejected"),
+        *[F.count_if(F.array_contains("broken.rule", rule.name)).alias(rule.name) for rule in rules],
+    ]
+    marked.observe(seen, *counted).write.partitionBy("_rejected").parquet(path)
+    counts = {name: value or 0 for name, value in seen.get.items()}
+    stored = df.sparkSession.read.schema(marked.schema).parquet(path)
+    return Admitted(
+        stored.filter(~F.col("_rejected")).select(*df.columns),
+        stored.filter("_rejected").select(*df.columns, "broken"),
+        counts,
+    )
+
+
+def refuse(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The same rows, but a job that meets one breaking a rule fails and says which."""
+    checks = F.lit(True)
+    for rule in rules:
+        text = F.concat(F.lit(f"{rule.name}: "), rule.message)
+        checks = checks & F.when(rule.broken, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
+    return df.filter(checks)
+
+
 def unknown_fields(schema: T.DataType, allowed: Mapping | None, path: str = "") -> list[str]:
     """Paths of struct fields, at any depth, outside the allowed tree.
 

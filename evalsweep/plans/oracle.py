@@ -255,6 +255,8 @@ _SQL: dict[str, str] = {
         JOIN host_windows w ON e.user_id % 4 = w.host AND e.ts >= w.start_ts AND e.ts < w.end_ts""",
     "attribute_telemetry": """SELECT e.event_id, w.window_idx FROM events e
         JOIN cell_windows w ON e.ts >= w.start_ts AND e.ts < w.end_ts""",
+    "attribute_telemetry_stream": """SELECT e.event_id, w.window_idx FROM events e
+        JOIN cell_windows w ON e.ts >= w.start_ts AND e.ts < w.end_ts""",
     "check_unknown_columns": """SELECT c_custkey AS spec_id, 'unknown:settings' AS rule,
             concat('unknown keys: ', CASE WHEN c_custkey % 10 = 0 AND c_custkey % 6 = 0 THEN 'do_sample, execution'
                 WHEN c_custkey % 10 = 0 THEN 'do_sample' ELSE 'execution' END) AS message
@@ -294,6 +296,22 @@ _SQL: dict[str, str] = {
             ]
         ),
     ),
+    "admit_specs": "SELECT s.spec_id, count(b.rule) = 0 AS admitted, count(b.rule) AS n_broken "
+    "FROM spec_rows s LEFT JOIN ("
+    + _MESSAGES.format(
+        table="spec_rows",
+        checks=", ".join(
+            [
+                _allowed("backend", "'hf', 'vllm', 'mock', 'api'"),
+                _allowed("compress", "'snappy', 'gzip', 'brotli', 'zstd', 'none'"),
+                _range("max_samples", "max_samples <= 0"),
+                _range("oom_probability", "oom_probability < 0 OR oom_probability > 1"),
+                _required("backend", "api", "api_config"),
+                _required("judge_provider", "api", "judge_api_config"),
+            ]
+        ),
+    )
+    + ") b ON b.spec_id = s.spec_id GROUP BY s.spec_id",
     "fill_defaults": """SELECT spec_id, coalesce(backend, 'hf') AS backend, api_config,
             coalesce(judge_provider, 'mock') AS judge_provider, judge_api_config,
             coalesce(compress, 'snappy') AS compress, coalesce(max_samples, 100) AS max_samples,

@@ -545,6 +545,23 @@ def check_required_if(spark, sf_dir):
     )
 
 
+@query
+def admit_specs(spark, sf_dir):
+    """Specs let in or put aside in one pass over them, with the number of rules that each breaks."""
+    every = [
+        rules.allowed_values("backend", rules.BACKENDS),
+        rules.allowed_values("compress", rules.CODECS),
+        rules.in_range("max_samples", exclusive_minimum=0),
+        rules.in_range("oom_probability", minimum=0.0, maximum=1.0),
+        rules.required_if("backend", "api", "api_config"),
+        rules.required_if("judge_provider", "api", "judge_api_config"),
+    ]
+    found = rules.admit(views.spec_rows(spark, sf_dir), every, work_folder(spark, "admitted"))
+    good = found.good.select("spec_id", F.lit(True).alias("admitted"), F.lit(0).cast("bigint").alias("n_broken"))
+    n_broken = F.size("broken").cast("bigint").alias("n_broken")
+    return good.unionByName(found.rejected.select("spec_id", F.lit(False).alias("admitted"), n_broken))
+
+
 @query
 def fill_defaults(spark, sf_dir):
     return rounded(rules.fill_defaults(views.spec_rows(spark, sf_dir)))
@@ -863,6 +880,34 @@ def telemetry_rollup_slices(spark, sf_dir):
     return rounded(telemetry_stream.read_slices(spark, f"{folder}/out"))
 
 
+def _in_stretches(df: DataFrame, ts: str, first: int, step: int, folder: str) -> None:
+    """Write a table as files of six stretches of time, one after the other."""
+    due = F.floor((F.unix_seconds(F.col(ts)) - first) / step)
+    for part in range(7):
+        df.filter(due == part).coalesce(2).write.mode("append").parquet(folder)
+
+
+@query
+def attribute_telemetry_stream(spark, sf_dir):
+    """Readings and windows both arrive in stretches of time and are joined on the way."""
+    events = views.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    windows = views.cell_windows(spark, sf_dir)
+    windows = windows.select("window_idx", *[F.col(c).cast("timestamp").alias(c) for c in ("start_ts", "end_ts")])
+    folder = work_folder(spark, "attribution")
+    low, high = windows.agg(F.min(F.unix_seconds("start_ts")), F.max(F.unix_seconds("end_ts"))).first()
+    step = max(1, -(-(high + 1 - low) // 6))
+    sides = []
+    for name, df, ts in (("events", events, "ts"), ("windows", windows, "start_ts")):
+        _in_stretches(df, ts, low, step, f"{folder}/{name}")
+        reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2)
+        sides.append(reader.parquet(f"{folder}/{name}"))
+    running = telemetry_stream.attribute_telemetry_stream(
+        *sides, f"{folder}/out", f"{folder}/checkpoint", longest_s=86_400, delay=f"{2 * step} seconds"
+    )
+    running.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "window_idx")
+
+
 # Inspection ----------------------------------------------------------------------
 
 

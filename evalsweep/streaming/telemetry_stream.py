@@ -118,3 +118,59 @@ def read_slices(spark: SparkSession, out: str, keys: Sequence[str] = ("cell_idx"
     order = ["peak_vram_mb", "avg_vram_mb", "peak_power_w", "avg_power_w", "avg_gpu_util_pct", "avg_cpu_util_pct"]
     order += ["avg_ram_used_mb", "hw_sample_count", "gpu_available"]
     return newest.groupBy(*keys).agg(*[merged[name].alias(name) for name in order])
+
+
+# Attribution while readings and windows arrive -------------------------------------------
+
+
+def attribute_telemetry_stream(
+    readings: DataFrame,
+    windows: DataFrame,
+    out: str,
+    checkpoint: str,
+    longest_s: int,
+    delay: str = "10 minutes",
+    ts: str = "ts",
+    start: str = "start_ts",
+    end: str = "end_ts",
+    on: Sequence[str] = (),
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Give each reading the windows open at its time, ``start <= ts < end``, while both arrive.
+
+    Time is cut into buckets of ``longest_s`` seconds, the greatest length that a
+    window may have (a longer one fails the query): a window lies in at most two,
+    and ``on`` and the bucket make it an equi-join.  Both sides are held until the
+    watermark, ``delay`` behind the slower side, has passed what they can still
+    meet; readings and windows later than that are not joined.  Matches are
+    appended to Parquet under ``out``.
+    """
+
+    def bucket(at: Column) -> Column:
+        return F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(longest_s * 1_000_000))
+
+    opened, closed = F.col(start).cast("timestamp"), F.col(end).cast("timestamp")
+    too_long = F.unix_micros(closed) - F.unix_micros(opened) > longest_s * 1_000_000
+    just_before = F.timestamp_micros(F.unix_micros(closed) - 1)
+    both = F.array_distinct(F.array(bucket(opened), bucket(just_before)))
+    buckets = F.when(too_long, F.raise_error(F.lit(f"a window is longer than {longest_s} s")).cast("array<bigint>")).otherwise(both)
+    left = readings.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).withColumn("_bucket", bucket(F.col(ts)))
+    right = windows.withColumns({start: opened, end: closed}).withWatermark(start, delay).filter(F.col(start) < F.col(end))
+    right = right.withColumn("_bucket", F.explode(buckets))
+    renamed = {name: f"_w_{name}" for name in (*on, "_bucket")}
+    right = right.withColumnsRenamed(renamed)
+    met = F.col("_bucket") == F.col("_w__bucket")
+    for name in on:
+        met = met & (F.col(name) == F.col(f"_w_{name}"))
+    # The last condition bounds how long a reading has to be held.
+    inside = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
+    bounded = F.col(ts) < F.col(start) + F.expr(f"INTERVAL '{int(longest_s)}' SECOND")
+    joined = left.join(right, met & inside & bounded).drop("_bucket", *renamed.values())
+    return (
+        joined.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from evalsweep.operators import rules
+from evalsweep.operators import grid, prompts, rules
 
 
 def found(df, *checks):
@@ -65,3 +66,52 @@ def test_rules_need_no_shuffle(spark, capsys):
     df = spark.range(3).withColumn("n", F.lit(1))
     rules.violations(df, "id", [rules.in_range("n", minimum=2)]).explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_one_pass_admits_rejects_and_counts(spark, tmp_path):
+    rows = [(1, "hf", 5, None), (2, "bad", 0, None), (3, None, 7, None), (4, "api", 3, None), (5, "api", 3, "url")]
+    specs = spark.createDataFrame(rows, "spec_id int, backend string, max_samples int, api_config string")
+    every = [
+        rules.allowed_values("backend", rules.BACKENDS),
+        rules.in_range("max_samples", exclusive_minimum=0),
+        rules.required_if("backend", "api", "api_config"),
+    ]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    found = rules.admit(specs.mapInArrow(counted, specs.schema), every, str(tmp_path / "one"))
+    assert reads.value == len(rows)  # every row was read once
+    assert found.counts == {
+        "rows": 5, "good": 2, "rejected": 3, "allowed:backend": 2, "range:max_samples": 1, "required:api_config": 1
+    }
+    assert sorted(r.spec_id for r in found.good.collect()) == [1, 5] and found.good.columns == specs.columns
+    why = {r.spec_id: [b["rule"] for b in r.broken] for r in found.rejected.collect()}
+    assert why == {2: ["allowed:backend", "range:max_samples"], 3: ["allowed:backend"], 4: ["required:api_config"]}
+    assert reads.value == len(rows)
+    empty = rules.admit(specs.filter("false"), every, str(tmp_path / "two"))
+    assert empty.good.count() == empty.rejected.count() == empty.counts["rows"] == 0
+
+
+def test_a_bad_spec_never_becomes_cells(spark, tmp_path):
+    specs = spark.createDataFrame(
+        [("good", [("m", "hf")], 5), ("bad", [("m", "hf")], 0)],
+        "experiment string, models array<struct<id:string,backend:string>>, max_samples int",
+    )
+    every = [rules.in_range("max_samples", exclusive_minimum=0)]
+    admitted = rules.admit(specs, every, str(tmp_path / "specs"))
+    assert {r.experiment for r in grid.grid_cells(admitted.good).collect()} == {"good"}
+    with pytest.raises(Exception, match="range:max_samples: max_samples out of range"):
+        grid.grid_cells(rules.refuse(specs, every)).collect()
+    assert grid.grid_cells(rules.refuse(specs.filter("max_samples > 0"), every)).count() == 3
+
+
+def test_keyless_records_are_put_aside_in_one_pass(spark, tmp_path):
+    rows = [(1, {"question": "q"}), (2, {"other": "x"}), (3, None), (4, {"prompt": "p"})]
+    records = spark.createDataFrame(rows, "id int, record map<string,string>")
+    found = rules.admit(records, [prompts.question_given("record")], str(tmp_path / "records"))
+    assert sorted(r.id for r in found.good.collect()) == [1, 4]
+    assert sorted(r.id for r in found.rejected.collect()) == [2, 3] and found.counts["rejected"] == 2

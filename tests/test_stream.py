@@ -79,3 +79,39 @@ def test_readings_beyond_the_delay_are_told(spark, tmp_path):
     dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in running.recentProgress if p["stateOperators"])
     (row,) = telemetry_stream.read_slices(spark, out).collect()
     assert dropped >= 1 and row["hw_sample_count"] == 150
+
+
+def test_streams_of_readings_and_windows_meet_and_are_let_go(spark, tmp_path):
+    first = 1700000000
+    readings = spark.range(2000).selectExpr(
+        "id as event_id", f"timestamp_seconds({first} + id * 30) as ts", "cast(id % 3 as int) as host"
+    )
+    windows = spark.range(60).selectExpr(
+        "id as window_idx", f"timestamp_seconds({first} + (id div 3) * 3000) as start_ts",
+        f"timestamp_seconds({first} + (id div 3) * 3000 + 1700 + (id % 5) * 300) as end_ts", "cast(id % 3 as int) as host",
+    )
+    streams = []
+    for name, df, ts in (("r", readings, "ts"), ("w", windows, "start_ts")):
+        for part in range(10):
+            stretch = (F.unix_seconds(ts) - first).between(part * 6000, part * 6000 + 5999)
+            df.filter(stretch).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}"))
+    out = str(tmp_path / "out")
+    running = telemetry_stream.attribute_telemetry_stream(
+        *streams, out, str(tmp_path / "checkpoint"), longest_s=3000, delay="20 minutes", on=("host",)
+    )
+    running.awaitTermination()
+    found = spark.read.parquet(out).select("event_id", "window_idx", "host")
+    expected = telemetry.attribute_telemetry(readings, windows, on=("host",)).select("event_id", "window_idx", "host")
+    assert found.count() > 500 and rounded(found) == rounded(expected)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress if p["stateOperators"]]
+    assert max(held) < 1200 and held[-1] < 400  # of 2000 readings and their windows
+
+
+def test_a_window_longer_than_allowed_fails_the_stream(spark, tmp_path):
+    spark.sql("select 1L as event_id, timestamp_seconds(10) as ts").write.parquet(f"{tmp_path}/r")
+    spark.sql("select 1L as w, timestamp_seconds(0) as start_ts, timestamp_seconds(99) as end_ts").write.parquet(f"{tmp_path}/w")
+    sides = [spark.readStream.schema(spark.read.parquet(p).schema).parquet(p) for p in (f"{tmp_path}/r", f"{tmp_path}/w")]
+    running = telemetry_stream.attribute_telemetry_stream(*sides, f"{tmp_path}/o", f"{tmp_path}/c", longest_s=50)
+    with pytest.raises(Exception, match="longer than 50 s"):
+        running.awaitTermination()
