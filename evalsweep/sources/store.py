@@ -14,6 +14,7 @@ from evalsweep.functions.text import plain_text
 from evalsweep.operators.inspect import cell_position
 from evalsweep.operators.rollup import ok_cells
 from evalsweep.operators.rules import CODECS
+from evalsweep.sources.workspace import work_folder
 
 # Fixed values -----------------------------------------------------------
 EXPORT_COLUMNS = (
@@ -101,26 +102,88 @@ def scan_dataset(
     return table if split is None else table.filter(F.col(split_col) == split)
 
 
+def _first_files(df: DataFrame, n: int) -> tuple[list[str], str | None, int]:
+    """Files that the first n rows fill, the file in which they end, and how many of its rows are meant."""
+    per_file = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_rows"))
+    whole: list[str] = []
+    # In order of names; no more of them come to the driver than hold n rows.
+    for row in per_file.orderBy("_file").toLocalIterator():
+        if row["_rows"] > n:
+            return whole, row["_file"], n
+        whole.append(row["_file"])
+        n -= row["_rows"]
+        if not n:
+            break
+    return whole, None, 0
+
+
+def _nth(keys: DataFrame, order: Sequence[str], n: int) -> T.Row | None:
+    """The n-th row of a table of keys, or None if it has fewer; no task sorts more than a range of them."""
+    spark = keys.sparkSession
+    path = work_folder(spark, "sorted-keys")
+    keys.orderBy(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.schema(T.StructType([*keys.schema, T.StructField("_range", T.IntegerType())])).parquet(path)
+    # One row per shuffle partition.
+    for row in sorted(ranges.groupBy("_range").count().collect()):
+        if n <= row["count"]:
+            own = ranges.filter(F.col("_range") == row["_range"]).drop("_range")
+            return own.orderBy(*order).offset(n - 1).first()
+        n -= row["count"]
+    return None
+
+
 def head_sample(
     df: DataFrame, max_samples: int, order_by: str | Sequence[str] | None = None
 ) -> DataFrame:
     """The first ``max_samples`` rows in source order, bad rows included.
 
-    Without ``order_by`` the order is that of the Parquet files and their rows.
-    The first rows are found by their order columns and places in the files, and
-    whole rows are fetched by a semi-join, so that no task holds the texts of a
-    large sample.  A table that is not read from files is ordered as a whole.
+    Without ``order_by`` the order is that of the files and their rows: rows are
+    counted per file, and only the file in which the sample ends is cut.  With it,
+    the keys alone are range-sorted, the last key of the sample is looked up, and
+    rows up to it are filtered where they lie.  Either way no task holds a large
+    sample and no text moves.  Ties go by place in the files, where rows have one
+    (Parquet); in other formats rows that tie with the last key are ordered by
+    their columns.  A table that is not read from files is ordered as a whole.
     """
     order = [] if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    if max_samples <= 0:
+        return df.limit(0)
+    place = {"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")}
     try:
-        placed = df.select("*", *place)
+        placed = df.select("*", *[column.alias(name) for name, column in place.items()])
     except AnalysisException:
-        if not order:
-            raise
-        return df.orderBy(*order).limit(max_samples)
-    first = placed.select(*order, "_file", "_at").orderBy(*order, "_file", "_at").limit(max_samples)
-    return placed.join(first.select("_file", "_at"), ["_file", "_at"], "left_semi").select(*df.columns)
+        placed = None
+    if not order:
+        file = F.col("_metadata.file_path")
+        whole, last, n = _first_files(df, max_samples)
+        kept = df.filter(file < last) if last else df.filter(file <= whole[-1]) if whole else df.limit(0)
+        if last is None:
+            return kept
+        if placed is None:
+            # One task reads the file from its beginning, as far as it has to.
+            return kept.unionAll(df.filter(file == last).coalesce(1).limit(n))
+        cut = placed.filter((F.col("_file") < last) | ((F.col("_file") == last) & (F.col("_at") < n)))
+        return cut.select(*df.columns)
+    if placed is None:
+        try:
+            df.select(place["_file"])
+        except AnalysisException:
+            return df.orderBy(*order).limit(max_samples)
+    rows, names = (placed, [*order, *place]) if placed is not None else (df, order)
+    last = _nth(rows.select(*names), names, max_samples)
+    if last is None:
+        return df
+    # Nulls come first, as in a sort.
+    limits = {name: F.lit(last[name]).cast(rows.schema[name].dataType) for name in names}
+    before, tied = F.lit(False), F.lit(True)
+    for name in names:
+        own = F.col(name)
+        less = F.coalesce(own < limits[name], own.isNull() & limits[name].isNotNull())
+        before, tied = before | (tied & less), tied & own.eqNullSafe(limits[name])
+    if placed is not None:
+        return rows.filter(before | tied).select(*df.columns)
+    under = df.filter(before)
+    return under.unionAll(df.filter(tied).orderBy(*df.columns).limit(max_samples - under.count()))
 
 
 # Result files written by other tools --------------------------------------
