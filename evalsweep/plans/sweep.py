@@ -22,7 +22,11 @@ _KEY_SCHEMA = "experiment string, run_ts string, cell_idx int"
 
 
 def _stored_cells(spark: SparkSession, path: str) -> DataFrame | None:
-    """Keys of the cells under a path; only folder names are read."""
+    """Keys of the cells under a path.
+
+    They come from the folder names, but Spark opens every file below them to know
+    that it has rows; ``cell_jobs`` goes by its records instead.
+    """
     try:
         return read_cells(spark, path, _KEY_SCHEMA).distinct()
     except AnalysisException as exc:
