@@ -4,7 +4,10 @@ A cascade gives exact membership for every key of a known universe.  Level 0
 encodes the listed keys; level 1 the other keys of the universe that level 0
 lets through; level 2 the listed keys that level 1 lets through, and so on until
 a level lets none through.  A key's place is the first level that rejects it.
-Looking up a key tests bits of constants: no join, no Python.
+Looking up a key tests bits of constants: no join, no Python.  The filter of a
+long list is cut into slices by a hash of the key.  Driver and plan hold about
+1.4 bits for each listed key and probe, so the list's length is bounded by their
+memory alone (60 million keys at one probe: 11 MB in two slices).
 """
 
 from __future__ import annotations
@@ -18,16 +21,22 @@ from pyspark.sql import functions as F
 
 from evalsweep.llm.common import staged
 
-# A level's bits travel as a constant of the plan: 1 << 26 bits are 8 MB.
+# A level's bits travel as constants of the plan, cut into slices of at most 8 MB each.
 MAX_BITS = 1 << 26
 
 
 @dataclass
 class Level:
-    bits: int
+    """A Bloom filter cut by a hash of the key into slices of equal size."""
+
+    bits: int  # of each slice
     probes: int
     seed: int
-    words: list[int]  # the filter, 64 bits to a word
+    slices: list[list[int]]  # 64 bits to a word
+
+    def slice_of(self, key: Column) -> Column:
+        # One argument less than the probes have, so that the hashes are independent.
+        return F.pmod(F.xxhash64(key, F.lit(self.seed)), F.lit(len(self.slices)).cast("long")).cast("int")
 
     def positions(self, key: Column) -> list[Column]:
         return [
@@ -37,7 +46,10 @@ class Level:
 
     def might_hold(self, key: Column) -> Column:
         # One text constant, cut by the optimizer once, is far lighter than a list of literals.
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
+        constants = [F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>") for words in self.slices]
+        words = constants[-1]
+        for i in range(len(constants) - 2, -1, -1):
+            words = F.when(self.slice_of(key) == i, constants[i]).otherwise(words)
         hit = F.lit(True)
         for at in self.positions(key):
             word = F.get(words, F.shiftright(at, 6).cast("int"))
@@ -62,20 +74,20 @@ class Cascade:
 
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     probes = max(1, round(-math.log2(rate)))
-    bits = max(64, 64 * math.ceil(n * probes * 1.4427 / 64))
-    if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need {bits} bits; split the list by a hash of its keys")
-    empty = Level(bits, probes, seed, [])
-    at = F.explode(F.array(*empty.positions(F.col("key")))).alias("at")
+    needed = max(64, math.ceil(n * probes * 1.4427))
+    n_slices = -(-needed // MAX_BITS)
+    bits = 64 * math.ceil(needed / n_slices / 64)
+    level = Level(bits, probes, seed, [[0] * (bits // 64) for _ in range(n_slices)])
+    key = F.col("key")
+    at = F.explode(F.array(*level.positions(key))).alias("at")
     words = (
-        keys.select(at)
-        .groupBy(F.shiftright("at", 6).alias("word"))
+        keys.select(level.slice_of(key).alias("slice"), at)
+        .groupBy("slice", F.shiftright("at", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
     )
-    filled = [0] * (bits // 64)
     for row in words.toLocalIterator():  # as many rows as the filter has words
-        filled[row["word"]] = row["bits"]
-    return Level(bits, probes, seed, filled)
+        level.slices[row["slice"]][row["word"]] = row["bits"]
+    return level
 
 
 def fit_cascade(universe: DataFrame, seed: int = 17) -> Cascade:
@@ -164,8 +176,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], blocked: DataFrame) -> D
     block if the host is in ``blocked`` (rows ``key``, any number), else allow.
     Rules and blocked hosts are looked up in cascades whose universe is every key
     that these pages can ask for, so the answers are exact.  A null URL or one
-    without ``://`` has an empty host and path and is allowed; repeated rows give
-    repeated rows; other columns are left out.
+    without ``://`` has an empty host and path and is allowed; a null ``page_id``
+    is kept; repeated rows give repeated rows; of two rules of one length only one
+    can fit a URL, so there are no ties; URLs of any length are read whole; other
+    columns are left out; an empty table gives no rows, an empty list blocks nothing.
     """
     for rule in rules:
         if not rule.path.endswith("/"):

@@ -62,6 +62,21 @@ def test_a_cascade_is_exact_on_its_universe(spark, n_listed):
     assert n_listed < 700 or len(cascade.levels) > 1
 
 
+@pytest.mark.parametrize("most", [256])
+def test_long_lists_are_cut_into_slices_and_stay_exact(spark, pages, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MAX_BITS", most)
+    keys = [f"host{i}.example" for i in range(3000)]
+    listed = set(random.Random(5).sample(keys, 900))
+    universe = spark.createDataFrame([(k, k in listed) for k in keys], "key string, listed boolean")
+    cascade = url_filter.fit_cascade(universe)
+    assert all(level.bits <= most for level in cascade.levels)
+    assert len(cascade.levels[0].slices) > 900 // most
+    assert universe.filter(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+    blocked = spark.createDataFrame([("spam.net",), *[(f"other{i}.org",) for i in range(300)]], "key string")
+    out = url_filter.judge_urls(pages, URL_RULES, blocked).filter("host in ('spam.net', 'a.com')")
+    assert {(r["host"], r["verdict"]) for r in out.collect()} >= {("spam.net", "block"), ("a.com", "allow")}
+
+
 def test_the_main_path_is_native(spark, pages, capsys):
     out = url_filter.judge_urls(pages, URL_RULES, spark.createDataFrame([("spam.net",)], "key string"))
     out.explain()
