@@ -137,7 +137,8 @@ def infer_cells(
     """Run every cell over every ``(sample_idx, prompt)`` without moving a prompt.
 
     The samples are scanned once for each cell and the scans are united: a task
-    has one split and one cell, and loads one model.  Meant for a wave of cells;
+    has one split and one cell, and loads one model.  Give the samples as a stored
+    table, or their prompts are built in every scan.  Meant for a wave of cells;
     all of them are named in one plan.
 
     With ``keep_engines`` a Python worker that Spark reuses keeps so many engines

@@ -80,14 +80,17 @@ def cell_results(
     scores: DataFrame,
     readings: DataFrame | None = None,
     keys: Sequence[str] = ("cell_idx",),
+    failures: DataFrame | None = None,
 ) -> DataFrame:
     """The result row of each cell.
 
     One failed sample fails its cell: the status and error are those of the
     first failing sample by number, and there are no metrics.  A failing row that
     is stored twice counts once for that.  Aggregation states carry no texts: the
-    errors are read in a second, pruned pass over ``scores`` (give it as a stored
-    table), which keeps one row per cell before any text moves.
+    errors are read in a second, pruned pass, which keeps one row per cell before
+    any text moves.  It reads ``failures``, any table with the same failing rows:
+    the predictions, where ``scores`` is a plan that would score them twice, or by
+    default ``scores``, which is then best given as a stored table.
     """
     keys = list(keys)
     numbers = scores.groupBy(*keys).agg(
@@ -95,7 +98,8 @@ def cell_results(
         *_performance(),
         F.avg("judge_score").alias("judge_avg_score"),
     )
-    cells = grid.join(numbers, keys, "left").join(_first_errors(grid, scores, keys), keys, "left")
+    errors = _first_errors(grid, scores if failures is None else failures, keys)
+    cells = grid.join(numbers, keys, "left").join(errors, keys, "left")
     if readings is not None:
         cells = fill_missing(cells.join(rollup_readings(readings, keys), keys, "left"))
 
@@ -138,15 +142,15 @@ def cell_results(
     )
 
 
-def _first_errors(grid: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+def _first_errors(grid: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Type and text of each failed cell's first error, one row per cell.
 
     A model that does not load leaves its traceback on every row of its cell.
     The first failing numbers are found without texts and, having at most a row
     per cell, are carried to the failing rows if the grid is small.
     """
-    is_runtime = F.col("error_is_runtime") if "error_is_runtime" in scores.columns else F.lit(None)
-    failing = scores.filter(F.col("error_type").isNotNull()).select(
+    is_runtime = F.col("error_is_runtime") if "error_is_runtime" in rows.columns else F.lit(None)
+    failing = rows.filter(F.col("error_type").isNotNull()).select(
         *keys, "sample_idx", "error_type", "error", is_runtime.cast("boolean").alias("error_is_runtime")
     )
     first = failing.groupBy(*keys).agg(F.min("sample_idx").alias("sample_idx"))

@@ -64,6 +64,7 @@ def _results(spark, sf_dir) -> DataFrame:
         views.scores_mc(spark, sf_dir),
         views.telemetry(spark, sf_dir),
         keys=("cell_idx",),
+        failures=views.predictions_mc(spark, sf_dir),
     ).select("experiment", *[c for c in store.RESULT_COLUMNS if c not in ("experiment", "run_ts")])
 
 
@@ -176,7 +177,9 @@ def _exported(spark, sf_dir) -> str:
     stored = work_folder(spark, "export-scores")
     views.scores_mc(spark, sf_dir).write.parquet(stored)
     scores = spark.read.parquet(stored)
-    store.export_predictions(rounded(rollup.cell_results(views.grid(spark), scores)), scores, path)
+    summed = work_folder(spark, "export-results")
+    rounded(rollup.cell_results(views.grid(spark), scores)).write.parquet(summed)
+    store.export_predictions(spark.read.parquet(summed), scores, path)
     return path
 
 
@@ -684,7 +687,9 @@ def batch_infer(spark, sf_dir):
     )
     warm = F.when(F.col("cell_idx") % 2 == 0, 0.7).otherwise(0.0)
     cells = views.grid(spark).drop("experiment").withColumn("temperature", warm)
-    return infer.infer_cells(choice.unionByName(essays), cells, _length_model)
+    stored = work_folder(spark, "prompts")
+    choice.unionByName(essays).write.parquet(stored)  # built once, not once per cell
+    return infer.infer_cells(spark.read.parquet(stored), cells, _length_model)
 
 
 def _crashing_model(model_id: str, options: dict):
@@ -918,5 +923,7 @@ def cell_detail(spark, sf_dir):
 
 @query
 def show_predictions(spark, sf_dir):
-    results = rollup.cell_results(views.grid(spark), views.scores_mc(spark, sf_dir))
+    results = rollup.cell_results(
+        views.grid(spark), views.scores_mc(spark, sf_dir), failures=views.predictions_mc(spark, sf_dir)
+    )
     return inspect.show_predictions(results, _sample_rows(spark, sf_dir), cell_pos=4, n=20)

@@ -71,6 +71,20 @@ def test_a_cell_has_one_row_however_often_a_failure_is_stored(spark, tables):
         assert by_cell(rollup.cell_results(grid, rows))[3].status == status
 
 
+def test_errors_may_come_from_the_predictions(spark, tables, capsys):
+    grid, scores = tables
+    kept = [name for name in scores.columns if name not in ("exact_match", "normalized_match", "judge_score")]
+    predictions = scores.select(*kept)
+    assert by_cell(rollup.cell_results(grid, scores, failures=predictions)) == by_cell(rollup.cell_results(grid, scores))
+    # What is dear to compute, here a mark in the scores, then stands in the plan once.
+    dear = scores.withColumn("judge_score", F.sqrt(F.col("judge_score") * F.col("judge_score") + F.lit(0.0)))
+    dear = dear.filter(F.sqrt(F.col("sample_idx") + F.lit(7654.25)) > 0)
+    rollup.cell_results(grid, dear, failures=predictions).explain()
+    once = capsys.readouterr().out.count("7654.25")
+    rollup.cell_results(grid, dear).explain()
+    assert capsys.readouterr().out.count("7654.25") > once > 0
+
+
 def test_a_mean_of_nan_stays(spark, tables):
     rows = spark.createDataFrame([(1, 0, True, True, float("nan"), None, float("nan"), 5, None, None)], SCORES)
     found, result = by_cell(rollup.cell_perf(tables[0], rows))[1], by_cell(rollup.cell_results(tables[0], rows))[1]
