@@ -14,6 +14,7 @@ import threading
 import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
@@ -83,7 +84,7 @@ def run_attempts(
 
     ``cells`` is a wave (all its rows come to the driver) with ``experiment`` and
     ``cell_idx``; ``samples`` holds ``sample_idx, prompt``.  At most ``at_once``
-    cells run side by side.  A cell that takes longer than ``limit_s`` is
+    cells run side by side, where waiting for cores counts.  A cell that takes longer than ``limit_s`` is
     cancelled by its tag and logged without an exit code, while the others go on;
     a job that fails is logged with exit code 1 and its message.  Neither leaves
     anything that a reader sees, and calling again tries them once more.
@@ -124,7 +125,9 @@ def run_attempts(
         key = {name: row[name] for name in KEYS}
         _record(spark, path, {**key, **values, "attempt": (row["_tried"] or 0) + 1, "started": started, "ended": ended})
 
+    # Wrapped one by one: a wrapper owns one set of job tags, which cells must not share.
+    jobs = [inheritable_thread_target(spark)(partial(attempt, row)) for row in todo]
     with ThreadPoolExecutor(at_once) as pool:
         # The first failure to write a record ends the call.
-        list(pool.map(inheritable_thread_target(spark)(attempt), todo))
+        list(pool.map(lambda job: job(), jobs))
     return read_log(spark, path).filter(F.col("run_ts") == run_ts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -320,6 +321,54 @@ def read_cells(
     return reader.parquet(path)
 
 
+def partition_folders(spark: SparkSession, path: str, name: str, value: str | None = None) -> list[tuple[str, str]]:
+    """(value, folder) of the partition folders ``name=...`` below a path; all, or those of one value.
+
+    One listing of one folder: no file below is listed or opened.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    found = []
+    for status in system.listStatus(root):
+        own, _, text = status.getPath().getName().partition("=")
+        if own == name and status.isDirectory() and value in (None, unquote(text)):
+            found.append((unquote(text), status.getPath().toString()))
+    return found
+
+
+def run_folders(spark: SparkSession, path: str, run_ts: str) -> list[tuple[str, str]]:
+    """(experiment, folder) of what ``write_cells`` stored for one run: a listing per experiment."""
+    outer, inner, _ = CELL_PARTITIONS
+    return [
+        (experiment, folder)
+        for experiment, below in partition_folders(spark, path, outer)
+        for _, folder in partition_folders(spark, below, inner, run_ts)
+    ]
+
+
+def stored_cells(spark: SparkSession, path: str, run_ts: str) -> list[tuple[str, str, int]]:
+    """Keys of one run's stored cells, by the names of their folders.
+
+    The driver holds a name per cell of this run; other runs cost a listing per
+    experiment, and no data file is opened.
+    """
+    number = CELL_PARTITIONS[-1]
+    return [
+        (experiment, run_ts, int(cell))
+        for experiment, folder in run_folders(spark, path, run_ts)
+        for cell, _ in partition_folders(spark, folder, number)
+    ]
+
+
+def read_run(spark: SparkSession, path: str, schema: T.StructType | str, run_ts: str) -> DataFrame:
+    """Cells of one run; the folders of other runs are not listed."""
+    folders = [folder for _, folder in run_folders(spark, path, run_ts)]
+    reader = spark.read.schema(schema).option("basePath", path)
+    return reader.parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 # Exports -------------------------------------------------------------------
 
 _CSV = {

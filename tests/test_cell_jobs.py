@@ -56,6 +56,20 @@ def test_a_stuck_cell_ends_by_its_limit_and_the_others_go_on(spark, sweep):
     assert stored(spark, path) == {i: (40, 40) for i in (1, 2, 3, 4)}
 
 
+def test_cells_do_not_share_their_tags(spark, sweep, monkeypatch):
+    samples, cells, path = sweep
+    seen, infer = [], cell_jobs.infer_cells
+
+    def watched(*args):
+        time.sleep(1)  # so that cells overlap
+        seen.append(frozenset(spark.sparkContext.getJobTags()))
+        return infer(*args)
+
+    monkeypatch.setattr(cell_jobs, "infer_cells", watched)
+    cell_jobs.run_attempts(samples, cells, echo, path, RUN, at_once=4)
+    assert len(set(seen)) == 4 and all(len(tags) == 1 for tags in seen)
+
+
 def test_nothing_of_a_crashed_cell_is_seen(spark, sweep, monkeypatch):
     samples, cells, path = sweep
 

@@ -1,11 +1,13 @@
 import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from evalsweep.functions.measures import failure_status
 from evalsweep.operators.grid import grid_cells
+from evalsweep.plans import cell_jobs
 from evalsweep.plans import sweep as plan
 from evalsweep.plans.sweep import run_sweep
 
@@ -69,6 +71,53 @@ def test_sweep_stores_resumes_and_asks_each_prompt_once(spark, sweep, tmp_path):
     assert sorted(tuple(r) for r in runs) == [("t1", 4), ("t2", 4)]
 
 
+def test_other_runs_are_not_opened(spark, sweep, tmp_path):
+    samples, grid = sweep
+    path, factory = str(tmp_path / "sweep"), factory_at(str(tmp_path))
+    good = grid.filter("model_id = 'good'").withColumn("experiment", F.lit("a [b]/c*'d %25"))
+    run_sweep(samples, good, factory, path, "t1")
+    for file in glob.glob(f"{glob.escape(path)}/*/experiment=*/run_ts=t1/cell_idx=*/*.parquet"):
+        with open(file, "wb") as damaged:
+            damaged.write(b"no parquet")
+        os.remove(os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc"))
+    for _ in range(2):
+        results = run_sweep(samples, good, factory, path, "t2").collect()
+        assert {(r.experiment, r.run_ts, r.status) for r in results} == {("a [b]/c*'d %25", "t2", "ok")}
+    assert len(open(tmp_path / "asked").read().split()) == 48
+
+
+def test_a_stuck_cell_ends_as_an_error_and_the_sweep_goes_on(spark, sweep, tmp_path):
+    samples, grid = sweep
+    path = str(tmp_path / "sweep")
+
+    def factory(model_id, options):
+        def engine(prompts, budgets):
+            if model_id == "bad" and options["quantization"] is None:
+                time.sleep(600)
+            if model_id == "bad":
+                os._exit(3)
+            return [p[-1] for p in prompts]
+
+        return engine
+
+    def run(model):
+        rows = run_sweep(samples, grid, model, path, "t1", judge="heuristic", limit_s=30, cells_per_wave=4)
+        return {r.cell_idx: r for r in rows.collect()}
+
+    found = run(factory)
+    assert {c: r.status for c, r in found.items()} == {1: "ok", 2: "ok", 3: "error", 4: "error"}
+    assert "timeout" in found[3].error and found[4].error and "timeout" not in found[4].error
+    assert (found[1].n_samples, found[3].n_samples) == (12, None)
+    log = cell_jobs.cell_outcomes(cell_jobs.read_log(spark, f"{path}/cell-jobs"))
+    assert {r.cell_idx: r.status for r in log.collect()} == {c: r.status for c, r in found.items()}
+    # Committed answers are used again, whatever else was lost; cells without any are tried once more.
+    for name in ("results", "predictions"):
+        os.rename(glob.glob(f"{path}/{name}/experiment=*/run_ts=t1")[0], str(tmp_path / f"lost-{name}"))
+    again = run(lambda model_id, options: lambda prompts, budgets: ["later" for _ in prompts])
+    assert {c: r.status for c, r in again.items()} == dict.fromkeys((1, 2, 3, 4), "ok")
+    assert again[1].exact_match_pct == found[1].exact_match_pct > again[3].exact_match_pct
+
+
 def test_stored_predictions_keep_what_did_not_fail(spark, sweep, tmp_path):
     samples, grid = sweep
     path = str(tmp_path / "sweep")
