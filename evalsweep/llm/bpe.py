@@ -221,7 +221,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
 
     ``with_ids`` adds the ids and the decoded text.  No special tokens.  A null
     text counts as empty: no ids.  Null ids and repeated rows are kept as they
-    are; other columns are left out.  ``ranks_path`` is read where tasks run.
+    are; other columns are left out; an empty table gives no rows.  Of equal pairs
+    the leftmost merges first.  Texts of any length are encoded whole; pieces of
+    more than ``LONGEST_ROW`` bytes, which would widen the matrices, merge by the
+    same rule through a heap.  ``ranks_path`` is read where tasks run.
     """
 
     def work(batch: pa.RecordBatch, coder: Coder) -> dict:

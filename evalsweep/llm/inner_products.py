@@ -193,7 +193,8 @@ def top_k(
     go to the smaller id; a query with fewer candidates gets all of them.  Only
     vectors of equal dimension are compared; empty, null and non-finite ones take
     no part.  Rows that repeat an id and vector count once; of an id with several
-    vectors each is a candidate and, among queries, has ranks of its own.
+    vectors each is a candidate and, among queries, has ranks of its own.  Other
+    columns are left out; an empty table, or one without queries, gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))

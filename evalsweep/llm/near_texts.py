@@ -298,8 +298,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Texts link when 100 * intersection >= percent * union of their shingle sets.
     Null and empty texts and those of white space alone have an empty set and
     link with nothing.  Rows that share an id are one node of the components.  A
-    row without an id takes no part: no component, kept.  Shingles are told apart
-    by 64-bit hashes.
+    row without an id takes no part: no component, kept.  A similarity equal to the
+    threshold links.  Shingles are told apart by 64-bit hashes.  Texts of any length
+    are read whole; other columns are left out; an empty table gives no rows.
     """
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     signed = staged(_signed(rows, plan), "minima")
@@ -343,7 +344,7 @@ def drop_near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Rows of equal id and text, null or not, are one document and leave one row.
     Of other rows that share an id and are kept, one of each group of near copies
     stays.  Otherwise rows without an id or without words stay.  Columns may have
-    any names.
+    any names.  An empty table stays empty.
     """
     names = docs.columns
     # Plain names inside, so that no column can clash with those of this module.

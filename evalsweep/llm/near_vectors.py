@@ -201,7 +201,9 @@ def near_duplicates(
     Rows with a null id or label, or a vector that is null, empty, all zeros or
     holds a null or non-finite component, link with nothing and are kept.  Every
     repeated row counts as a vector of its own; rows that share an id are one
-    node of the components.  Equal vectors are compared once, as a class.
+    node of the components.  Equal vectors are compared once, as a class.  A cosine
+    equal to the threshold links.  Other columns are left out; an empty table gives
+    no rows.
     """
     if probes > hashes + 1:
         raise ValueError("each probe after the first replaces another hash")

@@ -167,10 +167,12 @@ def pack(
     """Sequences of at most ``size`` ids that hold every id of every document once.
 
     A document's ids are followed by ``end_id``; a null or empty text gives that
-    id alone.  Added tokens of the vocabulary that stand in a text have their ids.  One row per piece: document, where it starts there, its sequence
-    and its offset in it.  Repeated rows are documents of their own; null ids
-    stay null; other columns are left out.  Ids of sequences are unique but not
-    gapless.  ``tokenizer`` is read where tasks run.
+    id alone.  Added tokens of the vocabulary that stand in a text have their ids.
+    One row per piece: document, where it starts there, its sequence and its offset
+    in it.  Texts of any length are cut into full pieces and a rest.  Repeated rows
+    are documents of their own; null ids stay null; other columns are left out; an
+    empty table gives no rows.  Ids of sequences are unique but not gapless.
+    ``tokenizer`` is read where tasks run.
     """
     pieces = staged(cut(docs, tokenizer, pattern, size, end_id), "pieces")
     n_docs = pieces.filter("start = 0").count()

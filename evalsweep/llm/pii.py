@@ -130,7 +130,9 @@ def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Personal data of every text: counts of each kind, spans, digest; on demand the redacted text.
 
     A null text counts as empty; a null id is returned as it is; repeated rows
-    give repeated rows; other columns are left out.
+    give repeated rows; other columns are left out; an empty table gives no rows.
+    Texts of any length are read whole.  Of matches that overlap, the leftmost of a
+    kind counts; spans of different kinds may overlap.
     """
     counts = ", ".join(f"n_{kind} long" for kind in KINDS)
 
@@ -151,7 +153,12 @@ def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Documents with personal data replaced by placeholders; same columns and rows."""
+    """Documents with personal data replaced by placeholders; same columns and rows.
+
+    Null texts stay null, empty ones empty; repeated rows and rows without an id are
+    treated each; other columns, of any name, stay as they are; an empty table stays
+    empty.
+    """
     fields = docs.schema
 
     def work(batch: pa.RecordBatch, automaton: ahocorasick.Automaton) -> dict:

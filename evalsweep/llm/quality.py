@@ -148,8 +148,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     The score is the probability of ``quality`` 1 given the text's statistics
     alone.  Rows whose id has crc32 0 modulo 5 never train.  Null and empty texts
     have the statistics of an empty text; a null id is not held out and never
-    trains; repeated rows are scored each and train each.  Without labels of both
-    classes every score is the share of 1 among them, smoothed.
+    trains; repeated rows are scored each and train each.  A score equal to the
+    threshold is predicted 1.  Texts of any length are measured whole; other columns
+    of both tables are left out; an empty table gives no rows.  Without labels of
+    both classes every score is the share of 1 among them, smoothed.
     """
 
     def work(batch: pa.RecordBatch) -> dict:

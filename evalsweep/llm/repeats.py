@@ -478,7 +478,8 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     A byte is removed when a ``length``-byte string that covers it also starts
     anywhere else, in this text or another.  A null text counts as empty; null
     ids are kept as they are; repeated rows are texts of their own, so that long
-    ones are removed whole.  Other columns are left out.
+    ones are removed whole.  Texts of any length are read in overlapping parts.
+    Other columns are left out; an empty table gives no rows.
     """
 
     def finish(batch: pa.RecordBatch, found: list) -> dict:
@@ -498,7 +499,8 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """Documents without their repeated passages; same rows and columns.
 
     Characters of which a part was removed go altogether; ``n_chars``, where it
-    exists, follows the text.
+    exists, follows the text.  Null texts stay null; other columns, of any name,
+    stay as they are; an empty table stays empty.
     """
     names = docs.columns
     # Plain names inside, so that no column can clash with those of this module.

@@ -322,8 +322,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *
     The score is the probability of ``toxic`` 1 given the restored words alone.
     Rows whose id has crc32 1 modulo 3 never train.  A null text counts as empty
     and gets the score of no words; a null id is not held out and never trains;
-    repeated rows are scored each.  Without labels of both classes every score is
-    the share of 1 among them, smoothed.
+    repeated rows are scored each.  A score equal to the threshold is predicted 1.
+    Texts of any length are read whole; a long token is decoded on the way and held
+    in part.  Other columns of both tables are left out; an empty table gives no
+    rows.  Without labels of both classes every score is the share of 1 among them,
+    smoothed.
     """
     rows = _input(docs)
     model = fit(rows, labels, **options)
