@@ -7,7 +7,8 @@ of windows that chose it.
 
 1. Grams that occur once are dropped.  Tasks exchange sorted hash lists.
 2. Anchors whose whole stretch (all windows that chose them) occurs again are
-   settled by counting stretches, within each piece of input first.
+   settled by counting stretches, within each piece of input first.  A stretch is
+   told apart by the gram's hash and a 128-bit BLAKE2 digest of its bytes.
 3. Anchors that share the gram but not the stretch lie at the edges of repeats.
    One of each kind brings its surroundings, and a suffix sort of each gram's
    group finds the common extensions to the right and, reversed, to the left.
@@ -15,6 +16,10 @@ of windows that chose it.
    whose runs are merged for all groups at once; extensions of neighbours are
    verified byte by byte.  For every offset, members with the same right and
    left extension hold the same window.
+4. A gram with more members than one task should sort is cut into slices: half of
+   the windows' offsets each, and of those the members that share the bytes which
+   all these windows cover.  Slices that are still large are halved again, at last
+   to one offset, where a slice is a window and its members are counted.
 """
 
 from __future__ import annotations
@@ -46,17 +51,17 @@ GRAM = 50
 PART = 1 << 18
 # Gram hashes that a task holds before it passes them on.
 HELD = 500_000
-# Larger groups of edges are settled by counting their windows instead of sorting.
+# Larger groups of edges are cut into slices before they are sorted.
 MOST = 16_384
 _PLACE = U64((1 << 24) - 1)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, poly: PolyHash, length: int, gram: int) -> tuple:
-    """Anchors of all windows of the texts: text, first and last window, place, gram hash, stretch hash."""
+    """Anchors of all windows of the texts: text, first and last window, place, gram hash."""
     width, n = length - gram + 1, len(data)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none, none.view(U64)
     poly.load(data)
     at = np.arange(n - gram + 1)
     hashes = poly.of(at, at + gram)
@@ -80,7 +85,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, poly: PolyHash, length: int,
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
     at = place[first]
     text = np.searchsorted(offsets, first, "right") - 1
-    return text, first, last, at, hashes[at], poly.of(first, last + length)
+    return text, first, last, at, hashes[at]
+
+
+def _named(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128-bit digests of stretches of bytes, as two numbers each."""
+    view = memoryview(np.ascontiguousarray(data))
+    found = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), stop.tolist())]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -92,7 +104,8 @@ def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _each_anchor(column: pa.Array, poly: PolyHash, length: int, gram: int) -> Iterator[tuple]:
+def _each_anchor(column: pa.Array, poly: PolyHash, length: int, gram: int, named: bool = False) -> Iterator[tuple]:
+    """Anchors of a piece of input, part by part; with ``named`` also the digests of their stretches."""
     data, offsets = text_bytes(column)
     part = max(PART, 4 * length)  # many more windows than one anchor has
     for first, n in _parts(offsets):
@@ -100,9 +113,11 @@ def _each_anchor(column: pa.Array, poly: PolyHash, length: int, gram: int) -> It
         while lo < stop:
             hi = stop if n > 1 else min(lo + part, stop)
             own = np.clip(offsets[first : first + n + 1], lo, hi) - lo
-            text, begin, end, at, h, stretch = anchors(data[lo:hi], own, poly, length, gram)
+            text, begin, end, at, h = anchors(data[lo:hi], own, poly, length, gram)
             base = lo - offsets[first + text]  # places count from the start of the text
-            found = first + text, begin + base, end + base, at + base, h, stretch
+            found = first + text, begin + base, end + base, at + base, h
+            if named:
+                found = *found, _named(data[lo:hi], begin, end + length)
             if hi == stop:
                 yield found
                 break
@@ -135,7 +150,7 @@ def _repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
         poly, held, size = PolyHash(), [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                for *_, h, _ in _each_anchor(batch.column("text").slice(lo, 256), poly, length, gram):
+                for *_, h in _each_anchor(batch.column("text").slice(lo, 256), poly, length, gram):
                     held.append(h)
                     size += len(h)
                 if size > HELD:
@@ -156,23 +171,26 @@ def _repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Anchors and spans that are settled where they are found.
 
-    An anchor is (h, stretch, n, _row, packed): ``packed`` holds first window,
-    steps to the anchor and to the last window; ``n`` how many equal ones the
-    piece of input had, of which this is the first.  Those are repeats already:
-    what they cover follows as rows with ``settled``, from ``packed`` to
-    ``stretch``, merged, under numbers that spread them.  A line that fills half
+    An anchor is (h, s1, s2, n, _row, packed): ``s1`` and ``s2`` name its stretch,
+    ``packed`` holds first window, steps to the anchor and to the last window;
+    ``n`` how many equal ones the piece of input had, of which this is the first.
+    Those are repeats already: what they cover follows as rows with ``settled``,
+    from ``packed`` to ``s1``, merged, under numbers that spread them.  A line that fills half
     a text becomes one span and one anchor before anything is shuffled.
     """
 
     def work(batch: pa.RecordBatch, poly: PolyHash) -> dict:
-        parts = list(_each_anchor(batch.column("text"), poly, length, gram))
+        parts = list(_each_anchor(batch.column("text"), poly, length, gram, named=True))
         if not parts:
-            return {name: [] for name in ("h", "stretch", "n", "_row", "packed", "settled")}
+            return {name: [] for name in ("h", "s1", "s2", "n", "_row", "packed", "settled")}
         text, begin, end, at, h, stretch = (np.concatenate(x) for x in zip(*parts))
+        s1, s2 = stretch.T
         row = batch.column("_row").to_numpy()[text]
         packed = begin << 16 | (at - begin) << 8 | (end - begin)
-        order = np.lexsort((stretch, h))
-        same = (h[order][1:] == h[order][:-1]) & (stretch[order][1:] == stretch[order][:-1])
+        order = np.lexsort((s2, s1, h))
+        same = np.ones(max(0, len(order) - 1), bool)
+        for key in (h, s1, s2):
+            same &= key[order][1:] == key[order][:-1]
         starts = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[starts, len(order)])
         first = order[starts]  # the sort is stable: the earliest of its kind
@@ -187,14 +205,15 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         zeros = np.zeros(len(low), np.int64)
         return {
             "h": np.r_[h[first].view(np.int64), spread],
-            "stretch": np.r_[stretch[first].view(np.int64), high],
+            "s1": np.r_[s1[first], high],
+            "s2": np.r_[s2[first], zeros],
             "n": np.r_[counts, zeros],
             "_row": np.r_[row[first], own],
             "packed": np.r_[packed[first], low],
             "settled": np.r_[np.zeros(len(first), bool), np.ones(len(low), bool)],
         }
 
-    schema = "h long, stretch long, n long, _row long, packed long, settled boolean"
+    schema = "h long, s1 long, s2 long, n long, _row long, packed long, settled boolean"
     return map_batches(docs.select("_row", "text"), work, schema, PolyHash)
 
 
@@ -342,11 +361,11 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sorted_edges(edges: DataFrame, length: int, gram: int) -> DataFrame:
-    """Repeated spans around single members of the groups of equal ``h``."""
+    """Repeated spans around single members of the groups of equal ``slice``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_runs(batches, "h", 4096):
-            starts = run_starts(whole.column("h").to_numpy())
+        for whole in whole_runs(batches, "slice", 4096):
+            starts = run_starts(whole.column("slice").to_numpy())
             left, right = whole.column("left").to_pylist(), whole.column("right").to_pylist()
             flags = repeated_windows(starts, left, right, length, gram)
             flags[whole.column("n").to_numpy() > 1] = False  # settled already
@@ -356,35 +375,48 @@ def _sorted_edges(edges: DataFrame, length: int, gram: int) -> DataFrame:
                 {"_row": pa.array(rows), "start": pa.array(at - high), "end": pa.array(at - low + length)}
             )
 
-    work = edges.repartition("h").sortWithinPartitions("h")
+    work = edges.repartition("slice").sortWithinPartitions("slice")
     return work.mapInArrow(run, "_row long, start long, end long")
 
 
-def _counted_edges(edges: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for groups of any size, by counting windows, named by two hashes."""
+def _sliced(edges: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges whose groups, by ``slice``, are of a size to sort, and spans that slicing has settled.
 
-    def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"w1": [], "w2": [], "_row": [], "start": []}
-        polys = PolyHash(5), PolyHash(6)
-        columns = (batch.column(c).to_pylist() for c in ("left", "right", "at", "_row"))
-        for left, right, at, row in zip(*columns):
-            data = np.frombuffer(left[::-1] + right, np.uint8)
-            begin = np.arange(max(0, len(data) - length + 1))
-            begin = begin[begin <= len(left)]
-            for name, poly in zip(("w1", "w2"), polys):
-                hashes = poly.load(data).of(begin, begin + length).view(np.int64)
-                out[name].append(hashes)
-            out["_row"].append(np.full(len(begin), row))
-            out["start"].append(begin + at - len(left))
-        return {name: np.concatenate([np.zeros(0, np.int64), *parts]) for name, parts in out.items()}
-
-    windows = map_batches(edges, work, "w1 long, w2 long, _row long, start long")
-    # Surroundings of neighbouring places overlap: a window counts once for each place in a text.
-    place = F.xxhash64("_row", "start")
-    twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    twice = twice.filter("low <> high").select("w1", "w2")
-    found = windows.join(twice, ["w1", "w2"], "left_semi")
-    return found.select("_row", "start", (F.col("start") + length).alias("end"))
+    A slice is a range of offsets, and members that share the bytes which all
+    windows of the range cover; members elsewhere hold none of these windows.
+    Members that share the bytes which any window of the range covers are settled
+    as one, and one of them goes on.
+    """
+    names = ["slice", "n", "_row", "at", "left", "right"]
+    ready, spans = edges.filter("not big").select(names), None
+    rest = edges.filter("big").selectExpr(*names, "0 as lo", f"{length - gram + 1} as hi")
+    for _ in range((length - gram).bit_length()):
+        if rest.isEmpty():
+            return ready, spans
+        middle = "cast((lo + hi) div 2 as int)"
+        halves = rest.selectExpr(*names, f"explode(array(struct(lo, {middle} as hi), struct({middle} as lo, hi))) as half")
+        # The offsets of the range at which a member has a window: its text may begin or end too near.
+        low, high = f"greatest(lo, {length} - octet_length(right))", "least(hi - 1, octet_length(left))"
+        cut = halves.select(*names, "half.*").filter(f"{low} <= {high}")
+        core = f"substring(left, 1, lo), substring(right, 1, {length + 1} - hi)"
+        cut = cut.selectExpr(
+            f"xxhash64(slice, lo, hi, {core}) as slice",
+            *("lo", "hi", "n", "_row", "at", "substring(left, 1, hi - 1) as left", f"substring(right, 1, {length} - lo) as right"),
+        )
+        cut = staged(cut, "slices")
+        same = ["slice", "lo", "hi", "left", "right"]
+        member = F.min(F.struct("_row", "at")).alias("one")
+        kinds = cut.groupBy(same).agg(F.sum("n").alias("n"), F.count("*").alias("copies"), member)
+        kinds = staged(kinds, "slice-kinds")
+        whole = cut.join(kinds.filter("copies > 1").select(same), same, "left_semi")
+        whole = whole.selectExpr("_row", f"at - {high} as start", f"at - {low} + {length} as end")
+        spans = whole if spans is None else spans.unionByName(whole)
+        sizes = kinds.groupBy("slice").agg(F.count("*").alias("members")).filter("members > 1")
+        members = kinds.join(staged(sizes, "slice-sizes"), "slice").select("*", "one.*")
+        ready = ready.unionByName(members.filter(F.col("members") <= most).select(names))
+        rest = members.filter(F.col("members") > most).select(*names, "lo", "hi")
+    # Slices of one offset hold one window each, unless hashes collided: the sort tells them apart.
+    return ready.unionByName(rest.select(names)), spans
 
 
 # The operator -------------------------------------------------------------------------
@@ -435,19 +467,22 @@ def repeated_spans(docs: DataFrame, length: int, gram: int = GRAM, most: int = M
     grams = staged(_repeated_grams(docs, length, gram), "grams").withColumn("_again", F.lit(True))
     found = _anchor_rows(docs, length, gram).join(grams, "h", "left").filter("settled or _again")
     found = staged(found.drop("_again"), "anchors")
-    settled = found.filter("settled").select("_row", F.col("packed").alias("start"), F.col("stretch").alias("end"))
+    settled = found.filter("settled").select("_row", F.col("packed").alias("start"), F.col("s1").alias("end"))
     rows = found.filter("not settled")
-    kinds = rows.groupBy("h", "stretch").agg(F.sum("n").alias("n"), F.min(F.struct("_row", "packed")).alias("one"))
+    name = ["h", "s1", "s2"]
+    kinds = rows.groupBy(name).agg(F.sum("n").alias("n"), F.min(F.struct("_row", "packed")).alias("one"))
     kinds = staged(kinds, "stretches")
-    again = rows.join(kinds.filter("n > 1").select("h", "stretch"), ["h", "stretch"], "left_semi")
+    again = rows.join(kinds.filter("n > 1").select(name), name, "left_semi")
     whole = again.select("_row", *_span(F.col("packed"), length))
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    # Stored, so that the kinds of a frequent gram can be split among tasks.
+    groups = staged(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "groups")
     wanted = kinds.join(groups, "h").select(
         "h", "n", F.col("one._row").alias("_row"), _at(F.col("one.packed")).alias("at"), (F.col("kinds") > most).alias("big")
     )
-    edges = staged(_contexts(docs, wanted, length, gram), "edges")
-    spans = settled.unionByName(whole).unionByName(_sorted_edges(edges.filter("not big"), length, gram))
-    return spans.unionByName(_counted_edges(edges.filter("big"), length, gram))
+    edges = staged(_contexts(docs, wanted, length, gram), "edges").withColumnRenamed("h", "slice")
+    ready, sliced = _sliced(edges, length, gram, most)
+    spans = settled.unionByName(whole).unionByName(_sorted_edges(ready, length, gram))
+    return spans if sliced is None else spans.unionByName(sliced)
 
 
 def _cut(docs: DataFrame, length: int, finish: Callable, schema: str | StructType) -> DataFrame:

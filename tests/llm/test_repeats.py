@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from evalsweep.llm import repeats
-from evalsweep.llm.common import PolyHash, run_starts
+from evalsweep.llm.common import PolyHash, mixed, run_starts
 
 
 def by_brute_force(rows, length):
@@ -53,13 +53,36 @@ def test_spans_equal_brute_force(spark, rng, length):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, length)
 
 
-def test_large_groups_are_counted_with_the_same_result(spark, rng, monkeypatch):
+@pytest.mark.parametrize("most", [1, 7])
+def test_slices_of_large_groups_have_the_same_result(spark, rng, most):
     rows = made(rng)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     whole = repeats._with_row(df)
     by_sort = {tuple(r) for r in _covered(repeats.repeated_spans(whole, 200).collect())}
-    by_count = {tuple(r) for r in _covered(repeats.repeated_spans(whole, 200, most=1).collect())}
-    assert by_sort == by_count
+    by_slices = {tuple(r) for r in _covered(repeats.repeated_spans(whole, 200, most=most).collect())}
+    assert by_sort == by_slices
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_slices_equal_brute_force_at_text_ends(spark, rng, monkeypatch, most):
+    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (repeats.GRAM, most))
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = []
+    for i in range(120):  # the passage from anywhere to anywhere, alone or between other bytes
+        a, b = rng.randint(0, 199), rng.randint(200, 400)
+        before, after = ("".join(rng.choice("xyz ") for _ in range(rng.choice([0, 3, 90, 300]))) for _ in range(2))
+        rows.append((i, before + passage[a:b] + after))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+@pytest.mark.parametrize("most", [5, repeats.MOST])
+def test_colliding_gram_hashes_change_no_result(spark, rng, monkeypatch, most):
+    of = PolyHash.of
+    monkeypatch.setattr(PolyHash, "of", lambda self, a, b: mixed(of(self, a, b) % np.uint64(97)))
+    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (repeats.GRAM, most))
+    rows = made(rng, 30)
+    rows += [(100 + i, "".join(rng.choice("abcdefgh ") for _ in range(700))) for i in range(10)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
 def _covered(spans):
@@ -90,7 +113,7 @@ def test_long_texts_are_read_in_parts(rng, monkeypatch):
         """The anchor's gram hash and place of every window."""
         monkeypatch.setattr(repeats, "PART", part)
         out = {}
-        for text, begin, end, at, h, _ in repeats._each_anchor(column, PolyHash(), 200, 50):
+        for text, begin, end, at, h in repeats._each_anchor(column, PolyHash(), 200, 50):
             for row in zip(text.tolist(), begin.tolist(), end.tolist(), at.tolist(), h.tolist()):
                 for s in range(row[1], row[2] + 1):
                     assert (row[0], s) not in out
@@ -107,8 +130,8 @@ def test_parts_have_the_anchors_of_the_whole_text(rng, monkeypatch):
 
     def found(part):
         monkeypatch.setattr(repeats, "PART", part)
-        rows = repeats._each_anchor(column, PolyHash(), 200, 50)
-        return sorted(row for columns in rows for row in zip(*(x.tolist() for x in columns)))
+        rows = repeats._each_anchor(column, PolyHash(), 200, 50, named=True)
+        return sorted(tuple(map(str, row)) for columns in rows for row in zip(*(x.tolist() for x in columns)))
 
     whole = found(1 << 20)
     assert found(3000) == found(801) == found(10) == whole
