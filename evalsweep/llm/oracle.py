@@ -1,6 +1,33 @@
 """DuckDB SQL of those queries that SQL can express."""
 
 ORACLE_SQL = {
+    "op5_near_texts": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+    FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+    FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common >= 85 * (x.n + y.n - common)
+), components(id, least) USING KEY (id) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT b, min(c.least) FROM components c JOIN links ON c.id = a JOIN recurring.components r ON r.id = b
+    GROUP BY b HAVING min(c.least) < min(r.least)
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least AS component_id, doc_id = least AS kept
+FROM documents JOIN components ON id = doc_id LEFT JOIN sizes USING (doc_id)
+""",
     "op7_top_k": r"""
 WITH whole AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -16,6 +43,34 @@ WITH whole AS (
     FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op8_repeats": r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS data FROM documents
+), sized AS (
+    SELECT *, octet_length(data) AS n_bytes FROM texts
+), windows AS (
+    SELECT r, place, md5(array_slice(data, place + 1, place + 200)) AS name
+    FROM (SELECT r, data, unnest(range(n_bytes - 199)) AS place FROM sized)
+), repeated AS (
+    SELECT r, place FROM windows SEMI JOIN (SELECT name FROM windows GROUP BY name HAVING count(*) > 1) USING (name)
+), stepped AS (
+    SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY r ORDER BY place) + 200 THEN 0 ELSE 1 END AS fresh FROM repeated
+), runs AS (
+    SELECT r, min(place) AS low, max(place) + 200 AS high
+    FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY place) AS run FROM stepped) GROUP BY r, run
+), removed AS (
+    SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+), gaps AS (  -- what stands before each run, and after the last
+    SELECT r, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS low, low AS high FROM runs
+    UNION ALL SELECT r, coalesce(max(high), 0), any_value(n_bytes) FROM sized LEFT JOIN runs USING (r) GROUP BY r
+), kept AS (
+    SELECT r, string_agg(hex(array_slice(data, low + 1, high)), '' ORDER BY low) AS digits
+    FROM gaps JOIN sized USING (r) WHERE low < high GROUP BY r
+)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(digits, ''))) AS kept_sha256
+FROM sized LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
 """,
     "op9_url_filter": r"""
 WITH split AS (
@@ -45,6 +100,28 @@ SELECT page_id, host, path, rule, CASE
     WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM judged
+""",
+    "op10_near_vectors": r"""
+WITH RECURSIVE whole AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), unit AS (
+    SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS length FROM whole
+), links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b
+    FROM unit x JOIN unit y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    WHERE x.length > 0 AND y.length > 0
+      AND list_sum(list_transform(list_zip(x.v, y.v), lambda p: p[1] * p[2])) / (x.length * y.length) >= 0.98
+), components(id, least) USING KEY (id) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION
+    SELECT b, min(c.least) FROM components c JOIN links ON c.id = a JOIN recurring.components r ON r.id = b
+    GROUP BY b HAVING min(c.least) < min(r.least)
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least AS component_id, vec_id = least AS kept
+FROM embeddings JOIN components ON id = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id
 """,
     "op11_periodic_runs": r"""
 WITH bits AS (
