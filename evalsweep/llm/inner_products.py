@@ -177,6 +177,18 @@ def search_block(
     return held[0]
 
 
+def block_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(dim, q_block, c_block, top)`` of the blocks that have to meet.
+
+    ``queries`` holds dim, q_block and ``need``, the length from which on a candidate
+    can reach the query's floor; ``top`` is the greatest length of a block.  One
+    number per block of either kind takes part.
+    """
+    needs = queries.groupBy("dim", "q_block").agg(F.min("need").alias("least"))
+    tops = candidates.groupBy("dim", "c_block").agg(F.max(F.sqrt("norm2")).alias("top"))
+    return needs.join(tops, "dim").filter("top >= least").drop("least")
+
+
 def top_k(
     vectors: DataFrame,
     id_column: str,
@@ -186,6 +198,7 @@ def top_k(
     scale: int = 256,
     query_block: int = 16384,
     block: int = 65536,
+    block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k highest integer products.
 
@@ -195,14 +208,18 @@ def top_k(
     no part.  Rows that repeat an id and vector count once; of an id with several
     vectors each is a candidate and, among queries, has ranks of its own.  Other
     columns are left out; an empty table, or one without queries, gives no rows.
+    Blocks hold at most ``block`` candidates or ``query_block`` queries, and about
+    ``block_bytes`` bytes of vectors; sizes change no result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
     rows = staged(integer_vectors(rows, scale).dropDuplicates(["id", "v"]), "vectors")
     query = is_query(F.col("id"))
-    n, n_queries = rows.agg(F.count("*"), F.count_if(query)).first()
+    n, n_queries, widest = rows.agg(F.count("*"), F.count_if(query), F.max("dim")).first()
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    fit = max(1, block_bytes // (8 * widest))
+    block, query_block = min(block, fit), min(query_block, fit)
     # Blocks by descending length; small tables still get some for every core.
     n_blocks = max(-(-n // block), min(2 * spark.sparkContext.defaultParallelism, -(-n // 2048)))
     ranged = rows.repartitionByRange(n_blocks, F.col("norm2").desc(), F.xxhash64("id", "v"))
@@ -212,6 +229,7 @@ def top_k(
     spins = rotations(rows)
     queries = rows.filter(query).select(
         "dim",
+        "norm2",
         F.xxhash64("id", "v").alias("q_no"),
         F.col("id").alias("q_id"),
         "v",
@@ -229,26 +247,37 @@ def top_k(
         at, ids, scores = search_block(q_ids, q_rows, floor, c_ids, c_rows, spins[c_rows.shape[1]], k)
         return pd.DataFrame({"q_no": q["q_no"].to_numpy()[at], "q_id": q_ids[at], "id": ids, "score": scores})
 
-    def met(with_floor: DataFrame, first: int, last: int) -> DataFrame:
-        """Best pairs of every query with the candidates of some blocks."""
-        every_c = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("c_block")
-        every_q = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block")
-        left = with_floor.select("*", every_c).groupBy(*keys)
-        right = candidates.filter(F.col("c_block").between(first, last)).select("*", every_q)
+    def met(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Best pairs of every query with the candidates of the blocks that its own block meets."""
+        left = asked.join(pairs, ["dim", "q_block"]).filter("top >= need").select(*keys, "q_no", "q_id", "v", "floor")
+        right = candidates.join(pairs, ["dim", "c_block"]).select(*keys, "id", "v")
+        # Names of their own: both sides come from the same stored pairs.
+        other = ["dim_", "q_block_", "c_block_"]
+        right = right.toDF(*other, "id", "v")
         schema = "q_no long, q_id long, id long, score long"
-        return left.cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
+        return left.groupBy(*keys).cogroup(right.groupBy(*other)).applyInPandas(work, schema)
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("q_no").orderBy(F.col("score").desc(), "id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     # The longest candidates come first: their k-th scores are floors for all other blocks.
-    lead = staged(best(met(queries.withColumn("floor", F.lit(float("-inf"))), 0, 0)), "lead")
+    low = F.lit(float("-inf"))
+    first, others = candidates.filter("c_block = 0"), candidates.filter("c_block > 0")
+    asked = queries.withColumn("floor", low).withColumn("need", low)
+    lead = staged(best(met(asked, staged(block_pairs(asked, first), "block-pairs"))), "lead")
     found = lead
     if n_blocks > 1:
         floors = lead.filter(F.col("rank") == k).select("q_no", F.col("score").cast("double").alias("floor"))
-        with_floor = queries.join(floors, "q_no", "left").na.fill(float("-inf"), ["floor"])
-        found = best(lead.drop("rank").unionByName(met(with_floor, 1, n_blocks - 1)))
+        asked = queries.drop("q_block").join(floors, "q_no", "left").na.fill(float("-inf"), ["floor"])
+        # A little less than floor / length, since both are rounded.
+        bounded = (F.col("norm2") > 0) & (F.col("norm2") < float("inf"))
+        need = F.when(bounded, (F.col("floor") - 1) / F.sqrt("norm2") * (1 - 1e-9)).otherwise(low)
+        # Queries that need equal lengths stand in one block, so that the others need not meet short candidates.
+        asked = asked.withColumn("need", need).repartitionByRange(q_blocks, "need", "q_no")
+        asked = staged(asked.withColumn("q_block", F.spark_partition_id()), "queries")
+        pairs = staged(block_pairs(asked, others), "block-pairs")
+        found = best(lead.drop("rank").unionByName(met(asked, pairs)))
     return found.select(
         F.col("q_id").alias("query_id"), F.col("rank"), F.col("id").alias("vec_id"), F.col("score")
     )

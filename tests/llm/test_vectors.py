@@ -54,6 +54,36 @@ def test_top_k_equals_brute_force(vectors, block):
     assert sorted(map(tuple, found.collect())) == searched(rows, 5)
 
 
+@pytest.mark.parametrize("signs, share", [(False, 4), (True, 1)])  # a floor below zero has to meet every block
+def test_only_blocks_that_can_hold_winners_meet(spark, monkeypatch, signs, share):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):  # lengths fall quickly
+        x = rng.normal(size=8)
+        x *= 50 * 0.985**i / np.linalg.norm(x)
+        rows.append((i, [float(v) for v in (x if signs and i % 3 == 0 else np.abs(x))]))
+    counted, block_pairs = [], inner_products.block_pairs
+
+    def counting(queries, candidates):
+        pairs = block_pairs(queries, candidates)
+        blocks = candidates.select("c_block").distinct().count() * queries.select("q_block").distinct().count()
+        counted.append((pairs.count(), blocks))
+        return pairs
+
+    monkeypatch.setattr(inner_products, "block_pairs", counting)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = inner_products.top_k(df, "vec_id", "embedding", lambda i: i % 50 == 0, block=20, query_block=2)
+    assert sorted(map(tuple, found.collect())) == searched(rows, 5)
+    (_, all_first), (met, every) = counted
+    assert all_first and met < every / share, counted
+
+
+def test_blocks_are_bounded_in_bytes(vectors):
+    df, rows = vectors
+    found = inner_products.top_k(df, "vec_id", "embedding", lambda i: i % 50 == 0, block_bytes=1024)
+    assert sorted(map(tuple, found.collect())) == searched(rows, 5)
+
+
 def test_top_k_of_few_none_and_huge(spark):
     def run(rows):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
