@@ -313,9 +313,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     crowded = filed.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
     filed = filed.join(crowded.filter("pivot <> last"), "bucket").select("bucket", "doc_id", "pivot")
     filed = staged(filed, "buckets")
+    # Stored, as are the pairs below: joins of stored tables let Spark split the rows of a pivot.
+    standing = staged(standing.join(filed.select("doc_id").distinct(), "doc_id", "left_semi"), "standing")
     texts = rows.filter("doc_id is not null")
 
     stars = filed.filter("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
+    stars = staged(stars, "stars")
     linked = staged(_confirmed(_likely(stars, standing, plan), texts, plan), "links")
     tied = connected(linked)
     placed = filed.join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
