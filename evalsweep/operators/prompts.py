@@ -20,6 +20,8 @@ from evalsweep.operators.rules import Rule
 QUESTION_KEYS = ("question", "text", "input", "prompt")
 ANSWER_KEYS = ("answer", "label", "output", "target")
 CHOICE_KEYS = ("alternatives", "choices")
+# Options whose letters are looked up; those of later ones are computed.
+KNOWN_LABELS = 1024
 # ------------------------------------------------------------------------
 
 # Own wording; pass other texts to reproduce the prompts of an existing run.
@@ -102,8 +104,15 @@ def _label(position: Column) -> Column:
     return F.when(point < 256, F.char(point)).otherwise(wide)
 
 
-def _lettered(items: Column) -> Column:
-    return F.transform(items, lambda item, i: F.concat(F.lit("  "), _label(i), F.lit(". "), item))
+def _lettered_lines(items: Column, inner: T.DataType) -> Column:
+    """Lines of a list, lettered; what stands before the first options is a constant list, looked up."""
+    heads = F.split(F.lit("\n".join(f"  {chr(65 + i)}. " for i in range(KNOWN_LABELS))), "\n")
+
+    def line(item: Column, i: Column) -> Column:
+        later = F.concat(F.lit("  "), _label(i), F.lit(". "))
+        return F.concat(F.when(i < KNOWN_LABELS, F.get(heads, i)).otherwise(later), plain_text(item, inner))
+
+    return F.array_join(F.transform(items, line), "\n")
 
 
 def _option_lines(pairs: Column) -> Column:
@@ -137,7 +146,7 @@ def format_options(choices: Column, dtype: T.DataType) -> Column:
     lettered.  Any other layout prints no options.
     """
     if isinstance(dtype, T.ArrayType):
-        return F.array_join(_lettered(_texts(choices, dtype.elementType)), "\n")
+        return _lettered_lines(choices, dtype.elementType)
     if isinstance(dtype, T.MapType):
         if isinstance(dtype.valueType, T.StringType):
             pairs = F.transform(
@@ -149,10 +158,9 @@ def format_options(choices: Column, dtype: T.DataType) -> Column:
         if not isinstance(dtype.valueType, T.ArrayType):
             return F.lit("")
         inner = dtype.valueType.elementType
-        texts, labels = [
-            _texts(F.try_element_at(choices, F.lit(key)), inner) for key in ("text", "label")
-        ]
-        lettered = F.array_join(_lettered(texts), "\n")
+        listed = F.try_element_at(choices, F.lit("text"))
+        texts, labels = _texts(listed, inner), _texts(F.try_element_at(choices, F.lit("label")), inner)
+        lettered = _lettered_lines(listed, inner)
         return F.coalesce(
             F.when(F.map_contains_key(choices, "label"), _zipped_lines(texts, labels)).otherwise(lettered),
             F.lit(""),
@@ -166,9 +174,9 @@ def format_options(choices: Column, dtype: T.DataType) -> Column:
         return F.when(complete, _option_lines(pairs)).otherwise(F.lit(""))
     if not isinstance(fields.get("text"), T.ArrayType):
         return F.lit("")
-    texts = _texts(choices["text"], fields["text"].elementType)
     if not isinstance(fields.get("label"), T.ArrayType):
-        return F.array_join(_lettered(texts), "\n")
+        return _lettered_lines(choices["text"], fields["text"].elementType)
+    texts = _texts(choices["text"], fields["text"].elementType)
     return _zipped_lines(texts, _texts(choices["label"], fields["label"].elementType))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evalsweep.operators.grid import cell_samples, grid_cells
 from evalsweep.operators.prompts import build_samples
 from evalsweep.operators.score import score_samples
-from evalsweep.operators.sizing import spread
+from evalsweep.operators.sizing import dealt, spread
 
 EXPERIMENT = "Tier One"
 RUN_TS = "20240131T120000Z"
@@ -67,7 +67,7 @@ def grid(spark: SparkSession) -> DataFrame:
 def qa_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One multiple-choice question per part."""
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(
         key.alias("sample_idx"),
         F.concat(F.lit("  "), F.col("p_name"), F.lit(" [[placeholder]]? ")).alias("question"),
         F.array(
@@ -87,7 +87,7 @@ def samples_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of all cells to all parts; cells 3, 6, 11 and 14 have failures."""
-    parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("sample_idx"))
+    parts = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_idx")))
     rows = cell_samples(parts, grid(spark).select("cell_idx"))
     sample, cell = F.col("sample_idx"), F.col("cell_idx")
     form = ((sample * 7 + cell * 3) % 11).cast("int")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalsweep.operators import prompts
+from evalsweep.plans.queries import QUERIES
 
 
 def only(df, column):
@@ -101,3 +102,19 @@ def test_prompts_of_mixed_choice_columns(spark):
 def test_chat_messages(spark):
     got = spark.range(1).select(prompts.chat_messages(F.lit("hi"))).first()[0]
     assert [m.asDict() for m in got] == [{"role": "user", "content": "hi"}]
+
+
+def test_letters_go_on_past_those_that_are_looked_up(spark):
+    n = prompts.KNOWN_LABELS + 3
+    lines = options(spark, "array<string>", [str(i) for i in range(n)]).split("\n")
+    # Some of the code points end a line for splitlines, none for split.
+    assert lines == [f"  {chr(65 + i)}. {i}" for i in range(n)]
+
+
+def test_options_of_one_file_are_made_by_all_cores(spark, sf_dir):
+    """A narrow table is one split, whose rows one task would make long texts of."""
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("format_options", "first_choices"):
+        made = QUERIES[name](spark, sf_dir).select("sample_idx", F.spark_partition_id().alias("at"))
+        assert made.select("at").distinct().count() >= cores
+        assert made.count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
