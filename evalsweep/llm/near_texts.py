@@ -181,11 +181,9 @@ def _similar(a: np.ndarray, b: np.ndarray, plan: Plan) -> bool:
     return 100 * same >= plan.percent * (len(a) + len(b) - same)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Those of the ``(u, v)`` pairs whose full sets reach the threshold."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Those of the ``(u, v)`` pairs whose full sets reach the threshold; a pair of repeated ids may come twice."""
     pairs = staged(pairs, "pairs")
-    ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
-    sets = _sets(docs, ends, plan)
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(a, "u").join(b, "v")
@@ -195,7 +193,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
         linked = [_similar(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), plan) for a, b in columns]
         return {"u": batch.column("u"), "v": batch.column("v"), "linked": linked}
 
-    return map_batches(both, compare, "u long, v long, linked boolean").filter("linked").select("u", "v").distinct()
+    return map_batches(both, compare, "u long, v long, linked boolean").filter("linked").select("u", "v")
 
 
 def _likely(pairs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
@@ -233,8 +231,8 @@ def _partners(whole: pa.Table, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
                 yield i, j
 
 
-def _across(filed: DataFrame, standing: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Links between components that meet in a bucket, as ``(u, v)`` rows.
+def _across(filed: DataFrame, standing: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Links between components that meet in a bucket, as ``(u, v)`` rows; some come twice.
 
     ``filed`` holds (bucket, doc_id, component).  A bucket whose members are all
     in one component has nothing left to find.  Of the others each member is put
@@ -287,9 +285,8 @@ def _across(filed: DataFrame, standing: DataFrame, docs: DataFrame, plan: Plan)
             tied = root != np.arange(len(nodes))
             yield pa.RecordBatch.from_pydict({"u": pa.array(nodes[tied]), "v": pa.array(nodes[root[tied]])})
 
-    sets = _sets(docs, hits.select("doc_id"), plan)
     again = hits.join(signed, "doc_id").join(sets, "doc_id").repartition("part").sortWithinPartitions("part")
-    return again.mapInArrow(links, "u long, v long").distinct()
+    return again.mapInArrow(links, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -313,18 +310,19 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     crowded = filed.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
     filed = filed.join(crowded.filter("pivot <> last"), "bucket").select("bucket", "doc_id", "pivot")
     filed = staged(filed, "buckets")
-    # Stored, as are the pairs below: joins of stored tables let Spark split the rows of a pivot.
+    # Stored, as are their sets, which both comparisons below read, and the likely pairs: joins of
+    # stored tables let Spark split the rows of a pivot.
     standing = staged(standing.join(filed.select("doc_id").distinct(), "doc_id", "left_semi"), "standing")
-    texts = rows.filter("doc_id is not null")
+    sets = _sets(rows.filter("doc_id is not null"), standing.select("doc_id"), plan)
 
     stars = filed.filter("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
-    stars = staged(stars, "stars")
-    linked = staged(_confirmed(_likely(stars, standing, plan), texts, plan), "links")
-    tied = connected(linked)
+    tied = connected(_confirmed(_likely(stars, standing, plan), sets, plan))
     placed = filed.join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
-    tied = connected(linked.unionByName(_across(placed, standing, texts, plan)))
+    # The links found so far are stars by now: what no link across touches is settled.
+    ties = tied.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    tied = connected(ties.unionByName(_across(placed, standing, sets, plan)))
 
     of_class = classes.join(tied.withColumnRenamed("node", "first"), "first", "left").select(
         "name1", "name2", "n_shingles", F.coalesce("component", "first").alias("component")

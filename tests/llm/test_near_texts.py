@@ -119,3 +119,30 @@ def test_components_equal_union_find(spark, rng):
 
 def test_no_edges(spark):
     assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_stars_are_not_dealt_again(spark, monkeypatch):
+    """Edges that tie every node to the least of its component need no round, others no round to confirm them."""
+    rounds = []
+    small_star = components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda edges: rounds.append(1) or small_star(edges))
+    stars = [(i, 0) for i in range(1, 9)] + [(i, 100) for i in range(101, 105)]
+    found = components.connected(spark.createDataFrame(stars, "u long, v long")).collect()
+    assert sorted(map(tuple, found)) == sorted([*stars, (0, 0), (100, 100)]) and not rounds
+    found = components.connected(spark.createDataFrame([*stars, (100, 1)], "u long, v long")).collect()
+    assert {r["component"] for r in found} == {0} and len(found) == 14 and len(rounds) <= 2
+
+
+def test_texts_are_hashed_once_for_both_comparisons(spark, rng, monkeypatch):
+    made = []
+    sets = near_texts._sets
+    monkeypatch.setattr(near_texts, "_sets", lambda *given: made.append(1) or sets(*given))
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for _ in range(rng.randint(0, 6)):
+            text[rng.randrange(150)] = f"x{rng.randint(0, 999)}"
+        rows.append((i, " ".join(text)))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert len(made) == 1
