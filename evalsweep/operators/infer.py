@@ -12,6 +12,7 @@ from functools import reduce
 from time import perf_counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
@@ -92,36 +93,59 @@ def _failed_late(batch: pa.RecordBatch, failure: dict | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _one_call(engine: Engine, prompts: list[str], budgets: list[int]) -> list[dict]:
+# Answers that go back to Spark together: a step of the model is far smaller.
+_TOGETHER_ROWS, _TOGETHER_BYTES = 4096, 4 << 20
+
+
+def _together(steps: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of many small batches in few, in the same order."""
+    waiting, n_rows, n_bytes = [], 0, 0
+    for step in steps:
+        waiting.append(step)
+        n_rows, n_bytes = n_rows + step.num_rows, n_bytes + step.nbytes
+        if n_rows >= _TOGETHER_ROWS or n_bytes >= _TOGETHER_BYTES:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, n_rows, n_bytes = [], 0, 0
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
+def _one_call(engine: Engine, prompts: list[str], budgets: list[int]) -> dict[str, list]:
+    """Columns of the answers; those that are left out are null."""
     started = perf_counter()
     answers = list(engine(prompts, budgets))
     elapsed = perf_counter() - started
     if len(answers) != len(prompts):
         raise ValueError(f"model gave {len(answers)} answers for {len(prompts)} prompts")
-    rows = []
-    for answer in answers:
-        answer = answer if isinstance(answer, dict) else {"text": answer}
-        text = (answer.get("text") or "").strip()
-        tokens = answer.get("n_tokens") or max(len(text.split()), 1)
-        rows.append(
-            {
-                "prediction": text,
-                "ttft_s": answer.get("ttft_s"),
-                "total_s": answer.get("total_s", elapsed / len(prompts)),
-                "n_tokens": tokens,
-            }
-        )
-    return rows
-
-
-def _answers(engine: Engine, prompts: list[str], budgets: list[int]) -> list[dict]:
-    """Answers for a batch; when it fails, all of its prompts are asked again, one by one."""
+    answers = [answer if isinstance(answer, dict) else {"text": answer} for answer in answers]
+    texts = [(answer.get("text") or "").strip() for answer in answers]
+    each = elapsed / len(prompts) if prompts else 0.0
+    return {
+        "prediction": texts,
+        "ttft_s": [answer.get("ttft_s") for answer in answers],
+        "total_s": [answer.get("total_s", each) for answer in answers],
+        "n_tokens": [answer.get("n_tokens") or max(len(text.split()), 1) for answer, text in zip(answers, texts)],
+    }
+
+
+def _answers(engine: Engine, prompts: list[str], budgets: list[int]) -> dict[str, list]:
+    """Answers for a batch, by column; when it fails, all of its prompts are asked again, one by one."""
     try:
         return _one_call(engine, prompts, budgets)
     except Exception as exc:
         if len(prompts) == 1:
-            return [_failure(exc)]
-    return [row for p, b in zip(prompts, budgets) for row in _answers(engine, [p], [b])]
+            return {name: [value] for name, value in _failure(exc).items()}
+    single = [_answers(engine, [p], [b]) for p, b in zip(prompts, budgets)]
+    return {name: [answer.get(name, (None,))[0] for answer in single] for name in _ANSWER_TYPES}
+
+
+def _models(batch: pa.RecordBatch, load_on: Sequence[str]) -> list[tuple]:
+    """The model of each row."""
+    columns = [batch.column(name) for name in load_on]
+    plain = not any(pa.types.is_nested(column.type) for column in columns)
+    if plain and all(pc.count_distinct(column, mode="all").as_py() == 1 for column in columns):
+        return [tuple(column[0].as_py() for column in columns)] * batch.num_rows
+    return list(zip(*[column.to_pylist() for column in columns]))
 
 
 def infer_cells(
@@ -178,7 +202,7 @@ def batch_infer(
     """Run the model over ``(keys, sample_idx, prompt, model_id, options...)`` rows.
 
     Rows stay where they are and are put in cell order within their task, which
-    loads each model that it meets.  ``gather=True`` range-partitions them by
+    loads each model that it meets; one model for all rows needs no order.  ``gather=True`` range-partitions them by
     (keys, sample_idx) first: few model loads per task and a large cell cut over
     many, at the price of moving the prompt of every row; ``infer_cells`` needs
     neither.  ``options`` names the columns that the factory gets, by default all
@@ -194,7 +218,9 @@ def batch_infer(
     if gather:
         tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartitionByRange(tasks, *keys, "sample_idx")
-    rows = rows.sortWithinPartitions(*keys, "sample_idx")
+    settings = options if options is not None else {*rows.columns} - {*keys, "sample_idx", "prompt"}
+    if load_on or settings:  # else one model answers all rows, in any order
+        rows = rows.sortWithinPartitions(*keys, "sample_idx")
     return _infer(rows, factory, keys, options, batch_size, load_on, budget, keep_engines, profile)
 
 
@@ -227,11 +253,14 @@ def _infer(
         return None if keep_engines else _closed(engine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _together(steps(batches))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine, loaded, load_error, held = None, None, None, None
         try:
             for batch in batches:
                 # Rows that share a model are side by side; a step never crosses to another.
-                models = list(zip(*[batch.column(name).to_pylist() for name in load_on])) or [()] * batch.num_rows
+                models = _models(batch, load_on)
                 start = 0
                 while start < len(models):
                     stop = start + 1
@@ -255,7 +284,7 @@ def _infer(
                             load_error = _failure(exc)
                     asked = part.column("prompt").to_pylist()
                     if load_error is not None:
-                        answers = [load_error] * len(asked)
+                        answers = {name: [value] * len(asked) for name, value in load_error.items()}
                     else:
                         answers = _answers(engine, asked, part.column("_budget").to_pylist())
                     if held is not None:
@@ -264,7 +293,7 @@ def _infer(
                         [
                             *[part.column(name) for name in row_key],
                             *[
-                                pa.array([answer.get(name) for answer in answers], kind)
+                                pa.array(answers[name], kind) if name in answers else pa.nulls(len(asked), kind)
                                 for name, kind in _ANSWER_TYPES.items()
                             ],
                         ],
