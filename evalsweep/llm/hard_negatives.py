@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalsweep.llm.common import U64, map_batches, staged
+from evalsweep.llm.common import U64, _arrow_schema, map_batches, staged
 from evalsweep.llm.inner_products import EXACT, LONG, best_of
 
 # Axes and bits of the curve: 60 of 63 bits are used.
 AXES, BITS = 6, 10
+# Sums of products below this are exact in single precision.
+EXACT_SINGLE = float(2**24)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -197,9 +199,44 @@ def blocks_of(rows: DataFrame, axes: dict, block_bytes: int, task_bytes: int = 3
     return staged(ranged.mapInArrow(pack, BLOCK), "negative-blocks")
 
 
-# An anchor with the scores that it looks for: [low, high] per window, at or above the floor.
-WINDOWS = "low array<long>, high array<long>, floor array<long>"
-REQUEST = "block long, chunk int, nos binary, ids binary, labels binary, vectors binary, windows binary"
+REQUEST = "block long, chunk int, dim int, nos binary"
+FOUND = "no long, win int, id long, score long"
+# Pairs of an anchor and a zone, or a row, that a step holds at once.
+PAIRS = 1 << 19
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], work: Callable, schema: str) -> DataFrame:
+    """``work(key, left, right)`` of both sides' rows with equal keys; it yields batches of ``schema``.
+
+    A cogroup takes one table back; here a group can give much more than it holds.
+    """
+    kinds = _arrow_schema(schema)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.struct(*(c for c in df.columns if c not in keys)).alias(name))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[pa.RecordBatch]] = {"left": [], "right": []}
+        for batch in batches:
+            for name, own in held.items():
+                own.append(pa.RecordBatch.from_struct_array(batch.column(name).drop_null()))
+        sides = [pa.Table.from_batches(own) for own in held.values()]
+        if all(own.num_rows for own in sides):
+            for columns in work(tuple(x.as_py() for x in key), *sides):
+                yield pa.RecordBatch.from_pydict(columns, schema=kinds)
+
+    both = side(left, "left").unionByName(side(right, "right"), allowMissingColumns=True)
+    return both.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _lists(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length, one row each."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _windows(a: pa.Table) -> np.ndarray:
+    """What anchors look for: (low / high / floor, anchor, window); scores in [low, high], at or above the floor."""
+    return np.stack([_lists(a.column(c)) for c in ("low", "high", "floor")])
 
 
 def bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +250,7 @@ def bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray
 
 
 def choose(anchors: DataFrame, blocks: DataFrame, axes: dict, same: bool, mode: str, chunks: int, groups: int) -> DataFrame:
-    """Which blocks the anchors of a chunk must read.
+    """Which blocks the anchors of a chunk must read: a row names a block and some of the anchors.
 
     ``mode`` is ``own`` (the block an anchor lies in), ``lead`` (the two blocks
     whose middle scores lie nearest to the top of the windows) or ``all`` (those
@@ -224,57 +261,61 @@ def choose(anchors: DataFrame, blocks: DataFrame, axes: dict, same: bool, mode:
     zones = zones.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     left = anchors.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = zones.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    kinds = pa.schema([("block", pa.int64()), ("chunk", pa.int32())] + [(c, pa.binary()) for c in ("nos", "ids", "labels", "vectors", "windows")])
-
-    def work(key: tuple, a: pa.Table, z: pa.Table) -> pa.Table:
-        if not a.num_rows or not z.num_rows:
-            return kinds.empty_table()
-        dim, chunk = key[0].as_py(), key[1].as_py()
-        v = _matrix(a.column("v"), dim)
-        low = np.stack(z.column("low").to_pylist())
-        high = np.stack(z.column("high").to_pylist())
-        labels, names = a.column("label").to_numpy(), z.column("block").to_numpy()
+
+    def work(key: tuple, a: pa.Table, z: pa.Table) -> Iterator[dict]:
+        dim, chunk, _ = key
+        turn = axes[dim][0]
+        low, high = _lists(z.column("low")), _lists(z.column("high"))
+        names = z.column("block").to_numpy()
         label_low, label_high = z.column("label_low").to_numpy(), z.column("label_high").to_numpy()
-        # (anchor, low / high / floor, window)
-        windows = np.stack([np.array(a.column(c).to_pylist(), np.int64) for c in ("low", "high", "floor")], 1)
-        if same:
-            able = (label_low <= labels[:, None]) & (labels[:, None] <= label_high)
-        else:
-            able = (label_low != labels[:, None]) | (label_high != labels[:, None])
-        x = v @ axes[dim][0]
-        if mode == "own":
-            needed = able & (names == a.column("block").to_numpy()[:, None])
-        elif mode == "lead":
-            middle = x @ ((low + high) / 2).T
-            far = np.where(able, np.abs(middle - windows[:, 1].max(1)[:, None]), np.inf)
-            nearest = np.argsort(far, 1, kind="stable")[:, :2]
-            needed = np.zeros(far.shape, bool)
-            np.put_along_axis(needed, nearest, True, 1)
-            needed &= able
-        else:
-            least, most = bounds(x, low, high)
-            needed = np.zeros(least.shape, bool)
-            for w in range(windows.shape[2]):
-                from_, to = np.maximum(windows[:, 0, w], windows[:, 2, w]), windows[:, 1, w]
-                needed |= (most >= from_[:, None]) & (least <= to[:, None]) & (from_ <= to)[:, None]
-            needed &= able
-        nos, ids = a.column("no").to_numpy(), a.column("id").to_numpy()
-        out: dict[str, list] = {name: [] for name in kinds.names}
-        for b in np.flatnonzero(needed.any(0)).tolist():
-            own = np.flatnonzero(needed[:, b])
-            parts = nos[own], ids[own], labels[own], v[own], windows[own]
-            for name, value in zip(kinds.names, (names[b], chunk, *(p.tobytes() for p in parts))):
-                out[name].append(value)
-        return pa.table(out, schema=kinds)
-
-    keys = ["dim", "chunk", "group"]
-    return staged(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, REQUEST), "negative-requests")
+        step = max(1, PAIRS // len(names))
+        for lo in range(0, a.num_rows, step):
+            part = a.slice(lo, step)
+            labels, windows = part.column("label").to_numpy()[:, None], _windows(part)
+            if same:
+                able = (label_low <= labels) & (labels <= label_high)
+            else:
+                able = (label_low != labels) | (label_high != labels)
+            x = _matrix(part.column("v"), dim) @ turn
+            if mode == "own":
+                needed = able & (names == part.column("block").to_numpy()[:, None])
+            elif mode == "lead":
+                middle = x @ ((low + high) / 2).T
+                far = np.where(able, np.abs(middle - windows[1].max(1)[:, None]), np.inf)
+                nearest = np.argsort(far, 1, kind="stable")[:, :2]
+                needed = np.zeros(far.shape, bool)
+                np.put_along_axis(needed, nearest, True, 1)
+                needed &= able
+            else:
+                least, most = bounds(x, low, high)
+                needed = np.zeros(least.shape, bool)
+                for from_, to, floor in windows.transpose(2, 0, 1):
+                    from_ = np.maximum(from_, floor)
+                    needed |= (most >= from_[:, None]) & (least <= to[:, None]) & (from_ <= to)[:, None]
+                needed &= able
+            nos = part.column("no").to_numpy()
+            asked = np.flatnonzero(needed.any(0))
+            yield {
+                "block": names[asked],
+                "chunk": np.full(len(asked), chunk, np.int32),
+                "dim": np.full(len(asked), dim, np.int32),
+                "nos": [nos[needed[:, b]].tobytes() for b in asked.tolist()],
+            }
+
+    return meet(left, right, ["dim", "chunk", "group"], work, REQUEST)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole-number products of all rows; Python integers where doubles would round, held within 64 bits."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < EXACT:
-        return (a @ b.T).astype(np.int64)
+    """Whole-number products of all rows, in the narrowest floats that hold them and all their sums exactly.
+
+    Python integers where doubles would round, held within 64 bits.
+    """
+    largest = [float(np.abs(x).max(initial=0)) for x in (a, b)]
+    most = largest[0] * largest[1] * a.shape[1]
+    if max(most, *largest) < EXACT_SINGLE:
+        return a.astype(np.float32) @ b.astype(np.float32).T
+    if most < EXACT:
+        return a @ b.T
     whole = [[int(x) for x in row] for row in b.tolist()]
     out = np.empty((len(a), len(b)), np.int64)
     for i, row in enumerate(a.tolist()):
@@ -283,37 +324,70 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def read(requests: DataFrame, blocks: DataFrame, same: bool, n_windows: int, k: int) -> DataFrame:
-    """``(no, win, id, score, rank)``: the k best rows within each window, from the blocks that were asked for."""
-    # Columns of their own: both sides come from the requests.
-    asked = requests.select(F.col("block").alias("block"), F.col("chunk").alias("chunk"))
-    right = blocks.select("block", "dim", "ids", "labels", "vectors").join(asked, "block")
-    kinds = pa.schema([("no", pa.int64()), ("win", pa.int32()), ("id", pa.int64()), ("score", pa.int64())])
-
-    def work(q: pa.Table, c: pa.Table) -> pa.Table:
-        found = []
-        if q.num_rows and c.num_rows:
-            dim = c.column("dim")[0].as_py()
-            ids, labels = (np.frombuffer(c.column(name)[0].as_py(), np.int64) for name in ("ids", "labels"))
-            v = np.frombuffer(c.column("vectors")[0].as_py(), np.float64).reshape(-1, dim)
-            nos, own, kinds_of = (np.frombuffer(q.column(name)[0].as_py(), np.int64) for name in ("nos", "ids", "labels"))
-            a = np.frombuffer(q.column("vectors")[0].as_py(), np.float64).reshape(-1, dim)
-            windows = np.frombuffer(q.column("windows")[0].as_py(), np.int64).reshape(-1, 3, n_windows)
-            scores = products(a, v)
-            alike = kinds_of[:, None] == labels
-            able = alike & (own[:, None] != ids) if same else ~alike
-            for w in range(n_windows):
-                low, high, floor = (windows[:, i, w, None] for i in range(3))
-                at, row = np.nonzero(able & (scores >= np.maximum(low, floor)) & (scores <= high))
-                best = best_of(scores[at, row], ids[row], at, k)
-                at, row = at[best], row[best]
-                found.append((nos[at], np.full(len(at), w, np.int32), ids[row], scores[at, row]))
-        if not found:
-            return kinds.empty_table()
-        return pa.table([np.concatenate(c) for c in zip(*found)], schema=kinds)
-
-    pairs = requests.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-    rows = pairs.applyInArrow(work, "no long, win int, id long, score long")
+def read(anchors: DataFrame, requests: DataFrame, blocks: DataFrame, same: bool, k: int, per_set: int, per_unit: int) -> DataFrame:
+    """``(no, win, id, score, rank)``: the k best rows within each window, from the blocks that were asked for.
+
+    A task meets the anchors of ``per_set`` chunks with up to ``per_unit``
+    neighbouring blocks, so that a block is sent once for all of a set.
+    """
+    keys = ["dim", "set", "unit"]
+    set_, unit = F.expr(f"chunk div {per_set}").alias("set"), F.expr(f"block div {per_unit}").alias("unit")
+    asked = requests.select("dim", set_, "block", "nos").groupBy("dim", "set", "block").agg(F.collect_list("nos").alias("nos"))
+    asked = asked.select("dim", "set", unit, "block", "nos")
+    # Names of their own: both sides come from the requests.
+    wanted = requests.select(F.col("dim").alias("dim"), set_, unit).distinct()
+    left = anchors.select("dim", set_, "no", "id", "label", "v", "low", "high", "floor").join(wanted, ["dim", "set"])
+    right = blocks.select("block", "ids", "labels", "vectors").join(asked, "block").drop("block")
+
+    def work(key: tuple, a: pa.Table, z: pa.Table) -> Iterator[dict]:
+        v = _matrix(a.column("v"), key[0])
+        nos, own, kinds_of = (a.column(name).to_numpy() for name in ("no", "id", "label"))
+        low, most, floor = _windows(a)
+        least = np.maximum(low, floor)
+        n_windows = least.shape[1]
+        order = np.argsort(nos)
+        empty = np.zeros(0, np.int64)
+        held = [(empty, empty, empty)]  # place of the anchor and window, id, score
+
+        def best() -> None:
+            """Leave the k best of every window: no later row counts that is under the k-th."""
+            places, ids, scores = (np.concatenate(x) for x in zip(*held))
+            kept = best_of(scores, ids, places, k)
+            held[:] = [(places[kept], ids[kept], scores[kept])]
+            counts = np.bincount(held[0][0], minlength=least.size)
+            full = np.flatnonzero(counts == k)
+            flat = least.reshape(-1)
+            flat[full] = np.maximum(flat[full], held[0][2][np.cumsum(counts)[full] - 1])
+
+        n_held = 0
+        for ids, labels, vectors, of in zip(*(z.column(name) for name in ("ids", "labels", "vectors", "nos"))):
+            ids, labels = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, labels))
+            c = np.frombuffer(vectors.as_buffer(), np.float64).reshape(len(ids), -1)
+            of = np.frombuffer(b"".join(of.as_py()), np.int64)
+            at = order[np.searchsorted(nos, of, sorter=order)]
+            step = max(1, PAIRS // len(ids))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
+                scores = products(v[part], c)
+                # As floats, bounds that are no whole numbers of theirs still lie beyond every score.
+                low, high = (x.astype(scores.dtype)[:, None] for x in (least[part].min(1), most[part].max(1)))
+                row, column = np.nonzero((scores >= low) & (scores <= high))
+                score, row = scores[row, column].astype(np.int64), part[row]
+                alike = kinds_of[row] == labels[column]
+                able = alike & (own[row] != ids[column]) if same else ~alike
+                score, row, column = score[able], row[able], column[able]
+                for w in range(n_windows):
+                    fits = np.flatnonzero((score >= least[row, w]) & (score <= most[row, w]))
+                    held.append((row[fits] * n_windows + w, ids[column[fits]], score[fits]))
+                    n_held += len(fits)
+                    if n_held > PAIRS:
+                        best()
+                        n_held = 0
+        best()
+        places, ids, scores = held[0]
+        yield {"no": nos[places // n_windows], "win": (places % n_windows).astype(np.int32), "id": ids, "score": scores}
+
+    rows = meet(left, right, keys, work, FOUND)
     order = Window.partitionBy("no", "win").orderBy(F.col("score").desc(), "id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -338,6 +412,7 @@ def hard_negatives(
     block_bytes: int = 256 << 10,
     chunk_rows: int = 1024,
     group_rows: int = 4096,
+    task_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)``.
 
@@ -355,6 +430,9 @@ def hard_negatives(
     with the anchor's id are not its positives.  Other columns are not read; an
     empty table gives an empty result.  Scores beyond 64 bits count as the
     largest or smallest long.
+
+    A task holds about ``task_bytes`` of anchors with what is found for them, and
+    as much of blocks or zone maps; sizes change no result.
     """
     rows = vectors.select(
         F.col(id_column).cast("long").alias("id"), label.cast("long").alias("label"), F.col(vector_column).alias("vector")
@@ -363,8 +441,20 @@ def hard_negatives(
     axes = axes_of(rows)
     blocks = blocks_of(rows, axes, block_bytes)
     n_blocks = blocks.count()
-    n_anchors = rows.filter(is_anchor(F.col("id"))).count()
-    chunks, groups = max(1, -(-n_anchors // chunk_rows)), max(1, -(-n_blocks // group_rows))
+    anchor = is_anchor(F.col("id"))
+    n_anchors, n_bytes, widest = rows.agg(
+        F.count_if(anchor), F.sum(F.when(anchor, F.octet_length("v"))), F.max("dim")
+    ).first()
+    # An anchor's windows and results take 24 bytes each.
+    n_bytes = (n_bytes or 0) + 24 * positives * (1 + negatives) * n_anchors
+    sets = max(1, -(-n_bytes // task_bytes))
+    # Zone maps go to every chunk, so there are no more of these than memory or cores ask for.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    chunks = max(sets, min(4 * cores, -(-n_anchors // chunk_rows)))
+    fit = max(1, min(group_rows, task_bytes // (16 * (widest or 1))))
+    groups = max(1, -(-n_blocks // fit))
+    # Beside a block lie the numbers of its anchors.
+    per_unit = max(1, task_bytes // (2 * block_bytes))
 
     def unpack(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"block": [], "dim": [], "id": [], "label": [], "v": []}
@@ -378,23 +468,24 @@ def hard_negatives(
         return out
 
     unpacked = map_batches(blocks, unpack, "block long, dim int, id long, label long, v binary")
-    anchors = unpacked.filter(is_anchor(F.col("id"))).select(
-        "*",
-        F.xxhash64("id", "label", "v").alias("no"),
-        # Anchors of one block ask for much the same blocks.
-        F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int").alias("chunk"),
-    )
-    anchors = staged(anchors, "negative-anchors")
+    found = unpacked.filter(is_anchor(F.col("id"))).withColumn("no", F.xxhash64("id", "label", "v"))
+    # Anchors that lie close together on the curve ask for much the same blocks.
+    ranged = staged(found, "negative-anchors").repartitionByRange(chunks, "dim", "block", "no")
+    anchors = staged(ranged.withColumn("chunk", F.spark_partition_id()), "negative-chunks")
+    chunks = (anchors.agg(F.max("chunk")).first()[0] or 0) + 1
+    per_set = -(-chunks // sets)
     lowest, highest = F.lit(-LONG - 1), F.lit(LONG)
 
-    def search(looking: DataFrame, same: bool, mode: str, n_windows: int, k: int) -> DataFrame:
-        return staged(read(choose(looking, blocks, axes, same, mode, chunks, groups), blocks, same, n_windows, k), f"negative-{mode}")
+    def search(looking: DataFrame, same: bool, mode: str, k: int) -> DataFrame:
+        looking = staged(looking, "negative-windows")
+        requests = staged(choose(looking, blocks, axes, same, mode, chunks, groups), "negative-requests")
+        return staged(read(looking, requests, blocks, same, k, per_set, per_unit), f"negative-{mode}")
 
     open_ = anchors.select("*", F.array(lowest).alias("low"), F.array(highest).alias("high"), F.array(lowest).alias("floor"))
-    own = search(open_, True, "own", 1, positives)
+    own = search(open_, True, "own", positives)
     floors = own.filter(F.col("rank") == positives).select("no", F.col("score").alias("least"))
     floored = open_.join(floors, "no", "left").withColumn("floor", F.array(F.coalesce("least", lowest))).drop("least")
-    found = search(floored, True, "all", 1, positives)
+    found = search(floored, True, "all", positives)
     found = found.select("no", (F.col("rank") - 1).alias("win"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
 
     # One window per positive; those that an anchor lacks are empty.
@@ -412,14 +503,14 @@ def hard_negatives(
     looking = staged(
         anchors.join(windows, "no").withColumn("floor", F.array_repeat(lowest, positives)), "negative-windows"
     )
-    lead = search(looking, False, "lead", positives, negatives)
+    lead = search(looking, False, "lead", negatives)
     reached = lead.filter(F.col("rank") == negatives).groupBy("no").agg(
         F.map_from_entries(F.collect_list(F.struct("win", "score"))).alias("least")
     )
     with_floor = looking.join(reached, "no", "left").withColumn(
         "floor", F.transform("floor", lambda f, w: F.coalesce(F.col("least")[w], f))
     )
-    mined = search(with_floor.drop("least"), False, "all", positives, negatives)
+    mined = search(with_floor.drop("least"), False, "all", negatives)
     named = anchors.select("no", F.col("id").alias("anchor_id"))
     return (
         mined.select("no", "win", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"), "rank")

@@ -109,3 +109,41 @@ def test_far_blocks_are_not_read(spark):
     asked = mining.choose(anchors.withColumn("floor", F.array(floor.cast("long"))), blocks, axes, True, "all", 1, 1)
     pairs = sum(len(r["nos"]) // 8 for r in asked.collect())
     assert n_blocks >= 80 and pairs < 0.25 * 80 * n_blocks
+
+
+@pytest.mark.parametrize("task_bytes", [1 << 12, 1 << 16])
+def test_small_tasks_change_nothing(vectors, monkeypatch, task_bytes):
+    """Many sets and units, few pairs at a time."""
+    df, rows = vectors
+    monkeypatch.setattr(mining, "PAIRS", 64)
+    found = run(df, block_bytes=1024, chunk_rows=3, group_rows=5, task_bytes=task_bytes)
+    assert sorted(map(tuple, found.collect())) == mined(rows)
+
+
+def test_requests_hold_no_vectors(spark, monkeypatch):
+    """Where every anchor needs every block, a task gives 8 bytes a pair, a few pairs at a time."""
+    gen = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in gen.normal(size=32)], i % 2) for i in range(1000)]
+    whole = mining.whole_vectors(spark.createDataFrame(rows, "id long, vector array<double>, label long"), 256)
+    whole = mining.staged(whole, "test-rows")
+    axes = mining.axes_of(whole)
+    blocks = mining.blocks_of(whole, axes, 25 * 32 * 8)
+    n_blocks = blocks.count()
+    any_score = [F.array(F.lit(x)) for x in (-mining.LONG - 1, mining.LONG, -mining.LONG - 1)]
+    anchors = whole.filter("id % 5 = 0").select(
+        F.lit(-1).cast("long").alias("block"), "dim", "id", "label", "v", F.xxhash64("id").alias("no"),
+        F.lit(0).alias("chunk"), *(x.alias(c) for x, c in zip(any_score, ("low", "high", "floor"))),
+    )
+    monkeypatch.setattr(mining, "PAIRS", 10 * n_blocks, raising=False)
+    asked = mining.choose(anchors, blocks, axes, False, "all", 1, 1)
+    sizes = [sum(len(x) for x in r if isinstance(x, (bytes, bytearray))) for r in asked.collect()]
+    assert n_blocks >= 40 and sum(sizes) == 8 * 200 * n_blocks and max(sizes) == 80
+
+
+def test_products_are_exact(rng):
+    for most in (100, 2**20, 2**40):
+        a, b = (np.array([[float(rng.randint(-most, most)) for _ in range(8)] for _ in range(5)]) for _ in range(2))
+        whole = [[sum(int(p) * int(q) for p, q in zip(x, y)) for y in b.tolist()] for x in a.tolist()]
+        held = [[min(max(s, -mining.LONG - 1), mining.LONG) for s in row] for row in whole]
+        assert [[int(s) for s in row] for row in mining.products(a, b).tolist()] == held
+    assert mining.products(np.array([[1e300, 1.0]]), np.zeros((1, 2))).tolist() == [[0]]
