@@ -252,6 +252,8 @@ def bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray
 def choose(anchors: DataFrame, blocks: DataFrame, axes: dict, same: bool, mode: str, chunks: int, groups: int) -> DataFrame:
     """Which blocks the anchors of a chunk must read: a row names a block and some of the anchors.
 
+    ``nos`` holds their numbers, each less the one before it: where neighbours
+    all ask for a block, what is stored and sent is next to nothing.
     ``mode`` is ``own`` (the block an anchor lies in), ``lead`` (the two blocks
     whose middle scores lie nearest to the top of the windows) or ``all`` (those
     whose bounds meet a window).  ``same`` looks for rows of the anchor's label,
@@ -265,6 +267,7 @@ def choose(anchors: DataFrame, blocks: DataFrame, axes: dict, same: bool, mode:
     def work(key: tuple, a: pa.Table, z: pa.Table) -> Iterator[dict]:
         dim, chunk, _ = key
         turn = axes[dim][0]
+        a = a.sort_by("no")
         low, high = _lists(z.column("low")), _lists(z.column("high"))
         names = z.column("block").to_numpy()
         label_low, label_high = z.column("label_low").to_numpy(), z.column("label_high").to_numpy()
@@ -299,7 +302,7 @@ def choose(anchors: DataFrame, blocks: DataFrame, axes: dict, same: bool, mode:
                 "block": names[asked],
                 "chunk": np.full(len(asked), chunk, np.int32),
                 "dim": np.full(len(asked), dim, np.int32),
-                "nos": [nos[needed[:, b]].tobytes() for b in asked.tolist()],
+                "nos": [np.diff(nos[needed[:, b]], prepend=0).tobytes() for b in asked.tolist()],
             }
 
     return meet(left, right, ["dim", "chunk", "group"], work, REQUEST)
@@ -363,7 +366,7 @@ def read(anchors: DataFrame, requests: DataFrame, blocks: DataFrame, same: bool,
         for ids, labels, vectors, of in zip(*(z.column(name) for name in ("ids", "labels", "vectors", "nos"))):
             ids, labels = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, labels))
             c = np.frombuffer(vectors.as_buffer(), np.float64).reshape(len(ids), -1)
-            of = np.frombuffer(b"".join(of.as_py()), np.int64)
+            of = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in of.as_py()])
             at = order[np.searchsorted(nos, of, sorter=order)]
             step = max(1, PAIRS // len(ids))
             for lo in range(0, len(at), step):
@@ -468,10 +471,11 @@ def hard_negatives(
         return out
 
     unpacked = map_batches(blocks, unpack, "block long, dim int, id long, label long, v binary")
-    found = unpacked.filter(is_anchor(F.col("id"))).withColumn("no", F.xxhash64("id", "label", "v"))
+    found = staged(unpacked.filter(is_anchor(F.col("id"))), "negative-anchors")
     # Anchors that lie close together on the curve ask for much the same blocks.
-    ranged = staged(found, "negative-anchors").repartitionByRange(chunks, "dim", "block", "no")
-    anchors = staged(ranged.withColumn("chunk", F.spark_partition_id()), "negative-chunks")
+    ranged = found.repartitionByRange(chunks, "dim", "block", "id", "label").sortWithinPartitions("dim", "block")
+    numbers = {"chunk": F.spark_partition_id(), "no": F.monotonically_increasing_id()}
+    anchors = staged(ranged.withColumns(numbers), "negative-chunks")
     chunks = (anchors.agg(F.max("chunk")).first()[0] or 0) + 1
     per_set = -(-chunks // sets)
     lowest, highest = F.lit(-LONG - 1), F.lit(LONG)
